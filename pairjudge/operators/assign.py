@@ -17,21 +17,26 @@ BUCKET_DIGITS = 4          # 65,536 buckets; the offset table is <= 65,536 rows
 
 
 def exact_rank(df: DataFrame, hash_col: str, tiebreak: list[str], out: str = "rank",
-               digits: int = BUCKET_DIGITS, total_col: str | None = None) -> DataFrame:
-    """Add ``out`` = 1-based rank of (``hash_col``, *tiebreak) over the whole DataFrame.
+               digits: int = BUCKET_DIGITS, total_col: str | None = None,
+               keys: list[str] | None = None) -> DataFrame:
+    """Add ``out`` = 1-based rank of (``hash_col``, *tiebreak) within each ``keys`` group (whole
+    DataFrame when no keys).
 
     ``hash_col`` must be a lower-case hex string of uniform hash digits (md5), so buckets are
-    balanced; ``total_col`` optionally carries the total row count to every row.
+    balanced; ``total_col`` optionally carries the group's row count to every row. ``keys`` must
+    have few distinct values (dimensions, seeds): the offset table has keys x 16**digits rows.
     """
+    keys = list(keys or [])
     bkt = "_rk_bucket"
     x = df.withColumn(bkt, F.substring(F.col(hash_col), 1, digits))
-    counts = x.groupBy(bkt).agg(F.count(F.lit(1)).alias("_rk_n"))
-    # <= 16**digits rows: ordering them in a single partition is bounded work.
-    w_all = Window.orderBy(bkt).rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(bkt, F.coalesce(F.sum("_rk_n").over(w_all), F.lit(0)).alias("_rk_off"),
-                         F.sum("_rk_n").over(Window.partitionBy()).alias("_rk_total"))
-    ranked = x.join(F.broadcast(offs), bkt).withColumn(
-        out, F.row_number().over(Window.partitionBy(bkt).orderBy(hash_col, *tiebreak)) + F.col("_rk_off"))
+    counts = x.groupBy(*keys, bkt).agg(F.count(F.lit(1)).alias("_rk_n"))
+    # Bounded table (keys x 16**digits rows): a window over it is cheap wherever it runs.
+    w_prev = Window.partitionBy(*keys).orderBy(bkt).rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(*keys, bkt, F.coalesce(F.sum("_rk_n").over(w_prev), F.lit(0)).alias("_rk_off"),
+                         F.sum("_rk_n").over(Window.partitionBy(*keys)).alias("_rk_total"))
+    ranked = x.join(F.broadcast(offs), [*keys, bkt]).withColumn(
+        out, F.row_number().over(Window.partitionBy(*keys, bkt).orderBy(hash_col, *tiebreak))
+        + F.col("_rk_off"))
     if total_col:
         ranked = ranked.withColumnRenamed("_rk_total", total_col)
     return ranked.drop(bkt, "_rk_off", "_rk_total")
@@ -49,11 +54,12 @@ def _order_cols(target_is_a: Column, target: str, other: str) -> list[Column]:
 
 
 def balanced_ab_hash(items: DataFrame, seed: int, id_col: str = "item_id",
-                     target: str = "Generated", other: str = "Original", sep: str = "||") -> DataFrame:
+                     target: str = "Generated", other: str = "Original", sep: str = "||",
+                     keys: list[str] | None = None) -> DataFrame:
     """The floor(n/2) items with the smallest md5('{seed}{sep}{id}') get the target at A."""
     h = F.md5(F.concat_ws(sep, F.lit(str(seed)), F.col(id_col).cast("string")))
     x = items.withColumn("_ab_h", h)
-    r = exact_rank(x, "_ab_h", [id_col], out="_ab_rank", total_col="_ab_n")
+    r = exact_rank(x, "_ab_h", [id_col], out="_ab_rank", total_col="_ab_n", keys=keys)
     is_a = F.col("_ab_rank") <= F.floor(F.col("_ab_n") / 2)
     return r.select(*[c for c in items.columns], F.lit(seed).alias("seed"),
                     *_order_cols(is_a, target, other))
@@ -61,7 +67,7 @@ def balanced_ab_hash(items: DataFrame, seed: int, id_col: str = "item_id",
 
 def balanced_ab_shuffle(items: DataFrame, seed: int, id_col: str = "item_id",
                         target_col: str | None = None, target: str = "ChatGPT",
-                        other: str = "Physician") -> DataFrame:
+                        other: str = "Physician", keys: list[str] | None = None) -> DataFrame:
     """Two-source calibration order: sort by 48-bit md5('{seed}:{id}'); the number of gold-at-A
     rows is floor(n/2), plus one when n is odd and the seed even; sorted position i gets gold at
     A iff the rank of md5('{seed}:position:{i}') is below that number.
@@ -70,10 +76,11 @@ def balanced_ab_shuffle(items: DataFrame, seed: int, id_col: str = "item_id",
     other source is then the remaining label of (target, other).
     """
     h = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), 1, 12)
-    r = exact_rank(items.withColumn("_sh_h", h), "_sh_h", [id_col], out="_sh_pos", total_col="_sh_n")
+    r = exact_rank(items.withColumn("_sh_h", h), "_sh_h", [id_col], out="_sh_pos", total_col="_sh_n",
+                   keys=keys)
     r = r.withColumn("_sh_i", F.col("_sh_pos") - 1).withColumn(
         "_sh_ph", F.substring(F.md5(F.concat(F.lit(f"{seed}:position:"), F.col("_sh_i").cast("string"))), 1, 12))
-    r = exact_rank(r, "_sh_ph", ["_sh_i"], out="_sh_rank2")
+    r = exact_rank(r, "_sh_ph", ["_sh_i"], out="_sh_rank2", keys=keys)
     n = F.col("_sh_n")
     n_gold_a = F.floor(n / 2) + F.when((n % 2 == 1) & F.lit(seed % 2 == 0), 1).otherwise(0)
     is_a = (F.col("_sh_rank2") - 1) < n_gold_a
@@ -92,13 +99,14 @@ def balanced_ab_shuffle(items: DataFrame, seed: int, id_col: str = "item_id",
 
 
 def balanced_ab_random(items: DataFrame, seed: int, id_col: str = "item_id",
-                       target: str = "answer_with_empathy", other: str = "answer") -> DataFrame:
+                       target: str = "answer_with_empathy", other: str = "answer",
+                       keys: list[str] | None = None) -> DataFrame:
     """Rephrasing calibration order: exactly floor(n/2) items put the rewrite at A.
 
     The evaluated script draws the positions with a single-process random shuffle, which cannot
     be reproduced in parallel; we draw them by hash rank (same guarantee, different draw).
     """
-    return balanced_ab_hash(items, seed, id_col, target, other, sep=":")
+    return balanced_ab_hash(items, seed, id_col, target, other, sep=":", keys=keys)
 
 
 def coin_order(items: DataFrame, seed: int, id_col: str = "item_id",
