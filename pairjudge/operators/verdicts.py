@@ -25,10 +25,12 @@ def parse_verdicts(v: DataFrame, raw: str = "raw_response") -> DataFrame:
 
 
 def pred_source_from_order(order: Column, choice: Column) -> Column:
-    """Source name at the chosen letter, read from an order label 'X_A__Y_B'."""
-    a = F.regexp_extract(order, r"(?:^|__)(.+?)_A(?:__|$)", 1)
-    b = F.regexp_extract(order, r"(?:^|__)(.+?)_B(?:__|$)", 1)
-    return F.when(choice == "A", F.nullif(a, F.lit(""))).when(choice == "B", F.nullif(b, F.lit("")))
+    """Source name at the chosen letter, read from an order label 'X_A__Y_B' (the first
+    '__'-separated part ending in '_<letter>', suffix removed)."""
+    def at(letter: str) -> Column:
+        part = F.try_element_at(F.filter(F.split(order, "__"), lambda p: p.endswith(f"_{letter}")), F.lit(1))
+        return F.substring(part, F.lit(1), F.length(part) - 2)
+    return F.when(choice == "A", at("A")).when(choice == "B", at("B"))
 
 
 def pred_source_from_columns(choice: Column, a_src: Column, b_src: Column) -> Column:
@@ -52,7 +54,7 @@ def add_match(df: DataFrame, gold: str = "gold_choice", pred: str = "verdict") -
 
 def with_sources(verdicts: DataFrame, order: DataFrame, id_col: str = "item_id") -> DataFrame:
     """Join parsed verdicts to the A/B order and map letters back to sources."""
-    o = order.select(id_col, "gold_choice", "sentence_a_source", "sentence_b_source")
+    o = order.select(id_col, "gold_choice", "response_order", "sentence_a_source", "sentence_b_source")
     j = verdicts.join(o, id_col, "left")
     return j.withColumn("pred_source", F.when(
         F.col("dimension").isin(*PREFERENCE_DIMS),

@@ -69,7 +69,7 @@ FROM (SELECT p.*, row_number() OVER (ORDER BY md5(concat_ws('||', '42', item_id)
 
 OX_LONG = ("ox_long", f"""
 SELECT v.item_id, v.category, v.judge, v.dimension, v.raw_response, v.verdict, o.gold_choice,
-  o.sentence_a_source, o.sentence_b_source,
+  o.response_order, o.sentence_a_source, o.sentence_b_source,
   CASE WHEN v.dimension IN ('empathy', 'quality') THEN
     CASE v.verdict WHEN 'A' THEN o.sentence_a_source WHEN 'B' THEN o.sentence_b_source END END AS pred_source
 FROM (SELECT *, CASE WHEN dimension IN ('empathy', 'quality') THEN {choice_sql('raw_response')}
@@ -95,3 +95,23 @@ FROM (SELECT judge, item_id,
 JOIN fx_pairs p ON p.item_id = w.item_id""")
 
 OUTCOME_CTES = [OX_ORDER, OX_LONG, OX_OUTCOMES]
+
+OX_WIDE = ("ox_wide", """
+SELECT judge, item_id, first(gold_choice) AS gold_choice, first(response_order) AS response_order,
+  first(verdict) FILTER (WHERE dimension = 'empathy') AS empathy_v,
+  first(pred_source) FILTER (WHERE dimension = 'empathy') AS empathy_src,
+  first(verdict) FILTER (WHERE dimension = 'quality') AS quality_v,
+  first(pred_source) FILTER (WHERE dimension = 'quality') AS quality_src,
+  first(verdict) FILTER (WHERE dimension = 'preservation') AS preservation_v,
+  first(verdict) FILTER (WHERE dimension = 'unsupported_addition') AS unsupported_addition_v
+FROM ox_long GROUP BY judge, item_id""")
+WIDE_CTES = [OX_ORDER, OX_LONG, OX_WIDE]
+
+
+def imb_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Per (judge, item): verdict (``<dim>_v``) and predicted source (``<dim>_src``) per
+    dimension, with the item's gold letter and order label."""
+    lv = long_verdicts(spark, sf)
+    w = lv.groupBy("judge", "item_id", "gold_choice", "response_order").pivot("dimension", V.ALL_DIMS).agg(
+        F.first("verdict").alias("v"), F.first("pred_source").alias("src"))
+    return w.drop(*[f"{d}_src" for d in V.FACTUAL_DIMS])
