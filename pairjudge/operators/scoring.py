@@ -116,3 +116,57 @@ def score_rows(df: DataFrame, system: str = "system", user: str = "user", keep:
     return out.withColumn("error_type", F.when(F.col("error") == 1, parts[0])) \
               .withColumn("error_status", F.when(F.col("error") == 1, F.nullif(parts[1], F.lit("")).cast("int"))) \
               .withColumn("error_message", F.when(F.col("error") == 1, parts[2]))
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a stage's output to the shared scratch folder and read it back, so later stages never
+    re-run (and re-bill) the model calls that produced it."""
+    from pairjudge.sources.io import scratch_path
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def score_in_waves(units: DataFrame, id_col: str, wave_size: int, failure_budget: int,
+                   score: Callable[[DataFrame], DataFrame], store_path: str) -> DataFrame:
+    """Score in waves of ``wave_size`` units, appending each wave to ``store_path``; stop launching
+    waves once the failures so far exceed ``failure_budget`` (a global "first failure" has no
+    meaning across partitions). Returns one stats row per wave (scored, failed, skipped)."""
+    from pairjudge.operators.assign import exact_rank
+    spark = units.sparkSession
+    ranked = exact_rank(units.withColumn("_wv_h", F.md5(F.col(id_col).cast("string"))), "_wv_h", [id_col],
+                        out="_wv_rank", total_col="_wv_n")
+    ranked = materialize(ranked.withColumn("wave", F.floor((F.col("_wv_rank") - 1) / wave_size).cast("int"))
+                         .drop("_wv_h", "_wv_rank"), "waves")
+    total = ranked.select(F.max("_wv_n")).first()[0] or 0
+    n_waves = -(-int(total) // wave_size)
+    failures, stats = 0, []
+    for w in range(n_waves):
+        if failures > failure_budget:
+            stats.append((w, 0, 0, True))
+            continue
+        out = score(ranked.where(F.col("wave") == w).drop("_wv_n"))
+        out.write.mode("append").parquet(store_path)
+        r = spark.read.parquet(store_path).where(F.col("wave") == w).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("error").alias("f")).first()
+        failures += int(r["f"] or 0)
+        stats.append((w, int(r["n"]), int(r["f"] or 0), False))
+    return spark.createDataFrame(stats, "wave int, scored long, failed long, skipped boolean")
+
+
+def incremental_run(units: DataFrame, keys: list[str], n: int, score: Callable[[DataFrame], DataFrame],
+                    store_path: str, done_filter=None) -> DataFrame:
+    """Score the next ``n`` units (by key order) that have no stored result, append them and return
+    the rows written. Re-running resumes exactly where the store ends, even after a failed run."""
+    spark = units.sparkSession
+    try:
+        stored = spark.read.parquet(store_path)
+        if done_filter is not None:
+            stored = stored.where(done_filter)
+        todo = units.join(stored.select(*keys).distinct(), keys, "left_anti")
+    except Exception:  # noqa: BLE001  (no store yet)
+        todo = units
+    batch = todo.orderBy(*keys).limit(n)
+    out = score(batch)
+    out.write.mode("append").parquet(store_path)
+    return out
