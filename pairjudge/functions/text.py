@@ -164,15 +164,23 @@ def looks_incomplete(x) -> Column:
     return (F.length(s) < MIN_COMPLETE_CHARS) | s.endswith(":") | s.endswith(",")
 
 
+# Single-word terms (" w ") are tested as tokens of the text split on single spaces; the others
+# (" can vary ", " after surgery") by one substring test each.
+_SINGLE_TERMS = [t.strip() for t in ENGLISH_TERMS if t.startswith(" ") and t.endswith(" ") and " " not in t.strip()]
+_OTHER_TERMS = [t for t in ENGLISH_TERMS if t.strip() not in _SINGLE_TERMS]
+
+
 def english_signal(x) -> Column:
-    # A sum of CASEs (not a lambda over an array) so subexpression elimination computes the
-    # padded text once per row.
+    """Number of listed terms contained in ' ' + lower(text) + ' '.
+
+    " w " occurs in the padded text exactly when "w" is one of its tokens between single spaces,
+    so the single-word terms are one split plus a set intersection (one pass) instead of one
+    substring scan per term."""
     padded = F.concat(F.lit(" "), F.lower(strip_text(x)), F.lit(" "))
-    out = None
-    for t in ENGLISH_TERMS:
-        c = F.when(F.instr(padded, F.lit(t)) > 0, F.lit(1)).otherwise(F.lit(0))
-        out = c if out is None else out + c
-    return out
+    count = F.size(F.array_intersect(F.split(padded, " "), F.array(*[F.lit(w) for w in _SINGLE_TERMS])))
+    for t in _OTHER_TERMS:
+        count = count + F.when(F.instr(padded, F.lit(t)) > 0, F.lit(1)).otherwise(F.lit(0))
+    return count
 
 
 def shrunk_rewrite(original, rewrite) -> Column:
@@ -182,9 +190,16 @@ def shrunk_rewrite(original, rewrite) -> Column:
 
 
 def prompt_artifact(*texts) -> Column:
+    """Role markers / template residue (same matches as ``PROMPT_ARTIFACT_RE`` on the stripped
+    text). Literal parts are plain substring tests on the lower-cased text; the two regex parts
+    run only on rows that contain '#' or start with a role word."""
     out = None
     for t in texts:
-        c = strip_text(t).rlike(PROMPT_ARTIFACT_RE)
+        low = F.lower(strip_text(t))
+        c = ((F.instr(low, "answer with empathy") > 0) | (F.instr(low, "colonna answer") > 0)
+             | F.when(F.instr(low, "#") > 0, low.rlike(r"(?U)#\s*(utente|assistente)")).otherwise(F.lit(False))
+             | F.when(low.startswith("utente") | low.startswith("assistente"),
+                      low.rlike(r"(?U)^(utente|assistente)\s*:")).otherwise(F.lit(False)))
         out = c if out is None else (out | c)
     return out
 

@@ -21,7 +21,13 @@ from pyspark.sql import types as T
 from pairjudge.functions import stats as ST
 
 
-def _replicates(df: DataFrame, B: int) -> DataFrame:
+def _replicates(df: DataFrame, B: int, spread_by: str | None = None) -> DataFrame:
+    """B copies of every row. The n input rows are first hash-spread over the shuffle partitions
+    (a shuffle of n rows, cheap next to B x n work) so a small or single-file input never puts
+    all B x n replicate rows into one task; hashing by id keeps partial sums deterministic."""
+    if spread_by is not None:
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(n, spread_by)
     return df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(B))))
 
 
@@ -31,7 +37,7 @@ def poisson_bootstrap_mean(df: DataFrame, keys: list[str], id_col: str, value: s
         raise ValueError("give at least one grouping key (use a literal column for a single group)")
     x = df.select(*keys, id_col, F.col(value).cast("double").alias("_v"))
     est = x.groupBy(*keys).agg(F.avg("_v").alias("estimate"), F.count(F.lit(1)).alias("n"))
-    r = _replicates(x, B)
+    r = _replicates(x, B, spread_by=id_col)
     w = ST.poisson1_weight(ST.hash_uniform(F.lit(seed), F.col("rep"), F.col(id_col)))
     per_rep = r.withColumn("_w", w).groupBy(*keys, "rep").agg(
         F.sum(F.col("_w") * F.col("_v")).alias("_swx"), F.sum("_w").alias("_sw"))
@@ -60,6 +66,7 @@ def binomial_bootstrap_rate(df: DataFrame, keys: list[str], flag: str, B: int =
     cells = df.groupBy(*keys).agg(F.sum(F.col(flag)).cast("bigint").alias("k"), F.count(F.lit(1)).alias("n"))
     salt = F.abs(F.hash(*[F.col(k).cast("string") for k in keys])) if keys else F.lit(0)
     r = _replicates(cells.withColumn("_salt", salt.cast("long")), B)
+    r = r.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rep")
     draws = r.withColumn("_d", _binomial_draw(F.col("n"), F.col("k") / F.col("n"), F.lit(seed).cast("long"),
                                               F.col("rep").cast("long"), F.col("_salt")))
     ci = draws.groupBy(*keys, "k", "n").agg(
@@ -71,7 +78,7 @@ def binomial_bootstrap_rate(df: DataFrame, keys: list[str], flag: str, B: int =
 def poisson_bootstrap_kappa(df: DataFrame, keys: list[str], id_col: str, a: str, b: str, B: int = 2000,
                             seed: int = 42, probs=(0.025, 0.975)) -> DataFrame:
     x = df.select(*keys, id_col, F.col(a).alias("_a"), F.col(b).alias("_b"))
-    r = _replicates(x, B)
+    r = _replicates(x, B, spread_by=id_col)
     w = ST.poisson1_weight(ST.hash_uniform(F.lit(seed), F.col("rep"), F.col(id_col)))
     r = r.withColumn("_w", w)
 
