@@ -487,3 +487,15 @@ def length_stats(spark, sf):
         F.avg(ratio).alias("mean_of_ratios"), F.stddev_samp(ratio).alias("ratio_sd"))
 
 
+
+
+@register("class_metrics", wide(metrics_sql(
+    "(SELECT *, 'Generated' AS target FROM ox_long WHERE dimension IN ('empathy', 'quality'))",
+    ["judge", "dimension"], "target", "pred_source", ["Original", "Generated"], ["original", "generated"],
+    totals=True)))
+def class_metrics(spark, sf):
+    """Per-label precision / recall / F1 / support and macro averages of the source preference,
+    with the edited answer as the target label (no human gold in the answer-editing run)."""
+    x = _scored_long(spark, sf).withColumn("target", F.lit("Generated"))
+    return M.classification_metrics(x, ["judge", "dimension"], "target", "pred_source", ["Original", "Generated"],
+                                    ["original", "generated"], totals=True)

@@ -393,3 +393,19 @@ def preview_top(spark, sf):
     """First min(200, n) rows (by id) of judge j1's factual failures (the limit is the feature)."""
     b = _inspect_base(spark, sf).where((F.col("judge") == "j1") & inspect_filters()["Factual fail"])
     return b.select("item_id", "gold_choice", "preservation_v", "unsupported_addition_v").orderBy("item_id").limit(PREVIEW_MAX)
+
+
+@register("stream_keep_last", rs("SELECT * FROM last"))
+def stream_keep_last(spark, sf):
+    """The stored results replayed as a file stream (several micro-batches) into a keep-last
+    upsert store; its state equals the batch keep-last."""
+    from pairjudge.sources.io import scratch_path
+    from pairjudge.streaming.upsert import read_upserted, start_upsert
+    src = stored(spark, sf)
+    incoming = scratch_path(spark, "stream-in")
+    src.repartition(6, "item_id").write.mode("overwrite").parquet(incoming)
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 2).parquet(incoming)
+    store = scratch_path(spark, "stream-store")
+    q = start_upsert(stream, store, KEYS, ["scored_at", "seq"], partition_cols=["judge_model"])
+    q.awaitTermination()
+    return read_upserted(spark, store, KEYS, ["scored_at", "seq"]).select(*KEYS, "seq", "value")
