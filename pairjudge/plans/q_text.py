@@ -190,7 +190,9 @@ def slugify(spark, sf):
     return lab.select("event_id", "label", T.slugify("label").alias("slug"))
 
 
+# Run-name format. One generator label keeps a short legacy name in file names.
 LLAMA_LABEL = "+ llama-3.3-70b-versatile"
+RUN_PREFIX = "current_run_IMB"
 
 
 def run_key_cols(subset, variant, gen, judge, seed):
@@ -206,9 +208,9 @@ def run_key_cols(subset, variant, gen, judge, seed):
     gen_part = F.when(is_llama, F.lit("LLAMA")).otherwise(T.slugify(gen))
     gen_slug = F.when(is_llama, F.lit("llama")).otherwise(T.slugify(gen))
     s = seed.cast("string")
-    gen_key = F.concat(F.lit("current_run_IMB"), suffix, pv, F.lit("_GENERATED_BY_"), gen_part,
+    gen_key = F.concat(F.lit(RUN_PREFIX), suffix, pv, F.lit("_GENERATED_BY_"), gen_part,
                        F.lit("_seed-"), s, F.lit(".csv"))
-    judge_key = F.concat(F.lit("current_run_IMB"), suffix, pv, F.lit("_GENERATED_BY_"), gen_slug,
+    judge_key = F.concat(F.lit(RUN_PREFIX), suffix, pv, F.lit("_GENERATED_BY_"), gen_slug,
                          F.lit("_JUDGED_BY_"), T.slugify(judge), F.lit("_seed-"), s, F.lit(".csv"))
     return gen_key, judge_key
 
