@@ -194,11 +194,12 @@ UNION ALL
 
 @register("gold_agreement", _gold_agreement_sql())
 def gold_agreement(spark, sf):
-    """Cohen's kappa of each judge against the gold, by letter (balanced) and by source (skewed)."""
-    v = cal_view(spark, sf)
-    pos = AG.cohen_kappa_labels(v, "gold_choice", "pred_choice", ["judge", "dimension"]).withColumn("basis", F.lit("position"))
-    src = AG.cohen_kappa_labels(v, "gold_source", "pred_source", ["judge", "dimension"]).withColumn("basis", F.lit("source"))
-    return pos.unionByName(src)
+    """Cohen's kappa of each judge against the gold, by letter (balanced) and by source (skewed):
+    both bases stacked into one long frame and aggregated together (one pass over the view)."""
+    v = cal_view(spark, sf).select(
+        "judge", "dimension",
+        F.expr("stack(2, 'position', gold_choice, pred_choice, 'source', gold_source, pred_source) AS (basis, a, b)"))
+    return AG.cohen_kappa_labels(v, "a", "b", ["judge", "dimension", "basis"])
 
 
 _clo, _chi = wilson_sql("n - err")
