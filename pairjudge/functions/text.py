@@ -148,7 +148,7 @@ def hash_coin(seed, row_id) -> Column:
 def word_count(x) -> Column:
     """Whitespace word count (Python ``len(str.split())``); NULL text counts 0 words."""
     t = strip_text(x)
-    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, r"(?U)\s+")))
+    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, r"(?U)\s+"))).cast("bigint")
 
 
 def slugify(x) -> Column:
@@ -180,7 +180,7 @@ def english_signal(x) -> Column:
     count = F.size(F.array_intersect(F.split(padded, " "), F.array(*[F.lit(w) for w in _SINGLE_TERMS])))
     for t in _OTHER_TERMS:
         count = count + F.when(F.instr(padded, F.lit(t)) > 0, F.lit(1)).otherwise(F.lit(0))
-    return count
+    return count.cast("bigint")
 
 
 def shrunk_rewrite(original, rewrite) -> Column:

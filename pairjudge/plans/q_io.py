@@ -44,7 +44,7 @@ def export_csv(spark, sf):
 
 @register("read_salvage", with_fx(f"""
 SELECT item_id, CASE WHEN substr(md5(item_id), 1, 1) IN ('0', '1') THEN 'quarantined' ELSE 'ok' END AS status,
-  CASE WHEN substr(md5(item_id), 1, 1) IN ('0', '1') THEN NULL ELSE {wc('original_answer')} END AS n_words
+  CAST(CASE WHEN substr(md5(item_id), 1, 1) IN ('0', '1') THEN NULL ELSE {wc('original_answer')} END AS INTEGER) AS n_words
 FROM fx_pairs""", "fx_pairs"))
 def read_salvage(spark, sf):
     """Lines with an unparseable count are quarantined; every other line is kept."""

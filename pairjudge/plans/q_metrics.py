@@ -156,13 +156,13 @@ def mismatch_ranking(spark, sf):
     g = cal_view(spark, sf).where(~F.col("error_type").isin("", "Correct")).groupBy(
         "judge", "dimension", "error_type").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("judge", "dimension").orderBy(F.desc("n"), "error_type")
-    return g.withColumn("rank", F.row_number().over(w))
+    return g.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 
 def _kappa_labels_sql(src: str, a: str, b: str, keys: list[str], basis: str) -> str:
     kk = ", ".join(keys)
     return f"""
-SELECT {kk}, '{basis}' AS basis, t.n, CAST(t.agree AS DOUBLE) / t.n AS pct_agree,
+SELECT {kk}, '{basis}' AS basis, CAST(t.n AS BIGINT) AS n, CAST(t.agree AS DOUBLE) / t.n AS pct_agree,
   (CAST(t.agree AS DOUBLE) / t.n - p.pe) / nullif(1 - p.pe, 0) AS kappa
 FROM (SELECT {kk}, sum(c) AS n, sum(c) FILTER (WHERE a = b) AS agree FROM cells_{basis} GROUP BY {kk}) t
 JOIN (SELECT ma.{keys[0]}, {', '.join('ma.' + k for k in keys[1:])}{', ' if len(keys) > 1 else ''}
