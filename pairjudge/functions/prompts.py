@@ -154,6 +154,97 @@ Original medical answer:
 
 Concise empathy-edited answer:""")
 DEFAULT_GENERATION_VARIANT = "v1"
+
+# Calibration runs (two-source rated set: variants x dimensions; rephrasing set: one prompt).
+CAL_VARIANTS = ["paper_minimal", "paper_guided_editprompt"]
+CAL_FOCUS = {"quality": "quality of information", "empathy": "empathy or bedside manner"}
+CAL_GUIDED_USER = """Read the entire patient question and both anonymized responses.
+Which response provides higher {focus}?
+Do not choose based on response length alone or assumed source. Focus on the {focus} provided.
+Answer with only A or B.
+
+Patient question:
+{{question}}
+
+A. {{sentence_a}}
+
+B. {{sentence_b}}"""
+CAL_VARIANT_NOTE = {
+    "paper_minimal": "paper_minimal.",
+    "paper_guided_editprompt": "paper_guided_editprompt. The judge was asked to choose the response with higher "
+                               "{focus}, while not choosing based on response length alone or assumed source.",
+}
+CAL_MISMATCH = """You are analyzing a mismatch between an AI judge and the gold label for a JAMA response {dim} comparison.
+
+Gold label construction:
+The gold label is based on the average of the three human evaluator {dim} scores. The response with the higher average {dim} score is treated as the preferred response.
+
+Judge prompt variant:
+{note}
+
+Patient question:
+{{question}}
+
+Physician response:
+{{physician_answer}}
+
+ChatGPT response:
+{{chatgpt_answer}}
+
+Average physician {dim} score:
+{{physician_avg}}
+
+Average ChatGPT {dim} score:
+{{chatgpt_avg}}
+
+Prompt order shown to the judge:
+{{response_order}}
+
+Judge chose:
+{{pred_choice}}
+
+Correct choice according to average human {dim} score:
+{{gold_choice}}
+
+Briefly explain why the judge may have chosen the wrong response for response {dim}.
+
+Answer ONLY with valid JSON:
+{{{{"mismatch_explanation": "brief explanation in English"}}}}"""
+
+REPHRASE_SYSTEM = ("You are an AI judge for empathy evaluation. You must choose which of two Italian sentences is "
+                   "more empathetic. Answer with only A or B.")
+REPHRASE_USER = """Given these two Italian sentences, which one is more empathetic?
+Answer with only A or B.
+
+A. {sentence_a}
+
+B. {sentence_b}"""
+REPHRASE_MISMATCH = """You are analyzing a mismatch between an AI judge and the gold label for an empathy pairwise comparison.
+
+The dataset row was selected because Incremento_empatia is 4 or 5, so the gold label says that ANSWER WITH EMPATHY is more empathetic than ANSWER.
+
+User question:
+{question}
+
+ANSWER:
+{normal_answer}
+
+ANSWER WITH EMPATHY:
+{empathy_answer}
+
+Prompt order shown to the judge:
+{response_order}
+
+Judge chose:
+{pred_choice}
+
+Correct choice according to the gold label:
+{gold_choice}
+
+Briefly explain why the judge may have chosen the wrong sentence, focusing on empathy and emotional support.
+
+Answer ONLY with valid JSON:
+{{"mismatch_explanation": "brief explanation in English"}}"""
 # ---------------------------------------------------------------------------------------------
 
 
@@ -168,6 +259,14 @@ def template_rows() -> list[tuple[str, str, str, str]]:
              ("generation", "v2_length_matched", EDITOR_SYSTEM, GENERATION_BASIC.format(length_rule=LENGTH_RULE)),
              ("generation", "v3_refined_clinical_editing", EDITOR_SYSTEM, GENERATION_REFINED),
              ("generation", "v4_concise_clinical_editing", EDITOR_SYSTEM, GENERATION_CONCISE)]
+    for v in CAL_VARIANTS:
+        for d, focus in CAL_FOCUS.items():
+            user = JUDGE_USER.format(what=d) if v == "paper_minimal" else CAL_GUIDED_USER.format(focus=focus)
+            rows.append(("calibration", f"{v}:{d}", JUDGE_SYSTEM, user))
+            rows.append(("calibration_explain", f"{v}:{d}", EXPLAIN_SYSTEM,
+                         CAL_MISMATCH.format(dim=d, note=CAL_VARIANT_NOTE[v].format(focus=focus))))
+    rows.append(("calibration", "rephrase", REPHRASE_SYSTEM, REPHRASE_USER))
+    rows.append(("calibration_explain", "rephrase", EXPLAIN_SYSTEM, REPHRASE_MISMATCH))
     return rows
 
 
@@ -176,7 +275,8 @@ def template(kind: str, key: str) -> tuple[str, str]:
     explanation: empathy; factual: preservation; generation: v1)."""
     table = {(k, d): (s, u) for k, d, s, u in template_rows()}
     defaults = {"judge": "empathy", "explain": "empathy", "factual": "preservation",
-                "generation": DEFAULT_GENERATION_VARIANT}
+                "generation": DEFAULT_GENERATION_VARIANT, "calibration": "paper_minimal:empathy",
+                "calibration_explain": "paper_minimal:empathy"}
     return table.get((kind, key)) or table[(kind, defaults[kind])]
 
 

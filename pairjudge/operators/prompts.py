@@ -26,7 +26,8 @@ def with_templates(df: DataFrame, kind: Column, key: Column) -> DataFrame:
 
     The template table has a fixed handful of rows, so broadcasting it is size-safe."""
     t = template_table(df.sparkSession)
-    defaults = {"judge": "empathy", "explain": "empathy", "factual": "preservation", "generation": "v1"}
+    defaults = {"judge": "empathy", "explain": "empathy", "factual": "preservation", "generation": "v1",
+                "calibration": "paper_minimal:empathy", "calibration_explain": "paper_minimal:empathy"}
     known_keys = {(k, key_) for k, key_, _, _ in P.template_rows()}
     kinds = sorted({k for k, _ in known_keys})
     resolved = None

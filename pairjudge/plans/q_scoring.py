@@ -198,8 +198,9 @@ def judge_gold_pairs(spark, sf):
     t = F.col("target_is_a")
     a = F.when(t, F.col("empathy_answer")).otherwise(F.col("normal_answer"))
     b = F.when(t, F.col("normal_answer")).otherwise(F.col("empathy_answer"))
-    sys_, user = PR.judge_prompt(F.lit("empathy"), F.lit(""), a, b)
-    x = r.select("item_id", "gold_choice", sys_.alias("system"), user.alias("user"))
+    sys_, tpl = P.template("calibration", "rephrase")
+    user = P.render(tpl, sentence_a=a, sentence_b=b)
+    x = r.select("item_id", "gold_choice", F.lit(sys_).alias("system"), user.alias("user"))
     out = SC.score_rows(x, keep=["item_id", "gold_choice"], partitions=8)
     out = V.add_match(out.withColumn("pred_choice", T.parse_choice("raw_response")), "gold_choice", "pred_choice")
     return out.select("item_id", "pred_choice", "gold_choice", "is_match")

@@ -51,3 +51,15 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert df.columns == ["category", "fp", "n", "rate", "ci_low", "ci_high"]
+
+
+SIDE_EFFECT_KEYS = {"read_table", "export_csv", "read_salvage", "read_encoding_fallback", "load_labelled_runs",
+                    "write_results", "failure_policy", "incremental_run", "explain_mismatches", "length_confound",
+                    "stream_keep_last"}
+
+
+def test_no_cartesian_or_nested_loop_plans(spark):
+    """No registered query plans a cross product or a nested-loop join."""
+    for key in sorted(set(QUERIES) - SIDE_EFFECT_KEYS):
+        plan = QUERIES[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, key
