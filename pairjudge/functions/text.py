@@ -217,6 +217,15 @@ def broken_reasons(original, rewrite) -> Column:
     )
 
 
+def broken_flag(original, rewrite) -> Column:
+    """True when any screening rule fires (same rules as :func:`broken_reasons`), ordered cheapest
+    first so the short-circuit OR skips the tokenising English test for most broken rows."""
+    return (looks_incomplete(original) | looks_incomplete(rewrite) | shrunk_rewrite(original, rewrite)
+            | prompt_artifact(original, rewrite)
+            | (english_signal(original) >= ENGLISH_HEAVY_MIN_TERMS)
+            | (english_signal(rewrite) >= ENGLISH_HEAVY_MIN_TERMS))
+
+
 def classify_error(status, message, err_type) -> Column:
     """Readable failure text of a model call: class (auth/quota/rate/server/other) + message."""
     st = _c(status)

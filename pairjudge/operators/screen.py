@@ -9,9 +9,8 @@ from pairjudge.functions import text as T
 
 
 def add_broken_flags(df: DataFrame, original: str, rewrite: str) -> DataFrame:
-    reasons = T.broken_reasons(original, rewrite)
-    return df.withColumn("broken_row_reason", reasons) \
-             .withColumn("broken_row_flag", F.col("broken_row_reason") != "")
+    return df.withColumn("broken_row_reason", T.broken_reasons(original, rewrite)) \
+             .withColumn("broken_row_flag", T.broken_flag(original, rewrite))
 
 
 def add_gold_increment(df: DataFrame, raw: str) -> DataFrame:
@@ -20,10 +19,15 @@ def add_gold_increment(df: DataFrame, raw: str) -> DataFrame:
 
 
 def eligible(df: DataFrame, drop_broken: bool = True) -> DataFrame:
-    """Gold-positive rows (increment >= 4), without broken rows unless disabled."""
+    """Gold-positive rows (increment >= 4), without broken rows unless disabled.
+
+    The screening columns are constant on the kept rows and are dropped: the optimizer inlines
+    the (text-heavy) flag expression into the filter, and not projecting it again afterwards
+    keeps the screening to a single evaluation per row."""
     cond = F.col("gold") == 1
     if drop_broken:
         cond = cond & ~F.col("broken_row_flag")
+        return df.where(cond).drop("broken_row_flag", "broken_row_reason")
     return df.where(cond)
 
 

@@ -11,6 +11,7 @@ from pairjudge.plans.common import SEED, OX_ORDER
 from pairjudge.plans.oracle_fx import with_fx
 from pairjudge.plans.q_text import strip_sql
 from pairjudge.plans.registry import register
+from pairjudge.session import checkpoint_dir
 from pairjudge.sources import tables as S
 
 # --- screening (rephrasing set) ---------------------------------------------------------------
@@ -200,7 +201,13 @@ FROM (SELECT *, row_number() OVER (ORDER BY md5(concat('42:', item_id)), item_id
 
 
 def randomized(spark, sf):
-    return A.balanced_ab_random(SC.eligible(screened(spark, sf)), SEED)
+    """Balanced order on the eligible set. The eligible set comes out of text-heavy narrow
+    screening; it is checkpointed (shared checkpoint folder) so the two passes of the exact rank
+    read it back instead of screening every text twice."""
+    checkpoint_dir(spark)
+    items = SC.eligible(screened(spark, sf)).select("item_id", "lang", "normal_answer", "empathy_answer",
+                                                    "increment_raw", "increment_score", "gold").checkpoint()
+    return A.balanced_ab_random(items, SEED)
 
 
 @register("balanced_ab_random", with_fx("SELECT item_id, target_is_a, gold_choice, response_order FROM rnd",
