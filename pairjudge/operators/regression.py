@@ -21,6 +21,8 @@ def standardize(df: DataFrame, keys: list[str], col: str, out: str = "z") -> Dat
     return df.join(st, keys).withColumn(out, (F.col(col) - F.col("_mu")) / F.col("_sd")).drop("_mu", "_sd")
 
 
+BROADCAST_MAX_GROUPS = 100_000   # coefficient table rows; above this the join is left to the planner
+
 RESULT_SCHEMA = ("n bigint, wins bigint, beta_per_sd double, or_per_sd double, p double, "
                  "mean_delta double, iterations int, error string")
 
@@ -49,7 +51,8 @@ def logit_per_group(df: DataFrame, keys: list[str], y: str, x: str, max_iter: in
             p = 1.0 / (1.0 + F.exp(-eta))
             w = p * (1.0 - p)
             r = F.col("_y") - p
-            agg = d.join(F.broadcast(coef), keys).groupBy(*keys).agg(
+            coef = F.broadcast(coef) if len(beta) <= BROADCAST_MAX_GROUPS else coef
+            agg = d.join(coef, keys).groupBy(*keys).agg(
                 F.sum(w).alias("h00"), F.sum(w * F.col("_z")).alias("h01"),
                 F.sum(w * F.col("_z") * F.col("_z")).alias("h11"),
                 F.sum(r).alias("g0"), F.sum(r * F.col("_z")).alias("g1")).collect()

@@ -11,13 +11,13 @@ from pairjudge.functions import text as T
 from pairjudge.operators import agreement as AG
 from pairjudge.operators import metrics as M
 from pairjudge.operators import verdicts as V
-from pairjudge.plans.common import (OUTCOME_CTES, WIDE_CTES, OX_ORDER, OX_LONG, imb_wide,
-                                    long_verdicts, outcomes, choice_sql, wc)
+from pairjudge.plans.common import (OUTCOME_CTES, WIDE_CTES, imb_wide, long_verdicts, outcomes,
+                                    choice_sql, wc)
 from pairjudge.plans.oracle_fx import with_fx
 from pairjudge.plans.q_screen import GOLD_SQL, SHUFFLE_SQL, shuffled
 from pairjudge.plans.q_stats import wilson_sql
 from pairjudge.plans.registry import register
-from pairjudge.plans.sqlgen import confusion_sql, div, metrics_sql
+from pairjudge.plans.sqlgen import confusion_sql, metrics_sql
 from pairjudge.sources import tables as S
 
 # --- two-source calibration run: order x judges -> verdicts ------------------------------------
