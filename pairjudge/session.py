@@ -27,12 +27,18 @@ def get_spark(master: str | None = None, app: str = "pairjudge",
     ``local[*]`` with a small number of shuffle partitions.
     """
     b = SparkSession.builder.appName(app)
+    local = False
     if master:
         b = b.master(master)
+        local = master.startswith("local")
     elif not os.environ.get("SPARK_MASTER") and "spark.master" not in (conf or {}):
         b = b.master("local[*]")
+        local = True
     settings = dict(DEFAULT_CONF)
-    settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions or 8)
+    # Locally, a few shuffle partitions; on a cluster the submitted configuration (and AQE's
+    # partition coalescing / advisory size) decides unless the caller asks for a number.
+    if shuffle_partitions or local:
+        settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions or 8)
     settings.update(conf or {})
     for k, v in settings.items():
         b = b.config(k, v)
