@@ -84,3 +84,17 @@ def test_outcome_invariants(spark):
     checked = {r["judge"]: r["rows_checked"] for r in f}
     for r in fm:
         assert r["t"] == checked[r["judge"]]
+
+
+def test_unanswered_fail_vs_exclude(spark):
+    from pairjudge.operators import verdicts as V
+    rows = [("j", "1", "Generated", "Original", "Yes", "No"), ("j", "2", None, "Generated", None, "No"),
+            ("j", "3", "Original", None, "No", None)]
+    w = spark.createDataFrame(rows, "judge string, item_id string, empathy string, quality string, "
+                                    "preservation string, unsupported_addition string")
+    fail = {r["item_id"]: r for r in V.derive_outcomes(w, ["judge", "item_id"], "fail").collect()}
+    excl = {r["item_id"]: r for r in V.derive_outcomes(w, ["judge", "item_id"], "exclude").collect()}
+    assert fail["2"]["emp_gen"] == 0 and excl["2"]["emp_gen"] is None
+    assert fail["1"]["fp"] == 1 and fail["1"]["sqi"] == 0
+    assert fail["3"]["fp"] == 0 and excl["3"]["fp"] is None
+    assert excl["1"]["fp"] == 1
