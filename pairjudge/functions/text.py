@@ -108,8 +108,13 @@ def mismatch_explanation(raw) -> Column:
         F.substring(strip_text(raw), 1, RAW_EXPLANATION_MAX))
 
 
-def normalize_bool(x) -> Column:
-    """Boolean label from text (EN + IT spellings, or an embedded true/false); NULL if invalid."""
+def normalize_bool(x, numeric: bool = False) -> Column:
+    """Boolean label from text (EN + IT spellings, or an embedded true/false); NULL if invalid.
+
+    ``numeric=True`` is for numeric columns: the value is rounded and tested against 0."""
+    if numeric:
+        v = _c(x).cast("double")
+        return F.when(v.isNotNull() & ~F.isnan(v), F.round(v) != 0)
     s = F.lower(strip_text(_c(x).cast("string")))
     return (F.when(s.isin(*TRUE_WORDS), F.lit(True))
             .when(s.isin(*FALSE_WORDS), F.lit(False))

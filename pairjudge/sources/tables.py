@@ -27,6 +27,8 @@ def fx_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answer-editing items: question (user turn), original answer (next assistant turn) and an
     edited answer ('' = not generated yet)."""
     conv = table(spark, sf_dir, "conversations")
+    # An equi-join on the unique (conv_id, turn) key rather than lead() over a conversation window:
+    # a very long conversation can never pile up in one task.
     u = conv.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
     a = conv.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("original_answer"))

@@ -121,3 +121,9 @@ def test_classify_error(spark):
                                       ('{"other": 1}', ""), ("", ""), (None, "")])
 def test_mismatch_explanation(spark, raw, want):
     assert _eval(spark, T.mismatch_explanation, [raw]) == [want]
+
+
+def test_normalize_bool_numeric(spark):
+    df = spark.createDataFrame([(0.4,), (0.6,), (2.0,), (None,), (float("nan"),)], "v double")
+    got = [r["o"] for r in df.select(T.normalize_bool(F.col("v"), numeric=True).alias("o")).collect()]
+    assert got == [False, True, True, None, None]
