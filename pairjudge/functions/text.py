@@ -114,7 +114,7 @@ def normalize_bool(x, numeric: bool = False) -> Column:
     ``numeric=True`` is for numeric columns: the value is rounded and tested against 0."""
     if numeric:
         v = _c(x).cast("double")
-        return F.when(v.isNotNull() & ~F.isnan(v), F.round(v) != 0)
+        return F.when(v.isNotNull() & ~F.isnan(v), F.bround(v) != 0)  # half-even, as Python round
     s = F.lower(strip_text(_c(x).cast("string")))
     return (F.when(s.isin(*TRUE_WORDS), F.lit(True))
             .when(s.isin(*FALSE_WORDS), F.lit(False))

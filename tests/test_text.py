@@ -124,6 +124,6 @@ def test_mismatch_explanation(spark, raw, want):
 
 
 def test_normalize_bool_numeric(spark):
-    df = spark.createDataFrame([(0.4,), (0.6,), (2.0,), (None,), (float("nan"),)], "v double")
+    df = spark.createDataFrame([(0.4,), (0.6,), (2.0,), (None,), (float("nan"),), (0.5,), (1.5,)], "v double")
     got = [r["o"] for r in df.select(T.normalize_bool(F.col("v"), numeric=True).alias("o")).collect()]
-    assert got == [False, True, True, None, None]
+    assert got == [False, True, True, None, None, False, True]
