@@ -18,14 +18,22 @@ BUCKET_DIGITS = 4          # 65,536 buckets; the offset table is <= 65,536 rows
 
 def exact_rank(df: DataFrame, hash_col: str, tiebreak: list[str], out: str = "rank",
                digits: int = BUCKET_DIGITS, total_col: str | None = None,
-               keys: list[str] | None = None) -> DataFrame:
+               keys: list[str] | None = None, checkpoint_input: bool = False) -> DataFrame:
     """Add ``out`` = 1-based rank of (``hash_col``, *tiebreak) within each ``keys`` group (whole
     DataFrame when no keys).
 
     ``hash_col`` must be a lower-case hex string of uniform hash digits (md5), so buckets are
     balanced; ``total_col`` optionally carries the group's row count to every row. ``keys`` must
     have few distinct values (dimensions, seeds): the offset table has keys x 16**digits rows.
+
+    The count pass and the rank pass both read ``df``; shuffles in its lineage are reused, but
+    narrow work after the last shuffle runs twice. For an expensive narrow input (e.g. text
+    screening) pass ``checkpoint_input=True``: it is written once to the shared checkpoint folder.
     """
+    if checkpoint_input:
+        from pairjudge.session import checkpoint_dir
+        checkpoint_dir(df.sparkSession)
+        df = df.checkpoint()
     keys = list(keys or [])
     bkt = "_rk_bucket"
     x = df.withColumn(bkt, F.substring(F.col(hash_col), 1, digits))

@@ -66,3 +66,10 @@ def test_balance_check_zero_fills(spark):
     df = _items(spark, 1)
     out = {r["gold_choice"]: r["n"] for r in A.balance_check(A.balanced_ab_hash(df, 42)).collect()}
     assert out == {"A": 0, "B": 1}
+
+
+def test_exact_rank_checkpointed_input(spark):
+    df = _items(spark, 300).withColumn("h", F.md5("item_id"))
+    a = A.exact_rank(df, "h", ["item_id"], digits=2).select("item_id", "rank")
+    b = A.exact_rank(df, "h", ["item_id"], digits=2, checkpoint_input=True).select("item_id", "rank")
+    assert a.exceptAll(b).count() == 0
