@@ -24,7 +24,7 @@ from pairjudge.sources import tables as S  # noqa: E402
 
 HEADLINE = ["mcnemar", "cohen_kappa", "exact_rank", "balanced_ab_hash", "balanced_ab_shuffle",
             "letter_metrics", "setting_summary", "category_pass", "dedupe_keep_last", "broken_flags",
-            "parse_choice", "inspect_filter", "kappa_bootstrap_ci", "gold_agreement"]
+            "parse_choice", "inspect_filter", "kappa_bootstrap_ci", "kappa_bootstrap_cells", "gold_agreement"]
 
 
 def bootstrap_cells_big(spark, sf):

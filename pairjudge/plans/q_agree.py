@@ -218,3 +218,11 @@ def length_confound(spark, sf):
     return RG.logit_per_group(o, ["judge"], "qual_gen", "delta")
 
 
+
+
+@register("kappa_bootstrap_cells")
+def kappa_bootstrap_cells(spark, sf):
+    """Kappa interval (B = 2,000, seed 42) per category over every lineitem-sized rater row, by
+    multinomial draws of the 2x2 cells: cost independent of n."""
+    return RS.multinomial_bootstrap_kappa(S.fx_raters_big(spark, sf), ["category"], "rater_a", "rater_b",
+                                          B=KAPPA_B, seed=42)

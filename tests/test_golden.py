@@ -97,3 +97,15 @@ def test_kappa_strength_bands(spark):
     df = spark.createDataFrame(vals, "k double, want string")
     for r in df.select("want", ST.kappa_strength(F.col("k")).alias("s")).collect():
         assert r["s"] == r["want"]
+
+
+# (n10, n01, sum_a, published low, published high) — kappa B = 2,000 bootstrap, n = 1000
+KAPPA_CI = [(6, 24, 974, -0.012, 0.258), (23, 15, 977, 0.111, 0.439), (316, 0, 998, 0.000, 0.022),
+            (309, 12, 975, -0.001, 0.062), (8, 123, 874, -0.015, 0.074), (39, 11, 988, -0.023, 0.107)]
+
+
+@pytest.mark.parametrize("n10,n01,sa,lo,hi", KAPPA_CI)
+def test_kappa_bootstrap_cells_published(spark, n10, n01, sa, lo, hi):
+    df = _expand(spark, n10, n01, sa)
+    r = RS.multinomial_bootstrap_kappa(df, ["g"], "a", "b", B=2000, seed=42).first()
+    assert abs(r["ci_low"] - lo) <= 0.03 and abs(r["ci_high"] - hi) <= 0.03
