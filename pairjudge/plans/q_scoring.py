@@ -193,17 +193,30 @@ def judge_all(spark, sf):
 
 @register("judge_gold_pairs")
 def judge_gold_pairs(spark, sf):
-    """Rephrasing calibration: balanced order on the eligible set, empathy judge, match vs gold."""
+    """Rephrasing calibration: balanced order on the eligible set, empathy judge, match vs gold;
+    rows where the judge missed the gold get a second-stage explanation call (first stage
+    materialised so it is not scored twice)."""
     r = randomized(spark, sf)
     t = F.col("target_is_a")
     a = F.when(t, F.col("empathy_answer")).otherwise(F.col("normal_answer"))
     b = F.when(t, F.col("normal_answer")).otherwise(F.col("empathy_answer"))
     sys_, tpl = P.template("calibration", "rephrase")
     user = P.render(tpl, sentence_a=a, sentence_b=b)
-    x = r.select("item_id", "gold_choice", F.lit(sys_).alias("system"), user.alias("user"))
-    out = SC.score_rows(x, keep=["item_id", "gold_choice"], partitions=8)
-    out = V.add_match(out.withColumn("pred_choice", T.parse_choice("raw_response")), "gold_choice", "pred_choice")
-    return out.select("item_id", "pred_choice", "gold_choice", "is_match")
+    x = r.select("item_id", "gold_choice", "response_order", "normal_answer", "empathy_answer",
+                 F.lit(sys_).alias("system"), user.alias("user"))
+    first = SC.score_rows(x, keep=["item_id", "gold_choice", "response_order", "normal_answer", "empathy_answer"],
+                          partitions=8)
+    first = V.add_match(first.withColumn("pred_choice", T.parse_choice("raw_response")), "gold_choice", "pred_choice")
+    first = SC.materialize(first, "gold-judge-stage")
+    missed = first.where(F.col("is_match") == 0)
+    esys, etpl = P.template("calibration_explain", "rephrase")
+    euser = P.render(etpl, question=F.lit(""), normal_answer=F.col("normal_answer"),
+                     empathy_answer=F.col("empathy_answer"), response_order=F.col("response_order"),
+                     pred_choice=F.col("pred_choice"), gold_choice=F.col("gold_choice"))
+    second = SC.score_rows(missed.select("item_id", F.lit(esys).alias("system"), euser.alias("user")),
+                           keep=["item_id"], partitions=8)
+    expl = second.select("item_id", T.mismatch_explanation("raw_response").alias("mismatch_explanation"))
+    return first.select("item_id", "pred_choice", "gold_choice", "is_match").join(expl, "item_id", "left")
 
 
 @register("explain_mismatches")
