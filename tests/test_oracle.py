@@ -55,7 +55,7 @@ def test_entry_smoke(spark):
 
 SIDE_EFFECT_KEYS = {"read_table", "export_csv", "read_salvage", "read_encoding_fallback", "load_labelled_runs",
                     "write_results", "failure_policy", "incremental_run", "explain_mismatches", "length_confound",
-                    "stream_keep_last"}
+                    "stream_keep_last", "judge_gold_pairs"}
 
 
 def test_no_cartesian_or_nested_loop_plans(spark):
@@ -63,3 +63,12 @@ def test_no_cartesian_or_nested_loop_plans(spark):
     for key in sorted(set(QUERIES) - SIDE_EFFECT_KEYS):
         plan = QUERIES[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, key
+
+
+def test_hot_key_aggregations_combine_map_side(spark):
+    """McNemar, kappa and keep-last aggregate partially before their shuffle, so a key holding a
+    large share of the rows is reduced inside each map task."""
+    for key, fn in (("mcnemar", "partial_count"), ("cohen_kappa", "partial_count"),
+                    ("dedupe_keep_last", "partial_max_by"), ("category_pass", "partial_sum")):
+        plan = QUERIES[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert fn in plan, key

@@ -18,7 +18,7 @@ from pairjudge.session import get_spark  # noqa: E402
 # Queries that write scratch data while being built (their plan is a read-back scan).
 SIDE_EFFECTS = {"read_table", "export_csv", "read_salvage", "read_encoding_fallback", "load_labelled_runs",
                 "write_results", "failure_policy", "incremental_run", "explain_mismatches", "length_confound",
-                "stream_keep_last"}
+                "stream_keep_last", "judge_gold_pairs"}
 
 
 def shape(plan: str) -> dict:
