@@ -127,6 +127,24 @@ def poisson1_weight(u) -> Column:
     return w
 
 
+def _hex_threshold(p: float) -> str:
+    """12-hex-digit string T with: int(h, 16) / 2**48 >= p  <=>  h >= T (fixed-width hex compares
+    like the integer it encodes; p * 2**48 is exact in binary floating point)."""
+    return format(math.ceil(p * 2 ** 48), "012x")
+
+
+def poisson1_weight_hashed(*parts) -> Column:
+    """Poisson(1) resampling weight of a row from md5 of the '||'-joined parts: the same value as
+    ``poisson1_weight(hash_uniform(*parts))``, computed by comparing the 12-digit hex prefix with
+    precomputed thresholds instead of converting it to a number."""
+    h = F.substring(F.md5(F.concat_ws("||", *[_c(p).cast("string") for p in parts])), 1, 12)
+    w = None
+    for p in POISSON1_CDF:
+        t = F.when(h >= F.lit(_hex_threshold(p)), F.lit(1)).otherwise(F.lit(0))
+        w = t if w is None else w + t
+    return w
+
+
 def hash_uniform(*parts) -> Column:
     """Deterministic uniform in [0, 1) from md5 of the '||'-joined parts (48 bits)."""
     h = F.md5(F.concat_ws("||", *[_c(p).cast("string") for p in parts]))

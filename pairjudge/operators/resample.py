@@ -38,7 +38,7 @@ def poisson_bootstrap_mean(df: DataFrame, keys: list[str], id_col: str, value: s
     x = df.select(*keys, id_col, F.col(value).cast("double").alias("_v"))
     est = x.groupBy(*keys).agg(F.avg("_v").alias("estimate"), F.count(F.lit(1)).alias("n"))
     r = _replicates(x, B, spread_by=id_col)
-    w = ST.poisson1_weight(ST.hash_uniform(F.lit(seed), F.col("rep"), F.col(id_col)))
+    w = ST.poisson1_weight_hashed(F.lit(seed), F.col("rep"), F.col(id_col))
     per_rep = r.withColumn("_w", w).groupBy(*keys, "rep").agg(
         F.sum(F.col("_w") * F.col("_v")).alias("_swx"), F.sum("_w").alias("_sw"))
     means = per_rep.where(F.col("_sw") > 0).select(*keys, (F.col("_swx") / F.col("_sw")).alias("_m"))
@@ -79,8 +79,7 @@ def poisson_bootstrap_kappa(df: DataFrame, keys: list[str], id_col: str, a: str,
                             seed: int = 42, probs=(0.025, 0.975)) -> DataFrame:
     x = df.select(*keys, id_col, F.col(a).alias("_a"), F.col(b).alias("_b"))
     r = _replicates(x, B, spread_by=id_col)
-    w = ST.poisson1_weight(ST.hash_uniform(F.lit(seed), F.col("rep"), F.col(id_col)))
-    r = r.withColumn("_w", w)
+    r = r.withColumn("_w", ST.poisson1_weight_hashed(F.lit(seed), F.col("rep"), F.col(id_col)))
 
     def cell(ca, cb):
         return F.sum(F.when((F.col("_a") == ca) & (F.col("_b") == cb), F.col("_w")).otherwise(0))

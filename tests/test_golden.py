@@ -109,3 +109,12 @@ def test_kappa_bootstrap_cells_published(spark, n10, n01, sa, lo, hi):
     df = _expand(spark, n10, n01, sa)
     r = RS.multinomial_bootstrap_kappa(df, ["g"], "a", "b", B=2000, seed=42).first()
     assert abs(r["ci_low"] - lo) <= 0.03 and abs(r["ci_high"] - hi) <= 0.03
+
+
+def test_hex_threshold_weight_equals_numeric_weight(spark):
+    df = spark.range(20000).select(F.col("id").cast("string").alias("i"))
+    w1 = ST.poisson1_weight(ST.hash_uniform(F.lit(42), F.lit(7), F.col("i")))
+    w2 = ST.poisson1_weight_hashed(F.lit(42), F.lit(7), F.col("i"))
+    assert df.where(w1 != w2).count() == 0
+    dist = {r["w"]: r["count"] for r in df.select(w2.alias("w")).groupBy("w").count().collect()}
+    assert abs(dist[0] / 20000 - 0.3679) < 0.02 and abs(dist[1] / 20000 - 0.3679) < 0.02
