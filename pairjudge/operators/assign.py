@@ -42,7 +42,10 @@ def exact_rank(df: DataFrame, hash_col: str, tiebreak: list[str], out: str = "ra
     w_prev = Window.partitionBy(*keys).orderBy(bkt).rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(*keys, bkt, F.coalesce(F.sum("_rk_n").over(w_prev), F.lit(0)).alias("_rk_off"),
                          F.sum("_rk_n").over(Window.partitionBy(*keys)).alias("_rk_total"))
-    ranked = x.join(F.broadcast(offs), [*keys, bkt]).withColumn(
+    # Without keys the offset table has at most 16**digits rows: broadcast it. With keys its size
+    # grows with the key count, so the broadcast decision is left to AQE's runtime size check.
+    offs = offs if keys else F.broadcast(offs)
+    ranked = x.join(offs, [*keys, bkt]).withColumn(
         out, F.row_number().over(Window.partitionBy(*keys, bkt).orderBy(hash_col, *tiebreak))
         + F.col("_rk_off"))
     if total_col:
