@@ -276,3 +276,24 @@ def incremental_run(spark, sf):
     SC.incremental_run(u, ["item_id", "judge", "dimension"], 40, score, store)
     SC.incremental_run(u, ["item_id", "judge", "dimension"], 40, score, store)
     return spark.read.parquet(store).select("item_id", "judge", "dimension", "raw_response", "error")
+
+
+def _cal_prompt_sql() -> str:
+    from pairjudge.plans.q_metrics import CAL_CTES
+    return with_fx("""
+SELECT c.item_id, c.dimension, c.judge, v.variant, md5(t.system) AS system_md5, md5(t.user_template) AS template_md5
+FROM cal c CROSS JOIN (VALUES ('paper_minimal'), ('paper_guided_editprompt')) v(variant)
+JOIN tpl t ON t.kind = 'calibration' AND t.key = v.variant || ':' || lower(c.dimension)""",
+                   "fx_ratings", extra=CAL_CTES + [("tpl", _templates_sql())])
+
+
+@register("calibration_prompts", _cal_prompt_sql())
+def calibration_prompts(spark, sf):
+    """Two-source calibration rows expanded over the two prompt variants, each with its template
+    chosen by (variant, dimension) from the template table."""
+    from pairjudge.plans.q_metrics import cal_view
+    v = cal_view(spark, sf).select("item_id", "dimension", "judge",
+                                   F.explode(F.array(*[F.lit(x) for x in P.CAL_VARIANTS])).alias("variant"))
+    x = PR.with_templates(v, F.lit("calibration"), F.concat(F.col("variant"), F.lit(":"), F.lower("dimension")))
+    return x.select("item_id", "dimension", "judge", "variant", F.md5("system").alias("system_md5"),
+                    F.md5("user_template").alias("template_md5"))

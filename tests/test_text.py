@@ -127,3 +127,15 @@ def test_normalize_bool_numeric(spark):
     df = spark.createDataFrame([(0.4,), (0.6,), (2.0,), (None,), (float("nan"),), (0.5,), (1.5,)], "v double")
     got = [r["o"] for r in df.select(T.normalize_bool(F.col("v"), numeric=True).alias("o")).collect()]
     assert got == [False, True, True, None, None, False, True]
+
+
+def test_render_single_pass_and_literal_braces(spark):
+    from pairjudge.functions import prompts as P
+    tpl = P.template("calibration_explain", "rephrase")[1]
+    df = spark.createDataFrame([("{gold_choice} inside", "B")], "normal_answer string, gold_choice string")
+    out = df.select(P.render(tpl, normal_answer=F.col("normal_answer"), gold_choice=F.col("gold_choice"),
+                             question=F.lit("q"), empathy_answer=F.lit("e"), response_order=F.lit("o"),
+                             pred_choice=F.lit("A")).alias("p")).first()["p"]
+    assert "{gold_choice} inside" in out            # an answer is never re-expanded
+    assert '{{"mismatch_explanation"' in out         # doubled braces reach the model as written
+    assert "Correct choice according to the gold label:\nB" in out
