@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -47,15 +50,46 @@ def get_spark(master: str | None = None, app: str = "pairjudge",
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """One machine holds driver and tasks (``local[...]``), so a private folder is visible to all."""
+    return spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when the session leaves it unset (local tests) do we create a private folder; on a
-    cluster this setting must point at shared storage, never a machine-local path.
+    Only a ``local[...]`` session that leaves the setting unset (tests) gets a private folder,
+    removed when the process ends; on a cluster an unset folder is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="pairjudge-ckpt-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that Python stages import it
+    there even when the driver loaded it by file path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="pairjudge-pkg-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "pairjudge_pkg.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for d, _, names in sorted(os.walk(root)):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(d, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
