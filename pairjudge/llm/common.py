@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -62,19 +63,19 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = P
             yield batch.slice(start)
 
 
-def dense_rank(df: DataFrame, order: list[str], group: list[str], rank: str, rows_per_bucket: int = 50_000) -> DataFrame:
+def dense_rank(df: DataFrame, order: list[str], group: list[str], rank: str) -> DataFrame:
     """Add ``rank``: 0, 1, 2, ... within each ``group``, gapless, without sorting a group in one task.
 
-    Rows are spread over hash buckets of their ``order`` columns; ranks inside a bucket come from a
-    window, and the start of each bucket from a running sum over the bucket counts. ``order`` must
+    Rows are spread over about sqrt(rows) hash buckets of their ``order`` columns; ranks inside a
+    bucket come from a window, and the start of each bucket from a running sum over the bucket counts. ``order`` must
     tell rows apart, or the rows it does not tell apart must be interchangeable. ``df`` is read
     twice, so it should be a written table.
     """
     n = df.count()
-    buckets = max(1, -(-n // rows_per_bucket))
+    buckets = max(1, math.isqrt(n))
     keyed = df.withColumn("__bucket", F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(buckets)).cast("int"))
     counts = keyed.groupBy(*group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    # One row per (group, bucket), at most: rows / rows_per_bucket times the number of groups.
+    # sqrt(rows) rows per group at most.
     before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     inside = Window.partitionBy(*group, "__bucket").orderBy(*order)
