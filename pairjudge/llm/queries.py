@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairjudge.llm import decontaminate, packing, simhash, topk, training_order
+from pairjudge.llm import decontaminate, packing, secrets, simhash, topk, training_order
 from pairjudge.llm.common import table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -58,7 +58,15 @@ def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.training_order(table(spark, sf_dir, "documents"))
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.col("secrets")
+    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", *[F.size(found[k]).cast("long").alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(found["base"], 256).alias("base_sha256"), found["spans"].alias("spans"))
+
+
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op2_training_order": op2_training_order,
     "op10_topk": op10_topk,
     "op7_packing": op7_packing,
