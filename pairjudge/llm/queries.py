@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairjudge.llm import decontaminate, packing, secrets, simhash, topk, training_order
+from pairjudge.llm import decontaminate, html_text, packing, secrets, simhash, topk, training_order
 from pairjudge.llm.common import table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -65,7 +65,12 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(found["base"], 256).alias("base_sha256"), found["spans"].alias("spans"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op3_main_text": op3_main_text,
     "op1_secrets": op1_secrets,
     "op2_training_order": op2_training_order,
     "op10_topk": op10_topk,
