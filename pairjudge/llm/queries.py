@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairjudge.llm import decontaminate, html_text, packing, secrets, simhash, topk, training_order
+from pairjudge.llm import decontaminate, html_text, language, packing, secrets, simhash, topk, training_order
 from pairjudge.llm.common import table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -69,7 +69,13 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return language.predict(documents, language.fit(language.training_rows(documents)))
+
+
 QUERIES = {
+    "op4_language": op4_language,
     "op3_main_text": op3_main_text,
     "op1_secrets": op1_secrets,
     "op2_training_order": op2_training_order,
