@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairjudge.llm import decontaminate, html_text, language, packing, repeated_spans, secrets, simhash, topk, training_order
+from pairjudge.llm import decontaminate, html_text, language, packing, pii, repeated_spans, secrets, simhash, topk, training_order
 from pairjudge.llm.common import table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -78,7 +78,12 @@ def op8_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op6_surrogates": op6_surrogates,
     "op8_repeated_spans": op8_repeated_spans,
     "op4_language": op4_language,
     "op3_main_text": op3_main_text,
