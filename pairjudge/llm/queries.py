@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pairjudge.llm import decontaminate, html_text, language, packing, pii, repeated_spans, secrets, simhash, topk, training_order
 from pairjudge.llm.common import table
 
@@ -83,6 +84,7 @@ def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op6_surrogates": op6_surrogates,
     "op8_repeated_spans": op8_repeated_spans,
     "op4_language": op4_language,
