@@ -46,7 +46,9 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
         if end == start:
             continue
         words = text[start:end].lower().split()
-        if not words and out:  # marks or white space alone: part of the sentence before
+        if not words and not out:  # white space before the first sentence is part of it
+            continue
+        if not words:  # and elsewhere of the sentence before
             out[-1] = (out[-1][0], end, out[-1][2])
         elif len(words) <= LONG:
             out.append((start, end, words))
@@ -64,7 +66,7 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
             elif at < end and out:
                 out[-1] = (out[-1][0], end, out[-1][2])
         start = end
-    return out
+    return out or ([(0, len(text), [])] if text else [])
 
 
 def runs(found: list[tuple[int, int, list[str]]]) -> Iterator[tuple[int, int, int]]:
