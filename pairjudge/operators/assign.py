@@ -1,13 +1,23 @@
 """Reproducible, exactly balanced A/B order assignment.
 
-The core is :func:`exact_rank`: a deterministic global rank by a uniform hex hash without an
-unpartitioned window (which would pull every row into one task). Rows are bucketed by the first
-hex digits of the hash; a per-bucket count table (at most 16**digits rows, a proven bound) gives
-each bucket its running offset and is broadcast; ``row_number`` runs inside each bucket.
+A balanced order only asks whether a row is among the m smallest by a uniform hex hash.
+:func:`among_smallest` finds the threshold (the m-th smallest hash and id) from counts per hash
+bucket and a sort of the one bucket that holds it; rows, with whatever long texts they carry, are
+then compared with it where they are, without a shuffle.
+
+:func:`exact_rank` is a deterministic global rank without an unpartitioned window (which would pull
+every row into one task). Rows are bucketed by the first hex digits of the hash; a per-bucket count
+table (at most 16**digits rows, a proven bound) gives each bucket its running offset and is
+broadcast; ``row_number`` runs inside each bucket.
+
+Key columns may be NULL: NULL is a key like any other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +26,43 @@ from pairjudge.functions.text import hash_coin
 BUCKET_DIGITS = 4          # 65,536 buckets; the offset table is <= 65,536 rows (~1 MB broadcast)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with NULL equal to NULL; the right side's key columns are dropped."""
+    renamed = right.withColumnsRenamed({k: f"_nsj_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_nsj_{k}"]) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_nsj_{k}" for k in keys])
+
+
+def among_smallest(df: DataFrame, hash_col: str, id_col: str, quota: Callable[[Column], Column],
+                   keys: list[str] | None = None, digits: int = BUCKET_DIGITS) -> Column:
+    """Condition on the rows of ``df``: is (``hash_col``, ``id_col``) among the ``quota(n)`` smallest
+    of its ``keys`` group of n rows?
+
+    ``hash_col`` must be a lower-case hex string of uniform hash digits and ids unique. ``keys``
+    must have few distinct values: the thresholds, one per key, are scalar subqueries.
+    """
+    keys = list(keys or [])
+    bucket = F.substring(F.col(hash_col), 1, digits)
+    key = F.struct(*[F.col(k) for k in keys], F.lit(0).alias("_all"))
+    rows = df.select(*keys, hash_col, id_col)
+    counts = rows.groupBy(*keys, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    # Windows over counts: keys x 16**digits rows at most.
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b"))
+    total = F.sum("_n").over(Window.partitionBy(*keys))
+    cut = (counts.select(*keys, "_b", "_n", upto.alias("_upto"), quota(total).alias("_m"))
+           .where((F.col("_upto") >= F.col("_m")) & (F.col("_upto") - F.col("_n") < F.col("_m"))))
+    cuts = cut.agg(F.map_from_entries(F.collect_list(F.struct(
+        key.alias("k"), F.struct("_b", (F.col("_m") - F.col("_upto") + F.col("_n")).alias("_need")).alias("v"))))).scalar()
+    # The bucket that holds the threshold: about n / 16**digits rows.
+    inside = rows.withColumn("_cut", F.try_element_at(cuts, key)).where(bucket.eqNullSafe(F.col("_cut._b")) & F.col("_cut").isNotNull())
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(hash_col, id_col))
+    last = inside.withColumn("_place", place).where(F.col("_place") == F.col("_cut._need"))
+    thresholds = last.agg(F.map_from_entries(F.collect_list(F.struct(
+        key.alias("k"), F.struct(F.col(hash_col).alias("h"), F.col(id_col).alias("i")).alias("v"))))).scalar()
+    own = F.struct(F.col(hash_col).alias("h"), F.col(id_col).alias("i"))
+    return F.coalesce(own <= F.try_element_at(thresholds, key), F.lit(False))
+
+
 def exact_rank(df: DataFrame, hash_col: str, tiebreak: list[str], out: str = "rank",
                digits: int = BUCKET_DIGITS, total_col: str | None = None,
                keys: list[str] | None = None, checkpoint_input: bool = False) -> DataFrame:
@@ -45,7 +92,7 @@ def exact_rank(df: DataFrame, hash_col: str, tiebreak: list[str], out: str = "ra
     # Without keys the offset table has at most 16**digits rows: broadcast it. With keys its size
     # grows with the key count, so the broadcast decision is left to AQE's runtime size check.
     offs = offs if keys else F.broadcast(offs)
-    ranked = x.join(offs, [*keys, bkt]).withColumn(
+    ranked = join_null_safe(x, offs, [*keys, bkt]).withColumn(
         out, F.row_number().over(Window.partitionBy(*keys, bkt).orderBy(hash_col, *tiebreak))
         + F.col("_rk_off"))
     if total_col:
@@ -70,10 +117,9 @@ def balanced_ab_hash(items: DataFrame, seed: int, id_col: str = "item_id",
     """The floor(n/2) items with the smallest md5('{seed}{sep}{id}') get the target at A."""
     h = F.md5(F.concat_ws(sep, F.lit(str(seed)), F.col(id_col).cast("string")))
     x = items.withColumn("_ab_h", h)
-    r = exact_rank(x, "_ab_h", [id_col], out="_ab_rank", total_col="_ab_n", keys=keys)
-    is_a = F.col("_ab_rank") <= F.floor(F.col("_ab_n") / 2)
-    return r.select(*[c for c in items.columns], F.lit(seed).alias("seed"),
-                    *_order_cols(is_a, target, other))
+    is_a = among_smallest(x, "_ab_h", id_col, lambda n: F.floor(n / 2), keys)
+    return x.withColumn("_ab_a", is_a).select(*items.columns, F.lit(seed).alias("seed"),
+                                              *_order_cols(F.col("_ab_a"), target, other))
 
 
 def balanced_ab_shuffle(items: DataFrame, seed: int, id_col: str = "item_id",
@@ -86,15 +132,15 @@ def balanced_ab_shuffle(items: DataFrame, seed: int, id_col: str = "item_id",
     ``target_col`` (e.g. ``gold_source``) names, per row, which source is the gold one; the
     other source is then the remaining label of (target, other).
     """
-    h = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), 1, 12)
-    r = exact_rank(items.withColumn("_sh_h", h), "_sh_h", [id_col], out="_sh_pos", total_col="_sh_n",
-                   keys=keys)
+    rows_id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    h = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), rows_id)), 1, 12)
+    r = exact_rank(items.withColumn("_sh_h", h), "_sh_h", [id_col], out="_sh_pos", keys=keys)
     r = r.withColumn("_sh_i", F.col("_sh_pos") - 1).withColumn(
         "_sh_ph", F.substring(F.md5(F.concat(F.lit(f"{seed}:position:"), F.col("_sh_i").cast("string"))), 1, 12))
-    r = exact_rank(r, "_sh_ph", ["_sh_i"], out="_sh_rank2", keys=keys)
-    n = F.col("_sh_n")
-    n_gold_a = F.floor(n / 2) + F.when((n % 2 == 1) & F.lit(seed % 2 == 0), 1).otherwise(0)
-    is_a = (F.col("_sh_rank2") - 1) < n_gold_a
+    odd = 1 if seed % 2 == 0 else 0
+    r = r.withColumn("_sh_a", among_smallest(
+        r, "_sh_ph", "_sh_i", lambda n: F.floor(n / 2) + F.when(n % 2 == 1, odd).otherwise(0), keys))
+    is_a = F.col("_sh_a")
     if target_col is None:
         cols = _order_cols(is_a, target, other)
     else:

@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairjudge.operators.assign import join_null_safe
+
 
 def standardize(df: DataFrame, keys: list[str], col: str, out: str = "z") -> DataFrame:
     """(x - mean) / population sd per group; group statistics are aggregated and joined back."""
     st = df.groupBy(*keys).agg(F.avg(col).alias("_mu"), F.stddev_pop(col).alias("_sd"))
-    return df.join(st, keys).withColumn(out, (F.col(col) - F.col("_mu")) / F.col("_sd")).drop("_mu", "_sd")
+    return join_null_safe(df, st, keys).withColumn(out, (F.col(col) - F.col("_mu")) / F.col("_sd")).drop("_mu", "_sd")
 
 
 BROADCAST_MAX_GROUPS = 100_000   # coefficient table rows; above this the join is left to the planner
