@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 JUDGE_SYSTEM = "You are an AI judge. Follow the user instruction exactly and answer with only A or B."
 FACTUAL_SYSTEM = "You are an AI judge. Follow the user instruction exactly and answer with only Yes or No."
 EXPLAIN_SYSTEM = "You are an AI judge. Explain the model preference briefly and concretely."
+JSON_SYSTEM = "Answer only with valid JSON."
 EDITOR_SYSTEM = "You are a careful Italian medical communication editor. Follow the user instruction exactly."
 
 JUDGE_USER = """Given a patient question and two responses, which response has higher {what}?
@@ -263,10 +264,10 @@ def template_rows() -> list[tuple[str, str, str, str]]:
         for d, focus in CAL_FOCUS.items():
             user = JUDGE_USER.format(what=d) if v == "paper_minimal" else CAL_GUIDED_USER.format(focus=focus)
             rows.append(("calibration", f"{v}:{d}", JUDGE_SYSTEM, user))
-            rows.append(("calibration_explain", f"{v}:{d}", EXPLAIN_SYSTEM,
+            rows.append(("calibration_explain", f"{v}:{d}", JSON_SYSTEM,
                          CAL_MISMATCH.format(dim=d, note=CAL_VARIANT_NOTE[v].format(focus=focus))))
     rows.append(("calibration", "rephrase", REPHRASE_SYSTEM, REPHRASE_USER))
-    rows.append(("calibration_explain", "rephrase", EXPLAIN_SYSTEM, REPHRASE_MISMATCH))
+    rows.append(("calibration_explain", "rephrase", JSON_SYSTEM, REPHRASE_MISMATCH))
     return rows
 
 

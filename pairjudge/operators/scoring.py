@@ -1,49 +1,63 @@
 """Batch model scoring as a Spark stage.
 
 ``score_rows`` runs an injected scorer inside ``mapInPandas``: the scorer (e.g. an HTTP client) is
-built once per partition by a factory, receives Arrow batches of (system, user) prompts, and every
-row gets a reply or an error record — a failed call never fails the task, so a retried task
-(executor loss) simply re-scores its partition. Repartition to the wanted call concurrency before
-scoring, and write the output before reusing it: a re-evaluated plan would call the model again.
+built once per partition by a factory, receives Arrow batches of (system, user) prompts, and returns
+a reply or an exception per row. Failed rows are sent once more, each by itself; what still fails
+becomes an error record. A failed call never fails the task, so a retried task (executor loss)
+simply re-scores its partition. Write the output before reusing it: a re-evaluated plan would call
+the model again.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A scorer answers a batch: (systems, users, context rows) -> replies. Raise to signal failure.
-Scorer = Callable[[list[str], list[str], pd.DataFrame], list[str]]
-ScorerFactory = Callable[[], Scorer]
-
 MAX_ATTEMPTS = 2
 RETRY_PAUSE_S = 1.0
 SCORE_SCHEMA = "raw_response string, error int, error_message string, attempts int, prompt_md5 string"
 
 
+@dataclass(frozen=True)
+class CallOptions:
+    """What a model call is asked for besides the prompt."""
+
+    temperature: float = 0.0
+    max_tokens: int | None = None
+    json_mode: bool = False
+
+
+# A scorer answers a batch: (systems, users, context rows) -> a reply or an exception per row. The
+# context holds the row's other columns and ``attempt``. Raising fails the whole call.
+Scorer = Callable[[list[str], list[str], pd.DataFrame], list]
+ScorerFactory = Callable[[CallOptions], Scorer]
+
+
 class ScoringError(Exception):
     def __init__(self, message: str, status: int | None = None):
         super().__init__(message)
         self.status_code = status
 
 
-def offline_scorer() -> Scorer:
+def offline_scorer(options: CallOptions = CallOptions()) -> Scorer:
     """Deterministic stand-in for a model: the reply depends only on the prompt hash."""
     def score(systems, users, ctx):
         out = []
         for s, u in zip(systems, users):
             h = hashlib.md5((s + "\n" + u).encode("utf-8")).hexdigest()
-            if "only A or B" in s:
+            if options.json_mode or "Explain" in s:
+                out.append('{"mismatch_explanation": "The rewrite reads as formulaic (' + h[:6] + ').", "reason": ""}')
+            elif "only A or B" in s:
                 out.append("A" if int(h[0], 16) < 8 else "B")
             elif "only Yes or No" in s:
                 out.append("Yes" if int(h[0], 16) < 12 else "No")
-            elif "Explain" in s:
-                out.append('{"mismatch_explanation": "The rewrite reads as formulaic (' + h[:6] + ')."}')
             else:
                 orig = str(ctx["original_answer"].iloc[len(out)]) if "original_answer" in ctx.columns else ""
                 out.append("Capisco la sua preoccupazione. " + orig)
@@ -51,48 +65,40 @@ def offline_scorer() -> Scorer:
     return score
 
 
-def _score_partition(factory: ScorerFactory, sys_col: str, user_col: str, keep: list[str],
+def _call(scorer: Scorer, systems: list[str], users: list[str], rows: pd.DataFrame) -> list:
+    """One call; as many replies or exceptions as prompts, whatever the scorer does."""
+    try:
+        replies = list(scorer(systems, users, rows))
+    except Exception as e:  # noqa: BLE001
+        return [e] * len(users)
+    if len(replies) != len(users):
+        return [ScoringError(f"{len(replies)} replies to {len(users)} prompts")] * len(users)
+    return [ScoringError("no reply") if r is None else r for r in replies]
+
+
+def _score_partition(factory: ScorerFactory, options: CallOptions, sys_col: str, user_col: str, keep: list[str],
                      max_attempts: int, pause_s: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = factory()  # one client per partition
+        scorer = factory(options)  # one client per partition
         for pdf in batches:
             systems = pdf[sys_col].fillna("").astype(str).tolist()
             users = pdf[user_col].fillna("").astype(str).tolist()
-            n = len(pdf)
-            raw: list = [None] * n
-            err = [0] * n
-            msg: list = [None] * n
-            att = [0] * n
-            todo = list(range(n))
-            for attempt in range(1, max_attempts + 1):
-                if not todo:
-                    break
-                if attempt > 1 and pause_s:
+            replies = _call(scorer, systems, users, pdf.assign(attempt=1))
+            attempts = [1] * len(pdf)
+            for attempt in range(2, max_attempts + 1):
+                failed = [i for i, r in enumerate(replies) if isinstance(r, Exception)]
+                if failed and pause_s:
                     time.sleep(pause_s)
-                failed = []
-                # One batched call; on failure fall back to row calls so one bad row cannot sink
-                # the batch.
-                try:
-                    rep = scorer([systems[i] for i in todo], [users[i] for i in todo], pdf.iloc[todo])
-                    for i, r in zip(todo, rep):
-                        raw[i], att[i], err[i], msg[i] = r, attempt, 0, None
-                except Exception:  # noqa: BLE001
-                    for i in todo:
-                        att[i] = attempt
-                        try:
-                            raw[i] = scorer([systems[i]], [users[i]], pdf.iloc[[i]])[0]
-                            err[i], msg[i] = 0, None
-                        except Exception as e:  # noqa: BLE001
-                            err[i] = 1
-                            status = getattr(e, "status_code", None)
-                            msg[i] = f"{type(e).__name__}|{status if status is not None else ''}|{e}"
-                            failed.append(i)
-                todo = failed
+                for i in failed:  # by itself, so that a bad prompt cannot sink its neighbours again
+                    replies[i] = _call(scorer, [systems[i]], [users[i]], pdf.iloc[[i]].assign(attempt=attempt))[0]
+                    attempts[i] = attempt
+            errors = [json.dumps({"type": type(r).__name__, "status": getattr(r, "status_code", None), "text": str(r)})
+                      if isinstance(r, Exception) else None for r in replies]
             out = pdf[keep].copy()
-            out["raw_response"] = raw
-            out["error"] = err
-            out["error_message"] = msg
-            out["attempts"] = att
+            out["raw_response"] = [None if isinstance(r, Exception) else str(r) for r in replies]
+            out["error"] = [int(e is not None) for e in errors]
+            out["error_message"] = errors
+            out["attempts"] = attempts
             out["prompt_md5"] = [hashlib.md5((s + "\n" + u).encode("utf-8")).hexdigest()
                                  for s, u in zip(systems, users)]
             yield out
@@ -101,21 +107,21 @@ def _score_partition(factory: ScorerFactory, sys_col: str, user_col: str, keep:
 
 def score_rows(df: DataFrame, system: str = "system", user: str = "user", keep: list[str] | None = None,
                factory: ScorerFactory = offline_scorer, partitions: int | None = None,
-               max_attempts: int = MAX_ATTEMPTS, pause_s: float = RETRY_PAUSE_S) -> DataFrame:
+               max_attempts: int = MAX_ATTEMPTS, pause_s: float = RETRY_PAUSE_S,
+               options: CallOptions = CallOptions()) -> DataFrame:
     """Score every row; returns ``keep`` columns + raw_response, error, error_message, attempts,
-    prompt_md5 (the prompt text itself is dropped: it is wide and re-renderable)."""
+    prompt_md5 (the prompt text itself is dropped: it is wide and re-renderable).
+
+    ``partitions`` is the number of calls under way at once; unless given, the rows are dealt to as
+    many tasks as the cluster runs at a time."""
     keep = keep or [c for c in df.columns if c not in (system, user)]
-    x = df.select(*keep, system, user)
-    if partitions:
-        x = x.repartition(partitions)
+    x = df.select(*keep, system, user).repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields if f.name in keep)
-    out = x.mapInPandas(_score_partition(factory, system, user, keep, max_attempts, pause_s),
+    out = x.mapInPandas(_score_partition(factory, options, system, user, keep, max_attempts, pause_s),
                         schema=f"{schema}, {SCORE_SCHEMA}")
-    # Split "type|status|message" into parts for classify_error.
-    parts = F.split(F.col("error_message"), r"\|", 3)
-    return out.withColumn("error_type", F.when(F.col("error") == 1, parts[0])) \
-              .withColumn("error_status", F.when(F.col("error") == 1, F.nullif(parts[1], F.lit("")).cast("int"))) \
-              .withColumn("error_message", F.when(F.col("error") == 1, parts[2]))
+    part = F.from_json("error_message", "type string, status int, text string")
+    return out.withColumn("error_type", part["type"]).withColumn("error_status", part["status"]) \
+              .withColumn("error_message", part["text"])
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -127,46 +133,70 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None if nothing has been written there yet. A storage failure is raised."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder) or not any(not s.getPath().getName().startswith(("_", ".")) for s in files.listStatus(folder)):
+        return None
+    return spark.read.parquet(path)
+
+
 def score_in_waves(units: DataFrame, id_col: str, wave_size: int, failure_budget: int,
                    score: Callable[[DataFrame], DataFrame], store_path: str) -> DataFrame:
-    """Score in waves of ``wave_size`` units, appending each wave to ``store_path``; stop launching
-    waves once the failures so far exceed ``failure_budget`` (a global "first failure" has no
-    meaning across partitions). Returns one stats row per wave (scored, failed, skipped)."""
+    """Score in waves of ``wave_size`` units, each written to its own partition of ``store_path``; stop
+    launching waves once the failures of the waves run here exceed ``failure_budget`` (a global "first
+    failure" has no meaning across partitions). Returns one stats row per wave (scored, failed,
+    skipped).
+
+    A unit's wave follows from the hash of its id, so a second run on the same store keeps the waves
+    that are there, neither repeating them nor counting their failures again, and goes on with the
+    rest. One job per wave, reading that wave's partition only."""
     from pairjudge.operators.assign import exact_rank
     spark = units.sparkSession
     ranked = exact_rank(units.withColumn("_wv_h", F.md5(F.col(id_col).cast("string"))), "_wv_h", [id_col],
                         out="_wv_rank", total_col="_wv_n")
-    ranked = materialize(ranked.withColumn("wave", F.floor((F.col("_wv_rank") - 1) / wave_size).cast("int"))
-                         .drop("_wv_h", "_wv_rank"), "waves")
-    total = ranked.select(F.max("_wv_n")).first()[0] or 0
-    n_waves = -(-int(total) // wave_size)
+    waves_path = _scratch(spark, "waves")
+    (ranked.withColumn("wave", F.floor((F.col("_wv_rank") - 1) / wave_size).cast("int")).drop("_wv_h", "_wv_rank", "_wv_n")
+     .write.partitionBy("wave").parquet(waves_path))
+    waves = stored(spark, waves_path)
+    numbers = [] if waves is None else sorted(r["wave"] for r in waves.select("wave").distinct().collect())
+    before = stored(spark, store_path)
+    seen = {} if before is None else {r["wave"]: r for r in before.groupBy("wave").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("error").alias("f")).collect()}  # a row per wave
     failures, stats = 0, []
-    for w in range(n_waves):
+    for w in numbers:
+        if w in seen:
+            stats.append((w, int(seen[w]["n"]), int(seen[w]["f"] or 0), False))
+            continue
         if failures > failure_budget:
             stats.append((w, 0, 0, True))
             continue
-        out = score(ranked.where(F.col("wave") == w).drop("_wv_n"))
-        out.write.mode("append").parquet(store_path)
-        r = spark.read.parquet(store_path).where(F.col("wave") == w).agg(
-            F.count(F.lit(1)).alias("n"), F.sum("error").alias("f")).first()
+        part = f"{store_path.rstrip('/')}/wave={w}"
+        score(spark.read.parquet(f"{waves_path}/wave={w}").withColumn("wave", F.lit(w))).drop("wave").write.parquet(part)
+        r = spark.read.parquet(part).agg(F.count(F.lit(1)).alias("n"), F.sum("error").alias("f")).first()
         failures += int(r["f"] or 0)
         stats.append((w, int(r["n"]), int(r["f"] or 0), False))
     return spark.createDataFrame(stats, "wave int, scored long, failed long, skipped boolean")
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    from pairjudge.sources.io import scratch_path
+    return scratch_path(spark, name)
+
+
 def incremental_run(units: DataFrame, keys: list[str], n: int, score: Callable[[DataFrame], DataFrame],
                     store_path: str, done_filter=None) -> DataFrame:
-    """Score the next ``n`` units (by key order) that have no stored result, append them and return
-    the rows written. Re-running resumes exactly where the store ends, even after a failed run."""
+    """Score the next ``n`` units (by key order) that have no good stored result, append them and
+    return the rows written, read back. Re-running resumes exactly where the store ends; a unit whose
+    stored rows are all errors is pending again. ``done_filter`` says which stored rows are good
+    (unless given: those without an error)."""
     spark = units.sparkSession
-    try:
-        stored = spark.read.parquet(store_path)
-        if done_filter is not None:
-            stored = stored.where(done_filter)
-        todo = units.join(stored.select(*keys).distinct(), keys, "left_anti")
-    except Exception:  # noqa: BLE001  (no store yet)
-        todo = units
-    batch = todo.orderBy(*keys).limit(n)
-    out = score(batch)
+    before = stored(spark, store_path)
+    todo = units
+    if before is not None:
+        good = before.where(F.col("error") == 0 if done_filter is None else done_filter)
+        todo = units.join(good.select(*keys).distinct(), keys, "left_anti")
+    out = materialize(score(todo.orderBy(*keys).limit(n)), "increment")
     out.write.mode("append").parquet(store_path)
     return out

@@ -12,24 +12,71 @@ def _units(spark, n=60):
                                  F.concat(F.lit("prompt "), F.col("id").cast("string")).alias("user"))
 
 
-def failing_on(bad: set, flaky: set):
-    def factory():
-        seen = {}
-
+def failing_on(bad: set, flaky: set, calls: str | None = None):
+    """Fails ``bad`` prompts always and ``flaky`` ones on the first attempt; notes every prompt sent."""
+    def factory(options):
         def score(systems, users, ctx):
             out = []
-            for u in users:
-                seen[u] = seen.get(u, 0) + 1
+            for u, attempt in zip(users, ctx["attempt"]):
+                if calls:
+                    with open(calls, "a") as f:
+                        f.write(u + "\n")
                 if u in bad:
-                    raise SC.ScoringError("Rate limit reached", 429)
-                if u in flaky and seen[u] == 1:
-                    raise SC.ScoringError("server error", 500)
-                out.append("A")
+                    out.append(SC.ScoringError("Rate limit | reached", 429))
+                elif u in flaky and attempt == 1:
+                    out.append(SC.ScoringError("server error", 500))
+                else:
+                    out.append("A")
             return out
         return score
     return factory
 
 
+def test_two_calls_at_most_and_good_prompts_once(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+    SC.score_rows(_units(spark), keep=["uid"], factory=failing_on({"prompt 3"}, {"prompt 5"}, calls), partitions=4, pause_s=0.0).collect()
+    sent = open(calls).read().splitlines()
+    assert {u: sent.count(u) for u in set(sent)} == {f"prompt {i}": 2 if i in (3, 5) else 1 for i in range(60)}
+
+
+def test_short_or_missing_replies_are_errors(spark):
+    def short(options):
+        return lambda systems, users, ctx: ["A"] * (len(users) - 1)
+
+    def none(options):
+        return lambda systems, users, ctx: [None] * len(users)
+
+    def broken(options):
+        def score(systems, users, ctx):
+            raise ValueError("down")
+        return score
+
+    for factory, text in ((short, "0 replies to 1 prompts"), (none, "no reply"), (broken, "down")):
+        rows = SC.score_rows(_units(spark, 10), keep=["uid"], factory=factory, pause_s=0.0).collect()
+        assert len(rows) == 10 and all(r["error"] == 1 and r["attempts"] == 2 and r["error_message"] == text for r in rows)
+
+
+def test_failed_units_are_pending_again(spark):
+    store = scratch_path(spark, "test-again")
+    units = _units(spark, 10)
+    bad = {"prompt 2", "prompt 4"}
+    SC.incremental_run(units, ["uid"], 10, lambda b: SC.score_rows(b, keep=["uid"], factory=failing_on(bad, set()), pause_s=0.0), store)
+    again = SC.incremental_run(units, ["uid"], 10, lambda b: SC.score_rows(b, keep=["uid"], pause_s=0.0), store)
+    assert sorted(r["uid"] for r in again.collect()) == ["u2", "u4"]
+    assert SC.incremental_run(units, ["uid"], 10, lambda b: SC.score_rows(b, keep=["uid"]), store).count() == 0
+
+
+def test_waves_resume(spark):
+    store = scratch_path(spark, "test-wave-resume")
+    units = _units(spark, 100)
+    bad = {f"prompt {i}" for i in range(0, 100, 2)}
+    first = SC.score_in_waves(units, "uid", 25, 5, lambda b: SC.score_rows(b, keep=["uid", "wave"], factory=failing_on(bad, set()), pause_s=0.0), store)
+    assert [r["skipped"] for r in first.orderBy("wave").collect()] == [False, True, True, True]
+    rest = SC.score_in_waves(units, "uid", 25, 5, lambda b: SC.score_rows(b, keep=["uid", "wave"], pause_s=0.0), store).orderBy("wave").collect()
+    assert [r["skipped"] for r in rest] == [False] * 4 and [r["failed"] for r in rest][1:] == [0, 0, 0] and rest[0]["failed"] > 5
+    assert spark.read.parquet(store).count() == 100
+
+
 def test_error_rows_and_retry(spark):
     bad = {"prompt 3", "prompt 17"}
     flaky = {"prompt 5"}
@@ -37,7 +84,7 @@ def test_error_rows_and_retry(spark):
     rows = {r["uid"]: r for r in out.collect()}
     assert len(rows) == 60
     assert rows["u3"]["error"] == 1 and rows["u3"]["attempts"] == 2 and rows["u3"]["error_status"] == 429
-    assert rows["u3"]["raw_response"] is None and "Rate limit" in rows["u3"]["error_message"]
+    assert rows["u3"]["raw_response"] is None and rows["u3"]["error_message"] == "Rate limit | reached"
     assert rows["u5"]["error"] == 0 and rows["u5"]["raw_response"] == "A"
     assert sum(r["error"] for r in rows.values()) == 2
 
