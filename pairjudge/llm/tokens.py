@@ -6,6 +6,7 @@ its space-separated words in turn. Words repeat; each task keeps the ids of the
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -15,12 +16,15 @@ from tokenizers import Tokenizer
 VOCABULARY = "word_bpe_49k.json"
 END = 0
 #: Words that a task remembers; beyond it the memory starts afresh. Changes speed only.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 
 #: Byte-level alphabet: printable bytes stand for themselves, the others for U+0100 and on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LEVEL = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
 
+#: Marks that may follow a word; not the apostrophe, which begins a token with the letters after it.
+_MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in "'<|>")
+
 
 class Words(dict):
     """Word -> its ids as little-endian unsigned 32-bit numbers."""
@@ -31,13 +35,16 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
-        if len(word) > 1 and word[-1] in ",." and word[-2].isalpha():
-            ids = self[word[:-1]] + self[word[-1]]
-        elif word.isalpha() and max(word) < "Ā":  # one run of letters, the same in any normal form
-            spelled = word.lower().encode("utf-8").decode("latin-1").translate(_BYTE_LEVEL)
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], dtype="<u4").tobytes()
+        core = word.rstrip(_MARKS)
+        if len(core) < len(word) and core.isalpha():  # letters, then marks: a token ends between them
+            ids = self[core] + self[word[len(core):]]
+        elif word.isalpha() and (word.isascii() or max(word) < "Ā"):  # one run of letters, the same in any normal form
+            spelled = word.lower()
+            if not spelled.isascii():
+                spelled = spelled.encode("utf-8").decode("latin-1").translate(_BYTE_LEVEL)
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
         else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         self[word] = ids
         return ids
 
