@@ -18,9 +18,20 @@ MCNEMAR_EXACT_BELOW = 25          # exact binomial test when n10 + n01 < 25, els
 KAPPA_DEGENERATE_RATE = 0.005     # a rater whose base rate is this close to 0 or 1 is "degenerate"
 KAPPA_BANDS = [(0.0, "poor"), (0.20, "slight"), (0.40, "fair"), (0.60, "moderate"),
                (0.80, "substantial")]  # k < bound -> label; k >= 0.80 -> "almost perfect"
-# Poisson(1) CDF points used for hash-Poisson resampling weights (weight = # points <= u).
-POISSON1_CDF = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312,
-                0.99634015317, 0.99940581518]
+
+
+def _poisson1_cdf(top: float = 1 - 2.0 ** -48) -> list[float]:
+    """Poisson(1) CDF points up to the largest value that a 48-bit hash can tell from 1; a resampling
+    weight is the number of points at or below the uniform hash."""
+    points, term, k = [math.exp(-1)], math.exp(-1), 0
+    while points[-1] < top:
+        k += 1
+        term /= k
+        points.append(points[-1] + term)
+    return [p for p in points if p <= top]
+
+
+POISSON1_CDF = _poisson1_cdf()
 
 
 def _c(x) -> Column:

