@@ -133,15 +133,15 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in _GROUPS])
     named = (prints.select("fp", F.posexplode(masks).alias("which", "mask"))
              .select(F.xxhash64(F.col("fp").bitwiseAND(F.col("mask")), "which").alias("grp"), "fp"))
-    # Groups over SQUARE members, split into parts: members of part i meet those of every part j >= i.
-    large = (named.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SQUARE)
-             .select("grp", F.ceil(F.col("n") / SQUARE).cast("int").alias("parts")))
-    dealt = named.join(large, "grp", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    part = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")
-    dealt = (dealt.withColumn("part", part)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-             .select("grp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
-                     F.when(F.col("parts") > 1, F.col("part")).otherwise(0).alias("part"), "fp"))
+    large = _large_groups(named, prints.count() * len(_GROUPS))
+    if large is None:
+        dealt = named.select("grp", *[F.lit(0).alias(c) for c in ("i", "j", "part")], "fp")
+    else:  # members of part i meet those of every part j >= i
+        parts = F.coalesce("parts", F.lit(1))
+        dealt = (named.join(large, "grp", "left").withColumn("parts", parts)
+                 .withColumn("part", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int"))
+                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+                 .select("grp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp"))
     keys = ["grp", "i", "j"]
 
     def task(batches):
@@ -161,6 +161,20 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return squares.mapInArrow(task, LINKS)
 
 
+def _large_groups(named: DataFrame, rows: int) -> DataFrame | None:
+    """grp, parts of the groups of more than SQUARE members; None if there is none.
+
+    Members are first counted over buckets of groups, about SQUARE / 4 members each, which combines
+    well before the shuffle; only groups in buckets of more than SQUARE are counted one by one."""
+    bucketed = named.withColumn("bucket", F.pmod(F.col("grp"), F.lit(max(1, 4 * rows // SQUARE))))
+    full = written(bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SQUARE).select("bucket"), "full-buckets")
+    if full.isEmpty():
+        return None
+    large = written(bucketed.join(full, "bucket").groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SQUARE)
+                    .select("grp", F.ceil(F.col("n") / SQUARE).cast("int").alias("parts")), "large-groups")
+    return None if large.isEmpty() else large
+
+
 def _squares(batches):
     """((grp, i, j), part, fp) of every group of two rows or more, from rows that come sorted by it."""
     held = None
