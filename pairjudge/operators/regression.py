@@ -1,15 +1,16 @@
 """Standardisation and a per-group logistic regression (intercept + one covariate).
 
-The logit is fitted for every group at once by Newton-Raphson: each iteration is one distributed
-aggregation of the weighted 2x2 information matrix and score per group; only those few numbers
-per group come back to the driver to solve the 2x2 step (the same pattern MLlib's IRLS uses).
-Intended for few groups (settings / judges): the coefficient table has one row per group.
+The covariates here are discrete (word deltas), so the rows are first aggregated to (group, value)
+cells of rows and wins; the Newton steps then run on a group's cells inside one task. Nothing is
+collected and no job runs while the plan is built.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,73 +24,59 @@ def standardize(df: DataFrame, keys: list[str], col: str, out: str = "z") -> Dat
     return join_null_safe(df, st, keys).withColumn(out, (F.col(col) - F.col("_mu")) / F.col("_sd")).drop("_mu", "_sd")
 
 
-BROADCAST_MAX_GROUPS = 100_000   # coefficient table rows; above this the join is left to the planner
-
-RESULT_SCHEMA = ("n bigint, wins bigint, beta_per_sd double, or_per_sd double, p double, "
+RESULT_SCHEMA = ("n bigint, wins bigint, beta_per_sd double, or_per_sd double, se double, p double, "
                  "mean_delta double, iterations int, error string")
+MAX_ITER = 50
+TOL = 1e-10
+
+
+def fit_cells(x: np.ndarray, n: np.ndarray, wins: np.ndarray, max_iter: int = MAX_ITER, tol: float = TOL) -> dict:
+    """Newton-Raphson fit of logit(p) = b0 + b1 z over cells (covariate, rows, wins), z the covariate
+    standardised over the rows; Wald test of the slope."""
+    total, won = n.sum(), wins.sum()
+    out = {"n": int(total), "wins": int(won), "beta_per_sd": None, "or_per_sd": None, "se": None, "p": None,
+           "mean_delta": float((n * x).sum() / total) if total else None, "iterations": 0, "error": None}
+    if not 0 < won < total:
+        return out | {"error": "constant outcome (perfect separation)"}
+    spread = math.sqrt((n * (x - out["mean_delta"]) ** 2).sum() / total)
+    if not spread > 0:
+        return out | {"error": "constant covariate"}
+    z = (x - out["mean_delta"]) / spread
+    b0 = b1 = 0.0
+    for it in range(1, max_iter + 1):
+        p = 1 / (1 + np.exp(-(b0 + b1 * z)))
+        w, r = n * p * (1 - p), wins - n * p
+        h00, h01, h11, g0, g1 = w.sum(), (w * z).sum(), (w * z * z).sum(), r.sum(), (r * z).sum()
+        det = h00 * h11 - h01 * h01
+        out["iterations"] = it
+        if not (det > 0 and math.isfinite(det)):
+            return out | {"error": "singular information matrix"}
+        s0, s1 = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
+        b0, b1 = b0 + s0, b1 + s1
+        if max(abs(s0), abs(s1)) < tol:
+            break
+    else:
+        out["error"] = "did not converge"
+    se = math.sqrt(h00 / det)
+    return out | {"beta_per_sd": b1, "or_per_sd": math.exp(b1), "se": se, "p": math.erfc(abs(b1) / se / math.sqrt(2))}
+
+
+def logit_per_group(df: DataFrame, keys: list[str], y: str, x: str, max_iter: int = MAX_ITER,
+                    tol: float = TOL) -> DataFrame:
+    """Logistic regression of the 0/1 column ``y`` on the standardised ``x`` in every group, planned
+    lazily: one aggregation to cells (group, x value), then one small fit per group.
+
+    The work of a fit grows with the distinct values of ``x``, not with the rows; ``x`` should be
+    discrete (counts, word deltas). Rows with NULL y or x take no part. ``max_iter`` Newton steps
+    without convergence are reported in ``error``."""
+    cells = (df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("_x"))
+             .agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(y).cast("double")).alias("_w")))
+    fields = [f for f in df.select(*keys).schema.fields]
+    schema = T.StructType(fields + list(T._parse_datatype_string(RESULT_SCHEMA).fields))
 
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_x")
+        out = fit_cells(pdf["_x"].to_numpy(float), pdf["_n"].to_numpy(float), pdf["_w"].to_numpy(float), max_iter, tol)
+        return pd.DataFrame([dict(zip(keys, key)) | out], columns=[f.name for f in schema.fields])
 
-def logit_per_group(df: DataFrame, keys: list[str], y: str, x: str, max_iter: int = 50,
-                    tol: float = 1e-10) -> DataFrame:
-    spark = df.sparkSession
-    d = standardize(df.select(*keys, F.col(y).cast("double").alias("_y"), F.col(x).cast("double").alias("_x")),
-                    keys, "_x", "_z").persist()
-    try:
-        info = {tuple(r[k] for k in keys): r for r in d.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"), F.sum("_y").cast("bigint").alias("wins"),
-            F.avg("_x").alias("mean_delta"), F.stddev_pop("_x").alias("sd")).collect()}
-        beta = {g: [0.0, 0.0] for g, r in info.items()
-                if 0 < r["wins"] < r["n"] and r["sd"] is not None and r["sd"] > 0}
-        done: dict = {}
-        key_fields = [f for f in d.schema.fields if f.name in keys]
-        coef_schema = T.StructType(key_fields + [T.StructField("_b0", T.DoubleType()),
-                                                 T.StructField("_b1", T.DoubleType())])
-        it = 0
-        hess: dict = {}
-        while beta and it < max_iter:
-            it += 1
-            coef = spark.createDataFrame([(*g, b[0], b[1]) for g, b in beta.items()], coef_schema)
-            eta = F.col("_b0") + F.col("_b1") * F.col("_z")
-            p = 1.0 / (1.0 + F.exp(-eta))
-            w = p * (1.0 - p)
-            r = F.col("_y") - p
-            coef = F.broadcast(coef) if len(beta) <= BROADCAST_MAX_GROUPS else coef
-            agg = d.join(coef, keys).groupBy(*keys).agg(
-                F.sum(w).alias("h00"), F.sum(w * F.col("_z")).alias("h01"),
-                F.sum(w * F.col("_z") * F.col("_z")).alias("h11"),
-                F.sum(r).alias("g0"), F.sum(r * F.col("_z")).alias("g1")).collect()
-            nxt = {}
-            for row in agg:
-                g = tuple(row[k] for k in keys)
-                h00, h01, h11, g0, g1 = row["h00"], row["h01"], row["h11"], row["g0"], row["g1"]
-                det = h00 * h11 - h01 * h01
-                if det <= 0 or not math.isfinite(det):
-                    done[g] = (beta[g], None, it, "singular information matrix")
-                    continue
-                s0, s1 = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
-                b = [beta[g][0] + s0, beta[g][1] + s1]
-                hess[g] = (h00, h01, h11)
-                if max(abs(s0), abs(s1)) < tol:
-                    done[g] = (b, None, it, None)
-                else:
-                    nxt[g] = b
-            beta = nxt
-        for g, b in beta.items():
-            done[g] = (b, None, it, "did not converge")
-        rows = []
-        for g, r in info.items():
-            if g not in done:
-                err = "constant outcome (perfect separation)" if not (0 < r["wins"] < r["n"]) else "constant covariate"
-                rows.append((*g, r["n"], r["wins"], None, None, None, r["mean_delta"], 0, err))
-                continue
-            b, _, iters, err = done[g]
-            h00, h01, h11 = hess.get(g, (0.0, 0.0, 0.0))
-            det = h00 * h11 - h01 * h01
-            # Wald test of the slope: var(b1) = h00 / det (inverse information at the estimate).
-            se = math.sqrt(h00 / det) if det > 0 else float("nan")
-            pval = math.erfc(abs(b[1]) / se / math.sqrt(2)) if det > 0 else None
-            rows.append((*g, r["n"], r["wins"], b[1], math.exp(b[1]), pval, r["mean_delta"], iters, err))
-        schema = T.StructType(key_fields + list(T._parse_datatype_string(RESULT_SCHEMA).fields))
-        return spark.createDataFrame(rows, schema)
-    finally:
-        d.unpersist()
+    return cells.groupBy(*keys).applyInPandas(fit, schema)

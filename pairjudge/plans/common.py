@@ -108,7 +108,7 @@ FROM ox_long GROUP BY judge, item_id""")
 WIDE_CTES = [OX_ORDER, OX_LONG, OX_WIDE]
 
 
-def imb_wide(spark: SparkSession, sf: str) -> DataFrame:
+def wide_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     """Per (judge, item): verdict (``<dim>_v``) and predicted source (``<dim>_src``) per
     dimension, with the item's gold letter and order label."""
     lv = long_verdicts(spark, sf)

@@ -51,10 +51,8 @@ def read_salvage(spark, sf):
     p = S.fx_pairs(spark, sf)
     bad = F.substring(F.md5("item_id"), 1, 1).isin("0", "1")
     n = F.when(bad, F.lit("many")).otherwise(TX.word_count("original_answer").cast("string"))
-    lines = p.select(F.concat_ws(",", "item_id", "category", n).alias("value"))
-    header = lines.sparkSession.createDataFrame([("item_id,category,n_words",)], "value string")
     path = IO.scratch_path(spark, "salvage")
-    header.unionByName(lines).coalesce(1).write.mode("overwrite").text(path)
+    IO.write_csv(p.select("item_id", "category", n.alias("n_words")), path)
     good, quarantined = IO.read_salvage(spark, path, T.StructType([
         T.StructField("item_id", T.StringType()), T.StructField("category", T.StringType()),
         T.StructField("n_words", T.IntegerType())]))
@@ -88,7 +86,7 @@ def require_columns(spark, sf):
 @register("derive_item_id", """
 SELECT 'postID' AS source, CAST(doc_id AS VARCHAR) AS item_id FROM documents
 UNION ALL
-SELECT 'content', sha256(concat_ws(chr(1), url, html)) FROM pages""")
+SELECT 'content', sha256(concat_ws(chr(1), coalesce(url, chr(2)), coalesce(html, chr(2)))) FROM pages""")
 def derive_item_id(spark, sf):
     """Id column precedence (id, postID, 'Unnamed: 0'); without any, a content hash."""
     d = S.table(spark, sf, "documents").select(F.col("doc_id").alias("postID"), "lang")
@@ -140,11 +138,20 @@ def write_results(spark, sf):
     return back.select(*KEYS, "seq", "value")
 
 
-@register("export_report")
+@register("export_report", with_fx("""
+SELECT 'category_counts' AS section, category AS key, count(*) AS n FROM fx_pairs GROUP BY category
+UNION ALL SELECT 'judge_counts', judge, count(*) FROM fx_verdicts GROUP BY judge""", "fx_pairs", "fx_verdicts"))
 def export_report(spark, sf):
-    """Report tables as one JSON record list each (setting summary, gap decomposition)."""
+    """Report tables written as JSON lines, one folder per section, and read back."""
+    path = IO.scratch_path(spark, "report")
+    IO.export_report({"category_counts": S.fx_pairs(spark, sf).groupBy(F.col("category").alias("key")).agg(F.count(F.lit(1)).alias("n")),
+                      "judge_counts": S.fx_verdicts(spark, sf).groupBy(F.col("judge").alias("key")).agg(F.count(F.lit(1)).alias("n"))}, path)
+    return spark.read.schema("key string, n long, section string").json(path).select("section", "key", "n")
+
+
+@register("export_setting_report")
+def export_setting_report(spark, sf):
+    """Setting summary and gap decomposition as (section, JSON record) rows."""
     from pairjudge.plans.q_metrics import gap_decomposition, setting_summary
     return IO.export_report({"setting_summary": setting_summary(spark, sf),
                              "gap_decomposition": gap_decomposition(spark, sf)})
-
-

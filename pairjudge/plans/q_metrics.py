@@ -11,7 +11,7 @@ from pairjudge.functions import text as T
 from pairjudge.operators import agreement as AG
 from pairjudge.operators import metrics as M
 from pairjudge.operators import verdicts as V
-from pairjudge.plans.common import (OUTCOME_CTES, WIDE_CTES, imb_wide, long_verdicts, outcomes,
+from pairjudge.plans.common import (OUTCOME_CTES, WIDE_CTES, wide_verdicts, long_verdicts, outcomes,
                                     choice_sql, wc)
 from pairjudge.plans.oracle_fx import with_fx
 from pairjudge.plans.q_screen import GOLD_SQL, SHUFFLE_SQL, shuffled
@@ -277,7 +277,7 @@ FACT_DONE = "(SELECT * FROM ox_wide WHERE preservation_v IN ('Yes', 'No') AND un
 
 
 def _fact_done(spark, sf):
-    w = imb_wide(spark, sf)
+    w = wide_verdicts(spark, sf)
     return w.where(F.col("preservation_v").isin("Yes", "No") & F.col("unsupported_addition_v").isin("Yes", "No"))
 
 
@@ -368,7 +368,7 @@ SELECT judge, item_id,
     CASE WHEN preservation_v = 'Yes' AND unsupported_addition_v = 'No' THEN 'Pass' ELSE 'Fail' END ELSE '—' END AS status
 FROM ox_wide"""))
 def factual_status(spark, sf):
-    w = imb_wide(spark, sf)
+    w = wide_verdicts(spark, sf)
     return w.select("judge", "item_id", V.factual_status(F.col("preservation_v"), F.col("unsupported_addition_v")).alias("status"))
 
 
@@ -413,7 +413,7 @@ SELECT o.judge, count(*) AS rows_total, count(*) FILTER (WHERE p.generated_answe
   count(*) FILTER (WHERE p.generated_answer <> '' AND NOT (coalesce(o.empathy_v IN ('A', 'B'), false) AND coalesce(o.quality_v IN ('A', 'B'), false))) AS pending_judge
 FROM ox_wide o JOIN fx_pairs p USING (item_id) GROUP BY o.judge"""))
 def progress_counts(spark, sf):
-    w = imb_wide(spark, sf).join(S.fx_pairs(spark, sf).select("item_id", "generated_answer"), "item_id")
+    w = wide_verdicts(spark, sf).join(S.fx_pairs(spark, sf).select("item_id", "generated_answer"), "item_id")
     gen = F.col("generated_answer") != ""
     both = F.coalesce(F.col("empathy_v").isin("A", "B"), F.lit(False)) & \
         F.coalesce(F.col("quality_v").isin("A", "B"), F.lit(False))

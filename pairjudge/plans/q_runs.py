@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pairjudge.operators import runs as R
 from pairjudge.operators import verdicts as V
-from pairjudge.plans.common import WIDE_CTES, imb_wide, long_verdicts, pairs_order
+from pairjudge.plans.common import WIDE_CTES, wide_verdicts, long_verdicts, pairs_order
 from pairjudge.plans.oracle_fx import with_fx
 from pairjudge.plans.q_metrics import CAL_CTES, cal_view
 from pairjudge.plans.q_screen import RANDOM_SQL, SCREENED_SQL, randomized
@@ -217,7 +217,7 @@ FROM ox_order o LEFT JOIN (SELECT * FROM ox_wide WHERE judge = 'j1') w ON w.item
 def init_or_resume(spark, sf):
     """Items initialised with their balanced order, resumed with any stored verdicts of judge j1."""
     o = pairs_order(spark, sf).select("item_id", "gold_choice", "response_order")
-    w = imb_wide(spark, sf).where(F.col("judge") == "j1").select("item_id", "empathy_v", "quality_v")
+    w = wide_verdicts(spark, sf).where(F.col("judge") == "j1").select("item_id", "empathy_v", "quality_v")
     return o.join(w, "item_id", "left")
 
 
@@ -241,7 +241,7 @@ def run_summary(spark, sf):
 
 # --- row views ---------------------------------------------------------------------------------
 def _inspect_base(spark, sf):
-    w = imb_wide(spark, sf).join(S.fx_pairs(spark, sf).select("item_id", "generated_answer"), "item_id")
+    w = wide_verdicts(spark, sf).join(S.fx_pairs(spark, sf).select("item_id", "generated_answer"), "item_id")
     err = "Could not parse verdict"
     for d in V.ALL_DIMS:
         w = w.withColumn(f"{d}_error", F.when(F.col(f"{d}_v").isNull(), F.lit(err)))

@@ -25,8 +25,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _csv_reader(spark: SparkSession, schema: T.StructType | str, sep: str, encoding: str = "UTF-8"):
-    return (spark.read.schema(schema).option("header", True).option("sep", sep).option("multiLine", True)
+def _csv_reader(spark: SparkSession, schema: T.StructType | str, sep: str, encoding: str = "UTF-8", multi_line: bool = True):
+    """``multi_line`` allows line breaks inside quotes, but then a file is one task; without it Spark
+    splits files."""
+    return (spark.read.schema(schema).option("header", True).option("sep", sep).option("multiLine", multi_line)
             .option("quote", '"').option("escape", '"').option("encoding", encoding))
 
 
@@ -43,12 +45,12 @@ def na_to_null(df: DataFrame, tokens=NA_TOKENS) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",",
-               na_tokens: list[str] | None = None, text_fill: str | None = "") -> DataFrame:
+               na_tokens: list[str] | None = None, text_fill: str | None = "", multi_line: bool = True) -> DataFrame:
     """CSV / TSV with header, quoted multi-line fields and an explicit schema (never inferred).
 
     CSV cannot tell NULL from '' apart; like the evaluated scripts, text cells read as missing are
     filled with ``text_fill`` ('' by default; None keeps NULL)."""
-    df = _csv_reader(spark, schema, sep).csv(path)
+    df = _csv_reader(spark, schema, sep, multi_line=multi_line).csv(path)
     if na_tokens is not None:
         df = na_to_null(df, na_tokens)
     if text_fill is not None:
@@ -58,47 +60,51 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str, sep:
     return df
 
 
-def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8") -> None:
+def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8", bom: bool = False) -> None:
+    """``bom`` begins every file with a byte order mark (as the first character of its header), which
+    spreadsheet programs need to see UTF-8."""
+    if bom:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     (df.write.mode("overwrite").option("header", True).option("sep", sep).option("quote", '"')
        .option("escape", '"').option("encoding", encoding).csv(path))
 
 
 def read_salvage(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
-                 corrupt_col: str = "_corrupt_record") -> tuple[DataFrame, DataFrame]:
-    """Parse permissively: (good rows, quarantined lines). Malformed lines never stop the read.
+                 corrupt_col: str = "_corrupt_record", multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Parse permissively: (good rows, quarantined records). Quoted and multi-line records are read
+    whole; malformed ones never stop the read.
 
     The parse is saved once to the shared scratch folder and both outputs are read from it: the CSV
     parser prunes unreferenced columns, so a plan that did not reference every field would never
     notice their malformed values (Spark's documented advice is to save the parsed result)."""
     full = T.StructType(list(schema.fields) + [T.StructField(corrupt_col, T.StringType())])
-    df = (spark.read.schema(full).option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
+    df = (_csv_reader(spark, full, sep, multi_line=multi_line).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", corrupt_col).csv(path))
     parsed_path = scratch_path(spark, "salvage-parsed")
     df.write.mode("overwrite").parquet(parsed_path)
-    parsed = spark.read.parquet(parsed_path)
+    parsed = spark.read.schema(full).parquet(parsed_path)
     good = parsed.where(F.col(corrupt_col).isNull()).drop(corrupt_col)
     bad = parsed.where(F.col(corrupt_col).isNotNull())
     return good, bad
 
 
 def read_encoding_fallback(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",",
-                           fallback: str = "ISO-8859-1") -> DataFrame:
+                           fallback: str = "ISO-8859-1", multi_line: bool = True) -> DataFrame:
     """UTF-8 first; files whose decoded text holds U+FFFD are re-read in the fallback encoding.
 
-    The per-file decision needs only the list of bad file names (one row per file) on the driver.
-    """
-    utf = _csv_reader(spark, schema, sep).csv(path).withColumn("_file", F.col("_metadata.file_path"))
+    The decision is a table of file names that both readings are joined with, so nothing is
+    collected whatever the number of files."""
+    def read(encoding: str) -> DataFrame:
+        return _csv_reader(spark, schema, sep, encoding, multi_line).csv(path).withColumn("_file", F.col("_metadata.file_path"))
+
+    utf = read("UTF-8")
     str_cols = [f.name for f in utf.schema.fields if isinstance(f.dataType, T.StringType) and f.name != "_file"]
     has_bad = F.lit(False)
     for c in str_cols:
         has_bad = has_bad | F.coalesce(F.instr(F.col(c), REPLACEMENT_CHAR) > 0, F.lit(False))
-    bad_files = [r["_file"] for r in utf.where(has_bad).select("_file").distinct().collect()]
-    good = utf.where(~F.col("_file").isin(bad_files)) if bad_files else utf
-    good = good.drop("_file")
-    if not bad_files:
-        return good
-    redo = _csv_reader(spark, schema, sep, fallback).csv(bad_files)
-    return good.unionByName(redo)
+    bad = utf.where(has_bad).select("_file").distinct()
+    good, redo = utf.join(bad, "_file", "left_anti"), read(fallback).join(bad, "_file", "left_semi")
+    return good.unionByName(redo).drop("_file")
 
 
 def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
@@ -112,12 +118,15 @@ def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
 def derive_item_id(df: DataFrame, out: str = "item_id", candidates=("id", "postID", "Unnamed: 0"),
                    content_cols: list[str] | None = None) -> DataFrame:
     """Item id from the first present id column (as text); without one, a sha-256 of the content
-    columns (a row index is not stable across Spark partitionings)."""
+    columns (a row index is not stable across Spark partitionings). NULL and text are told apart, and
+    so are (a, NULL, b) and (a, b); rows with the same content share an id, so drop duplicates before
+    assigning an order."""
     for c in candidates:
         if c in df.columns:
             return df.withColumn(out, F.col(f"`{c}`").cast("string"))
     cols = content_cols or [c for c in df.columns if c != out]
-    return df.withColumn(out, F.sha2(F.concat_ws("\u0001", *[F.col(f"`{c}`").cast("string") for c in cols]), 256))
+    parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0002")) for c in cols]
+    return df.withColumn(out, F.sha2(F.concat_ws("\u0001", *parts), 256))
 
 
 def conform(df: DataFrame, contract: list[tuple[str, str, object]], keep_extra: bool = False) -> DataFrame:
@@ -152,22 +161,17 @@ def load_labelled_runs(spark: SparkSession, path: str, schema: T.StructType | st
 def write_results(df: DataFrame, path: str, partition_cols: list[str], mode: str = "overwrite") -> None:
     """Partitioned result store; with dynamic partition overwrite only the partitions present in
     ``df`` are replaced (one run), atomically per job through the output committer."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", None)
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode(mode).partitionBy(*partition_cols).parquet(path)
-    finally:
-        if prev is not None:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
-
-
-def export_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row per (small) report table: its name, record count and JSON list of records."""
+    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*partition_cols).parquet(path)
+
+
+def export_report(tables: dict[str, DataFrame], path: str | None = None) -> DataFrame:
+    """JSON-lines export of report tables: one row (section, record) per table row, the record as a
+    JSON object; with ``path`` also written as one folder of .json lines per section."""
     out = None
     for name, t in tables.items():
-        j = t.agg(F.count(F.lit(1)).alias("n_records"),
-                  F.to_json(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in t.columns]))).alias("json"))
-        j = j.select(F.lit(name).alias("section"), "n_records", "json")
+        j = t.select(F.lit(name).alias("section"),
+                     F.to_json(F.struct(*[F.col(f"`{c}`") for c in t.columns]), {"ignoreNullFields": "false"}).alias("record"))
         out = j if out is None else out.unionByName(j)
+    if path:
+        out.write.mode("overwrite").partitionBy("section").text(path)
     return out

@@ -9,6 +9,8 @@ key.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -31,7 +33,7 @@ def start_upsert(stream: DataFrame, store: str, keys: list[str], order: list[str
                  available_now: bool = True) -> StreamingQuery:
     """Start the streaming upsert; the checkpoint lives under the shared checkpoint folder."""
     spark = stream.sparkSession
-    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/streams/{store.rstrip('/').split('/')[-1]}"
+    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/streams/{hashlib.sha256(store.rstrip('/').encode()).hexdigest()[:24]}"
     w = stream.writeStream.foreachBatch(_writer(store, keys, order, list(partition_cols or []))) \
         .option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

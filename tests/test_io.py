@@ -41,3 +41,56 @@ def test_salvage_and_encoding(spark):
     IO.write_csv(df.selectExpr("2 AS doc_id", "lang", "text"), f"{p2}/u8")
     back = {r["doc_id"]: r["text"] for r in IO.read_encoding_fallback(spark, f"{p2}/*", "doc_id long, lang string, text string").collect()}
     assert back == {1: "café à la crème", 2: "café à la crème"}
+
+
+def test_salvage_keeps_quoted_and_multi_line_records(spark):
+    from pyspark.sql import types as T
+    path = IO.scratch_path(spark, "t-salvage-quoted")
+    text = 'a,b,n\nx,"line one\nline two, with comma",1\ny,"say ""hi""",2\nz,w,many\n'
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "\n").text(path)
+    schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("n", T.IntegerType())])
+    good, bad = IO.read_salvage(spark, path, schema)
+    assert sorted(tuple(r) for r in good.collect()) == [("x", "line one\nline two, with comma", 1), ("y", 'say "hi"', 2)]
+    assert bad.count() == 1
+
+
+def test_bom_is_written_and_read_back(spark):
+    path = IO.scratch_path(spark, "t-bom")
+    IO.write_csv(spark.createDataFrame([("é", 1)], "a string, n int"), path, bom=True)
+    raw = spark.read.format("binaryFile").load(path).where("length > 0").first()["content"]
+    assert bytes(raw).startswith(b"\xef\xbb\xbfa,n")
+    assert [tuple(r) for r in IO.read_table(spark, path, "a string, n int").collect()] == [("é", 1)]
+
+
+def test_content_ids_tell_null_from_absent(spark):
+    df = spark.createDataFrame([("a", None, "b"), ("a", "b", None), ("a", "", "b")], "x string, y string, z string")
+    assert IO.derive_item_id(df).select("item_id").distinct().count() == 3
+
+
+def test_dynamic_overwrite_needs_no_session_option(spark):
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode", None)
+    path = IO.scratch_path(spark, "t-dynamic")
+    IO.write_results(spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int"), path, ["k"])
+    IO.write_results(spark.createDataFrame([("b", 3)], "k string, n int"), path, ["k"])
+    assert sorted((r["k"], r["n"]) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 3)]
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode", None) == before
+
+
+def test_streams_of_like_named_stores_have_their_own_checkpoints(spark, monkeypatch):
+    from pairjudge.streaming import upsert as U
+    places = []
+
+    class Writer:
+        def __getattr__(self, name):
+            def call(*args, **kwargs):
+                if name == "option":
+                    places.append(args[1])
+                return self
+            return call
+
+    class Stream:
+        sparkSession, writeStream = spark, Writer()
+
+    for store in ("/x/one/store", "/x/two/store"):
+        U.start_upsert(Stream(), store, ["k"], ["t"])
+    assert len(set(places)) == 2
