@@ -51,10 +51,27 @@ def dedupe_keep_last(spark, sf):
     return d.select(*KEYS, "seq", "value")
 
 
-@register("run_scope", rs(f"SELECT item_id, seq, value FROM res WHERE {IN_RUN}"))
+def scoped(spark, sf):
+    """Stored rows with a seed (some without), a shot mode and a dimension."""
+    r, seq = stored(spark, sf), F.col("seq")
+    return (r.withColumn("seed", F.when(seq % 5 != 0, (F.lit(42) + seq % 2).cast("string")))
+            .withColumn("shot_mode", F.when(seq % 7 == 0, F.lit("few-shot")).otherwise(F.lit("zero-shot")))
+            .withColumn("dimension", F.when(seq % 3 == 0, F.lit("quality")).otherwise(F.lit("empathy"))))
+
+
+SCOPED_SQL = ("scoped", """
+SELECT *, CASE WHEN seq % 5 <> 0 THEN 42 + seq % 2 END AS seed, CASE WHEN seq % 7 = 0 THEN 'few-shot' ELSE 'zero-shot' END AS shot_mode,
+  CASE WHEN seq % 3 = 0 THEN 'quality' ELSE 'empathy' END AS dimension FROM res""")
+
+
+@register("run_scope", rs(f"""
+SELECT item_id, seq, value FROM scoped WHERE judge_model = '{RUN_JUDGE}' AND prompt_variant = '{RUN_VARIANT}'
+  AND coalesce(seed, 42) = 42 AND shot_mode = 'zero-shot' AND dimension = 'empathy'""", SCOPED_SQL))
 def run_scope(spark, sf):
-    """Rows of one run (judge, variant); blank variant reads as the default."""
-    return stored(spark, sf).where(run_pred()).select("item_id", "seq", "value")
+    """Rows of one run (judge, variant, seed, shot mode, dimension); a blank variant reads as the
+    default, a missing seed as the current one."""
+    run = R.run_predicate("judge_model", RUN_JUDGE, "prompt_variant", RUN_VARIANT, "seed", 42, "shot_mode", "zero-shot", "dimension", "empathy")
+    return scoped(spark, sf).where(run).select("item_id", "seq", "value")
 
 
 NEWVIEW = ("newview", f"""SELECT item_id, judge_model, prompt_variant, seq + 1000000000 AS seq, value * 2 AS value
@@ -136,7 +153,23 @@ def pending_rows(spark, sf):
 @register("next_n_pending", pend(f"SELECT * FROM pend ORDER BY judge, dimension, item_id LIMIT {NEXT_N}"))
 def next_n_pending(spark, sf):
     """The next batch of N pending work units in a fixed order (the limit is the feature)."""
-    return pending_rows_df(spark, sf).orderBy("judge", "dimension", "item_id").limit(NEXT_N)
+    return R.first_rows(pending_rows_df(spark, sf), NEXT_N, ["judge", "dimension", "item_id"])
+
+
+@register("generation_pending", with_fx("SELECT item_id, category FROM fx_pairs WHERE trim(generated_answer) = ''", "fx_pairs"))
+def generation_pending(spark, sf):
+    """Items that still need an edited answer."""
+    return R.generation_pending(S.fx_pairs(spark, sf), "generated_answer").select("item_id", "category")
+
+
+@register("explanation_pending", with_fx("""
+SELECT item_id, judge, dimension FROM ox_long WHERE dimension IN ('empathy', 'quality') AND pred_source = 'Original'
+  AND substr(md5(concat(item_id, judge)), 1, 1) >= '4'""", "fx_pairs", "fx_verdicts", extra=WIDE_CTES))
+def explanation_pending(spark, sf):
+    """Preference verdicts for the original that have no stored explanation yet."""
+    held = F.when(F.substring(F.md5(F.concat("item_id", "judge")), 1, 1) < "4", F.lit("explained"))
+    lv = long_verdicts(spark, sf).where(F.col("dimension").isin(*V.PREFERENCE_DIMS)).withColumn("explanation", held)
+    return R.explanation_pending(lv, "pred_source", "explanation").select("item_id", "judge", "dimension")
 
 
 @register("distinct_union", pend("""
@@ -187,38 +220,64 @@ def attach_generation(spark, sf):
                     (F.col("generated_answer") == "").alias("pending_generation"))
 
 
-@register("variant_guard", rs("""
-SELECT r.item_id, r.judge_model, r.seq, CASE WHEN s.item_id IS NOT NULL THEN NULL ELSE r.value END AS value
-FROM res r LEFT JOIN (SELECT item_id, judge_model FROM res GROUP BY item_id, judge_model
-                      HAVING max(CAST(prompt_variant <> 'guided' AS INTEGER)) = 1) s
-  ON s.item_id = r.item_id AND s.judge_model = r.judge_model"""))
+GUARD_ROWS_SQL = ("guarded", """
+SELECT v.item_id, v.judge, v.category, v.raw_response AS raw_judge_response,
+  CASE WHEN v.category IN ('cat2', 'cat3') THEN '' ELSE p.generated_answer END AS generated_empathy_answer,
+  CASE WHEN v.category IN ('cat0', 'cat1') THEN 'v1' ELSE 'v3' END AS generation_prompt_variant
+FROM fx_verdicts v JOIN fx_pairs p ON p.item_id = v.item_id WHERE v.dimension = 'empathy'""")
+
+
+def guarded_rows(spark, sf):
+    """Result rows of 16 generation runs (categories): two made with another prompt variant, two
+    without any generated answer."""
+    p = S.fx_pairs(spark, sf).select("item_id", "generated_answer")
+    v = S.fx_verdicts(spark, sf).where(F.col("dimension") == "empathy").join(p, "item_id")
+    c = F.col("category")
+    return v.select("item_id", "judge", "category", F.col("raw_response").alias("raw_judge_response"),
+                    F.when(c.isin("cat2", "cat3"), F.lit("")).otherwise(F.col("generated_answer")).alias("generated_empathy_answer"),
+                    F.when(c.isin("cat0", "cat1"), F.lit("v1")).otherwise(F.lit("v3")).alias("generation_prompt_variant"))
+
+
+@register("variant_guard", with_fx("""
+SELECT g.item_id, g.judge, CASE WHEN r.other = 1 OR r.made = 0 THEN '' ELSE g.raw_judge_response END AS raw_judge_response,
+  md5(CASE WHEN r.other = 1 THEN '' ELSE g.generated_empathy_answer END) AS generated_md5,
+  CASE WHEN r.other = 1 THEN '' ELSE g.generation_prompt_variant END AS generation_prompt_variant
+FROM guarded g JOIN (SELECT category, max(CASE WHEN trim(generated_empathy_answer) <> '' AND generation_prompt_variant <> 'v3' THEN 1 ELSE 0 END) AS other,
+    max(CASE WHEN trim(generated_empathy_answer) <> '' THEN 1 ELSE 0 END) AS made FROM guarded GROUP BY category) r ON r.category = g.category""",
+    "fx_pairs", "fx_verdicts", extra=[GUARD_ROWS_SQL]))
 def variant_guard(spark, sf):
-    """Runs (item x judge) holding rows of an unexpected variant get their outputs blanked."""
-    g = R.variant_guard(stored(spark, sf), ["item_id", "judge_model"], "prompt_variant", "guided", ["value"])
-    return g.select("item_id", "judge_model", "seq", "value")
+    """Generation runs with a generated row of another variant lose all outputs; runs without a
+    generated row lose their judge outputs."""
+    g = R.variant_guard(guarded_rows(spark, sf), ["category"], "generated_empathy_answer", "generation_prompt_variant", "v3")
+    return g.select("item_id", "judge", "raw_judge_response", F.md5("generated_empathy_answer").alias("generated_md5"), "generation_prompt_variant")
 
 
 @register("blank_outputs", with_fx("""
-SELECT v.item_id, v.judge, v.dimension, CASE WHEN p.generated_answer = '' THEN NULL ELSE v.raw_response END AS raw_response
-FROM fx_verdicts v JOIN fx_pairs p ON p.item_id = v.item_id""", "fx_verdicts"))
+SELECT 'all' AS mode, item_id, judge, '' AS raw_judge_response, md5('') AS generated_md5, '' AS generation_prompt_variant FROM guarded
+UNION ALL
+SELECT 'judge', item_id, judge, '', md5(generated_empathy_answer), generation_prompt_variant FROM guarded""",
+    "fx_pairs", "fx_verdicts", extra=[GUARD_ROWS_SQL]))
 def blank_outputs(spark, sf):
-    """Judge outputs cleared for items whose generation is blank (stale downstream values)."""
-    g = S.fx_pairs(spark, sf).select("item_id", "generated_answer")
-    j = S.fx_verdicts(spark, sf).join(g, "item_id")
-    return j.select("item_id", "judge", "dimension",
-                    F.when(F.col("generated_answer") == "", F.lit(None).cast("string"))
-                     .otherwise(F.col("raw_response")).alias("raw_response"))
+    """Output columns cleared in two modes: generation and judge columns, or judge columns only."""
+    rows, out = guarded_rows(spark, sf), None
+    for mode, generation in (("all", True), ("judge", False)):
+        part = R.blank_outputs(rows, generation=generation).select(
+            F.lit(mode).alias("mode"), "item_id", "judge", "raw_judge_response", F.md5("generated_empathy_answer").alias("generated_md5"),
+            "generation_prompt_variant")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @register("init_or_resume", with_fx("""
-SELECT o.item_id, o.gold_choice, o.response_order, w.empathy_v, w.quality_v
-FROM ox_order o LEFT JOIN (SELECT * FROM ox_wide WHERE judge = 'j1') w ON w.item_id = o.item_id""",
+SELECT o.item_id, j.judge, o.gold_choice, o.response_order, w.empathy_v, w.quality_v
+FROM ox_order o CROSS JOIN (VALUES ('j1'), ('j2')) j(judge) LEFT JOIN ox_wide w ON w.item_id = o.item_id AND w.judge = j.judge""",
                                     "fx_pairs", "fx_verdicts", extra=WIDE_CTES))
 def init_or_resume(spark, sf):
-    """Items initialised with their balanced order, resumed with any stored verdicts of judge j1."""
-    o = pairs_order(spark, sf).select("item_id", "gold_choice", "response_order")
-    w = wide_verdicts(spark, sf).where(F.col("judge") == "j1").select("item_id", "empathy_v", "quality_v")
-    return o.join(w, "item_id", "left")
+    """Items initialised with their balanced order for every judge, resumed with any stored verdicts."""
+    o = pairs_order(spark, sf).select("item_id", "gold_choice", "response_order",
+                                      F.explode(F.array(*[F.lit(j) for j in S.JUDGES])).alias("judge"))
+    w = wide_verdicts(spark, sf).select("item_id", "judge", "empathy_v", "quality_v")
+    return o.join(w, ["item_id", "judge"], "left")
 
 
 @register("run_summary", with_fx("""
@@ -227,16 +286,22 @@ SELECT judge, count(*) AS attempted,
   count(*) FILTER (WHERE dimension = 'quality' AND verdict IS NOT NULL) AS done_quality,
   count(*) FILTER (WHERE dimension = 'preservation' AND verdict IS NOT NULL) AS done_preservation,
   count(*) FILTER (WHERE dimension = 'unsupported_addition' AND verdict IS NOT NULL) AS done_unsupported_addition,
-  count(*) FILTER (WHERE verdict IS NULL) AS failed, max(item_id) FILTER (WHERE verdict IS NULL) AS last_failed_id
-FROM ox_long GROUP BY judge""", "fx_pairs", "fx_verdicts", extra=WIDE_CTES))
+  count(*) FILTER (WHERE verdict IS NULL) AS failed,
+  arg_max(item_id, attempt) FILTER (WHERE verdict IS NULL) AS last_failed_id,
+  arg_max(CASE WHEN dimension IN ('empathy', 'quality') THEN 'Could not parse A/B' ELSE 'Could not parse Yes/No' END, attempt)
+    FILTER (WHERE verdict IS NULL) AS last_error
+FROM (SELECT *, md5(concat_ws('|', 'at', item_id, judge, dimension)) AS attempt FROM ox_long) GROUP BY judge""", "fx_pairs", "fx_verdicts", extra=WIDE_CTES))
 def run_summary(spark, sf):
-    """Per judge: attempted, done per dimension, failed and the last failed id."""
+    """Per judge: attempted, done per dimension, failed, and id and error of the latest failed attempt
+    (attempts are timed by a hash here)."""
     lv = long_verdicts(spark, sf)
     ok = F.col("verdict").isNotNull()
+    attempt = F.when(~ok, F.md5(F.concat_ws("|", F.lit("at"), "item_id", "judge", "dimension")))
+    error = F.when(F.col("dimension").isin(*V.PREFERENCE_DIMS), F.lit("Could not parse A/B")).otherwise(F.lit("Could not parse Yes/No"))
     return lv.groupBy("judge").agg(
         F.count(F.lit(1)).alias("attempted"),
         *[F.count_if((F.col("dimension") == d) & ok).alias(f"done_{d}") for d in V.ALL_DIMS],
-        F.count_if(~ok).alias("failed"), F.max(F.when(~ok, F.col("item_id"))).alias("last_failed_id"))
+        F.count_if(~ok).alias("failed"), F.max_by("item_id", attempt).alias("last_failed_id"), F.max_by(error, attempt).alias("last_error"))
 
 
 # --- row views ---------------------------------------------------------------------------------
@@ -365,34 +430,35 @@ def state_filter(spark, sf):
     return R.named_filters(cal_view(spark, sf), state_filters(), ["judge", "dimension", "item_id"])
 
 
-DISPLAY_COLS = ["item_id", "category", "question_word_count", "answer_word_count", "response_order", "gold_choice",
+DISPLAY_COLS = ["item_id", "judge", "category", "question_word_count", "answer_word_count", "response_order", "gold_choice",
                 "empathy_src", "quality_src", "preservation_v", "unsupported_addition_v",
                 "empathy_mismatch_explanation", "quality_mismatch_explanation", "generation_error",
                 "empathy_error", "quality_error"]
 
 
 @register("preview_projection", insp("""
-SELECT item_id, coalesce(response_order, '') AS response_order, coalesce(gold_choice, '') AS gold_choice,
+SELECT item_id, judge, coalesce(response_order, '') AS response_order, coalesce(gold_choice, '') AS gold_choice,
   coalesce(empathy_src, '') AS empathy_src, coalesce(quality_src, '') AS quality_src,
   coalesce(preservation_v, '') AS preservation_v, coalesce(unsupported_addition_v, '') AS unsupported_addition_v,
   '' AS empathy_mismatch_explanation, '' AS quality_mismatch_explanation, '' AS generation_error,
   coalesce(empathy_error, '') AS empathy_error, coalesce(quality_error, '') AS quality_error
-FROM insp WHERE judge = 'j2'"""))
+FROM insp"""))
 def preview_projection(spark, sf):
-    """Fixed display columns of judge j2's rows (absent columns skipped, NULL shown as '')."""
-    b = _inspect_base(spark, sf).where(F.col("judge") == "j2")
+    """Fixed display columns of every judge's rows (absent columns skipped, NULL shown as '')."""
+    b = _inspect_base(spark, sf)
     b = b.withColumn("empathy_error", F.when(F.col("empathy_error").isNotNull(), F.lit("x"))) \
          .withColumn("quality_error", F.when(F.col("quality_error").isNotNull(), F.lit("x")))
     return R.preview_projection(b, DISPLAY_COLS)
 
 
 @register("preview_top", insp(f"""
-SELECT item_id, gold_choice, preservation_v, unsupported_addition_v FROM insp
-WHERE judge = 'j1' AND {INSPECT_FILTER_SQL['Factual fail']} ORDER BY item_id LIMIT {PREVIEW_MAX}"""))
+SELECT judge, item_id, gold_choice, preservation_v, unsupported_addition_v
+FROM (SELECT *, row_number() OVER (PARTITION BY judge ORDER BY item_id) AS rn FROM insp WHERE {INSPECT_FILTER_SQL['Factual fail']})
+WHERE rn <= {PREVIEW_MAX}"""))
 def preview_top(spark, sf):
-    """First min(200, n) rows (by id) of judge j1's factual failures (the limit is the feature)."""
-    b = _inspect_base(spark, sf).where((F.col("judge") == "j1") & inspect_filters()["Factual fail"])
-    return b.select("item_id", "gold_choice", "preservation_v", "unsupported_addition_v").orderBy("item_id").limit(PREVIEW_MAX)
+    """First min(200, n) rows (by id) of each judge's factual failures (the limit is the feature)."""
+    b = _inspect_base(spark, sf).where(inspect_filters()["Factual fail"])
+    return R.first_rows(b, PREVIEW_MAX, ["item_id"], ["judge"]).select("judge", "item_id", "gold_choice", "preservation_v", "unsupported_addition_v")
 
 
 @register("stream_keep_last", rs("SELECT * FROM last"))
