@@ -34,17 +34,19 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 
 def among_smallest(df: DataFrame, hash_col: str, id_col: str, quota: Callable[[Column], Column],
-                   keys: list[str] | None = None, digits: int = BUCKET_DIGITS) -> Column:
+                   keys: list[str] | None = None, digits: int = BUCKET_DIGITS, population: DataFrame | None = None) -> Column:
     """Condition on the rows of ``df``: is (``hash_col``, ``id_col``) among the ``quota(n)`` smallest
     of its ``keys`` group of n rows?
 
     ``hash_col`` must be a lower-case hex string of uniform hash digits and ids unique. ``keys``
-    must have few distinct values: the thresholds, one per key, are scalar subqueries.
+    must have few distinct values: the thresholds, one per key, are scalar subqueries. They are found
+    in two passes over these columns of ``df``, or of ``population``: the same rows where reading
+    them is cheap, if ``df`` takes work.
     """
     keys = list(keys or [])
     bucket = F.substring(F.col(hash_col), 1, digits)
     key = F.struct(*[F.col(k) for k in keys], F.lit(0).alias("_all"))
-    rows = df.select(*keys, hash_col, id_col)
+    rows = (df if population is None else population).select(*keys, hash_col, id_col)
     counts = rows.groupBy(*keys, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     # Windows over counts: keys x 16**digits rows at most.
     upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b"))
@@ -113,11 +115,13 @@ def _order_cols(target_is_a: Column, target: str, other: str) -> list[Column]:
 
 def balanced_ab_hash(items: DataFrame, seed: int, id_col: str = "item_id",
                      target: str = "Generated", other: str = "Original", sep: str = "||",
-                     keys: list[str] | None = None) -> DataFrame:
-    """The floor(n/2) items with the smallest md5('{seed}{sep}{id}') get the target at A."""
+                     keys: list[str] | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """The floor(n/2) items with the smallest md5('{seed}{sep}{id}') get the target at A. ``ids``: the
+    items' id and key columns, written somewhere, if ``items`` takes work."""
     h = F.md5(F.concat_ws(sep, F.lit(str(seed)), F.col(id_col).cast("string")))
     x = items.withColumn("_ab_h", h)
-    is_a = among_smallest(x, "_ab_h", id_col, lambda n: F.floor(n / 2), keys)
+    is_a = among_smallest(x, "_ab_h", id_col, lambda n: F.floor(n / 2), keys,
+                          population=None if ids is None else ids.withColumn("_ab_h", h))
     return x.withColumn("_ab_a", is_a).select(*items.columns, F.lit(seed).alias("seed"),
                                               *_order_cols(F.col("_ab_a"), target, other))
 
@@ -157,13 +161,13 @@ def balanced_ab_shuffle(items: DataFrame, seed: int, id_col: str = "item_id",
 
 def balanced_ab_random(items: DataFrame, seed: int, id_col: str = "item_id",
                        target: str = "answer_with_empathy", other: str = "answer",
-                       keys: list[str] | None = None) -> DataFrame:
+                       keys: list[str] | None = None, ids: DataFrame | None = None) -> DataFrame:
     """Rephrasing calibration order: exactly floor(n/2) items put the rewrite at A.
 
     The evaluated script draws the positions with a single-process random shuffle, which cannot
     be reproduced in parallel; we draw them by hash rank (same guarantee, different draw).
     """
-    return balanced_ab_hash(items, seed, id_col, target, other, sep=":", keys=keys)
+    return balanced_ab_hash(items, seed, id_col, target, other, sep=":", keys=keys, ids=ids)
 
 
 def coin_order(items: DataFrame, seed: int, id_col: str = "item_id",

@@ -89,17 +89,23 @@ def _draw_kappa(g, B, n11, n10, n01, n00):
     return (cells[ok, 0] + cells[ok, 3] - chance[ok]) / (1 - chance[ok])
 
 
+def rate_interval(k: str, n: str, keys: list[str], B: int = 10000, seed: int = 42, probs=(0.025, 0.975)):
+    """Column struct(ci_low, ci_high): percentile bootstrap interval of the rate k / n of each row, a group
+    named by ``keys``."""
+    @F.pandas_udf(CI)
+    def interval(salt: pd.Series, k: pd.Series, n: pd.Series) -> pd.DataFrame:
+        return _intervals(_draw_rate, B, seed, probs)(salt, k, n)
+
+    return interval(_salt(keys), F.col(k), F.col(n))
+
+
 def binomial_bootstrap_rate(df: DataFrame, keys: list[str], flag: str, B: int = 10000, seed: int = 42,
                             probs=(0.025, 0.975)) -> DataFrame:
     """Percentile interval of a 0/1 rate from cells: one aggregation over the data, then B draws
     per group inside one vector (cost B x groups, independent of n)."""
     cells = df.groupBy(*keys).agg(F.sum(F.col(flag)).cast("bigint").alias("k"), F.count(flag).alias("n"))
 
-    @F.pandas_udf(CI)
-    def interval(salt: pd.Series, k: pd.Series, n: pd.Series) -> pd.DataFrame:
-        return _intervals(_draw_rate, B, seed, probs)(salt, k, n)
-
-    r = cells.select(*keys, F.coalesce("k", F.lit(0)).alias("k"), "n").withColumn("_q", interval(_salt(keys), "k", "n"))
+    r = cells.select(*keys, F.coalesce("k", F.lit(0)).alias("k"), "n").withColumn("_q", rate_interval("k", "n", keys, B, seed, probs))
     return r.select(*keys, "k", "n", F.try_divide(F.col("k"), F.col("n")).alias("estimate"), "_q.ci_low", "_q.ci_high")
 
 

@@ -56,3 +56,12 @@ def average_scores(ratings: DataFrame, target: str = "ChatGPT", other: str = "Ph
                     F.abs(c - p).alias("diff_abs"),
                     F.when(c > p, F.lit(target)).when(p > c, F.lit(other)).otherwise(F.lit("Tie")).alias("gold_source"),
                     (c.isNull() | p.isNull()).alias("missing_avg"))
+
+
+def ratings_report(gold: DataFrame, keys: list[str] | None = None, margin: float = 1.0) -> DataFrame:
+    """Funnel of the two-source ratings in one aggregation: all, missing means, ties, used, and of those
+    with a mean difference of ``margin`` or more."""
+    tie = F.col("gold_source") == "Tie"
+    return gold.groupBy(*(keys or ["dimension"])).agg(
+        F.count(F.lit(1)).alias("rows_all"), F.count_if("missing_avg").alias("missing"), F.count_if(tie).alias("ties"),
+        F.count_if(~tie).alias("used"), F.count_if(~tie & (F.col("diff_abs") >= margin)).alias("clear_margin"))

@@ -10,6 +10,7 @@ from pairjudge.functions import stats as ST
 from pairjudge.functions import text as T
 from pairjudge.operators import agreement as AG
 from pairjudge.operators import metrics as M
+from pairjudge.operators import resample as RS
 from pairjudge.operators import verdicts as V
 from pairjudge.plans.common import (OUTCOME_CTES, WIDE_CTES, wide_verdicts, long_verdicts, outcomes,
                                     choice_sql, wc)
@@ -437,19 +438,57 @@ _flo, _fhi = wilson_sql("fp")
 _slo, _shi = wilson_sql("sqi")
 
 
+GEN_SQL = "CASE WHEN substr(md5(item_id), 1, 1) < '8' THEN 'llama' ELSE 'gpt-oss' END"
+
+
+def with_generator(df):
+    """The model that edited an item's answer (by the item's hash)."""
+    return df.withColumn("generator", F.when(F.substring(F.md5("item_id"), 1, 1) < "8", F.lit("llama")).otherwise(F.lit("gpt-oss")))
+
+
 @register("setting_summary", outc(f"""
-SELECT judge, n, emp_gen, qual_gen, pres, nounsupp, fp, sqi, {_flo} AS fp_ci_low, {_fhi} AS fp_ci_high,
-  {_slo} AS sqi_ci_low, {_shi} AS sqi_ci_high
-FROM (SELECT judge, count(*) AS n, CAST(sum(emp_gen) AS BIGINT) AS emp_gen, CAST(sum(qual_gen) AS BIGINT) AS qual_gen,
+SELECT generator, judge, n, emp_gen, qual_gen, pres, nounsupp, fp, sqi, {_flo} AS fp_ci_low, {_fhi} AS fp_ci_high,
+  {_slo} AS sqi_ci_low, {_shi} AS sqi_ci_high, TRUE AS fp_boot_ok, TRUE AS sqi_boot_ok
+FROM (SELECT {GEN_SQL} AS generator, judge, count(*) AS n, CAST(sum(emp_gen) AS BIGINT) AS emp_gen, CAST(sum(qual_gen) AS BIGINT) AS qual_gen,
         CAST(sum(pres) AS BIGINT) AS pres, CAST(sum(nounsupp) AS BIGINT) AS nounsupp, CAST(sum(fp) AS BIGINT) AS fp,
-        CAST(sum(sqi) AS BIGINT) AS sqi FROM ox_outcomes GROUP BY judge)"""))
+        CAST(sum(sqi) AS BIGINT) AS sqi FROM ox_outcomes GROUP BY 1, 2)"""))
 def setting_summary(spark, sf):
-    """Per setting: the six outcome counts with Wilson intervals for factual pass and SQI."""
-    o = outcomes(spark, sf)
-    g = o.groupBy("judge").agg(F.count(F.lit(1)).alias("n"),
-                               *[F.sum(c).cast("bigint").alias(c) for c in ("emp_gen", "qual_gen", "pres", "nounsupp", "fp", "sqi")])
-    return g.select("*", ST.wilson_low("fp", "n").alias("fp_ci_low"), ST.wilson_high("fp", "n").alias("fp_ci_high"),
-                    ST.wilson_low("sqi", "n").alias("sqi_ci_low"), ST.wilson_high("sqi", "n").alias("sqi_ci_high"))
+    """Per setting (generator, judge): the six outcome counts, Wilson intervals for factual pass and SQI,
+    and whether their B = 10,000 bootstrap intervals bracket the rate with the width of the closed form
+    (``setting_intervals`` gives those intervals)."""
+    g = _setting_counts(spark, sf)
+    for c in ("fp", "sqi"):
+        p, width = F.col(c) / F.col("n"), F.col(f"{c}_boot")["ci_high"] - F.col(f"{c}_boot")["ci_low"]
+        g = g.withColumn(f"{c}_boot", RS.rate_interval(c, "n", ["generator", "judge"])).withColumn(
+            f"{c}_boot_ok", (F.col(f"{c}_boot")["ci_low"] <= p) & (p <= F.col(f"{c}_boot")["ci_high"])
+            & (F.abs(width - 2 * 1.96 * F.sqrt(p * (1 - p) / F.col("n"))) <= 0.003 + 2 / F.col("n")))
+    return g.select("generator", "judge", "n", "emp_gen", "qual_gen", "pres", "nounsupp", "fp", "sqi",
+                    ST.wilson_low("fp", "n").alias("fp_ci_low"), ST.wilson_high("fp", "n").alias("fp_ci_high"),
+                    ST.wilson_low("sqi", "n").alias("sqi_ci_low"), ST.wilson_high("sqi", "n").alias("sqi_ci_high"),
+                    "fp_boot_ok", "sqi_boot_ok")
+
+
+def _setting_counts(spark, sf):
+    return with_generator(outcomes(spark, sf)).groupBy("generator", "judge").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(c).cast("bigint").alias(c) for c in ("emp_gen", "qual_gen", "pres", "nounsupp", "fp", "sqi")])
+
+
+@register("setting_intervals")
+def setting_intervals(spark, sf):
+    """Percentile bootstrap intervals (B = 10,000) of factual pass and SQI per setting."""
+    g = _setting_counts(spark, sf)
+    for c in ("fp", "sqi"):
+        g = g.withColumn(f"{c}_boot", RS.rate_interval(c, "n", ["generator", "judge"]))
+    return g.select("generator", "judge", "n", *[F.col(f"{c}_boot")[e].alias(f"{c}_boot_{e[3:]}") for c in ("fp", "sqi") for e in ("ci_low", "ci_high")])
+
+
+@register("category_pass_setting", outc(f"""
+SELECT generator, judge, category, fp, n, CAST(fp AS DOUBLE) / n AS rate, {_flo} AS ci_low, {_fhi} AS ci_high
+FROM (SELECT {GEN_SQL} AS generator, judge, category, CAST(sum(fp) AS BIGINT) AS fp, count(*) AS n FROM ox_outcomes GROUP BY 1, 2, 3)"""))
+def category_pass_setting(spark, sf):
+    """Factual pass per (generator, judge, category) with a Wilson interval."""
+    return AG.wilson_table(with_generator(outcomes(spark, sf)), "fp", ["generator", "judge", "category"], k_name="fp")
 
 
 @register("gap_decomposition", outc("""
@@ -471,25 +510,23 @@ def gap_decomposition(spark, sf):
 
 
 @register("length_stats", with_fx(f"""
-SELECT category, avg(orig_wc) AS orig_mean, avg(gen_wc) AS gen_mean, stddev_samp(gen_wc) AS gen_sd,
+SELECT generator, category, avg(orig_wc) AS orig_mean, avg(gen_wc) AS gen_mean, stddev_samp(gen_wc) AS gen_sd,
   avg(gen_wc) / avg(orig_wc) AS ratio_of_means,
   avg(CASE WHEN orig_wc = 0 THEN NULL ELSE CAST(gen_wc AS DOUBLE) / orig_wc END) AS mean_of_ratios,
   stddev_samp(CASE WHEN orig_wc = 0 THEN NULL ELSE CAST(gen_wc AS DOUBLE) / orig_wc END) AS ratio_sd
-FROM (SELECT category, {wc('original_answer')} AS orig_wc, {wc('generated_answer')} AS gen_wc FROM fx_pairs)
-GROUP BY category""", "fx_pairs"))
+FROM (SELECT {GEN_SQL} AS generator, category, {wc('original_answer')} AS orig_wc, {wc('generated_answer')} AS gen_wc FROM fx_pairs)
+GROUP BY GROUPING SETS ((generator), (category))""", "fx_pairs"))
 def length_stats(spark, sf):
-    """Word-length statistics of original vs edited answers per category (sample sd)."""
-    p = S.fx_pairs(spark, sf).select("category", T.word_count("original_answer").alias("orig_wc"),
-                                     T.word_count("generated_answer").alias("gen_wc"))
+    """Word-length statistics of original vs edited answers (sample sd) per generator and per category."""
+    p = with_generator(S.fx_pairs(spark, sf)).select("generator", "category", T.word_count("original_answer").alias("orig_wc"),
+                                                     T.word_count("generated_answer").alias("gen_wc"))
     ratio = F.try_divide(F.col("gen_wc").cast("double"), F.col("orig_wc"))
-    return p.groupBy("category").agg(
+    return p.groupingSets([["generator"], ["category"]], "generator", "category").agg(
         F.avg("orig_wc").alias("orig_mean"), F.avg("gen_wc").alias("gen_mean"),
         F.stddev_samp("gen_wc").alias("gen_sd"), (F.avg("gen_wc") / F.avg("orig_wc")).alias("ratio_of_means"),
         F.avg(ratio).alias("mean_of_ratios"), F.stddev_samp(ratio).alias("ratio_sd"))
 
 
-
-
 @register("class_metrics", wide(metrics_sql(
     "(SELECT *, 'Generated' AS target FROM ox_long WHERE dimension IN ('empathy', 'quality'))",
     ["judge", "dimension"], "target", "pred_source", ["Original", "Generated"], ["original", "generated"],

@@ -11,7 +11,7 @@ from pairjudge.plans.common import SEED, OX_ORDER
 from pairjudge.plans.oracle_fx import with_fx
 from pairjudge.plans.q_text import strip_sql
 from pairjudge.plans.registry import register
-from pairjudge.session import checkpoint_dir
+from pairjudge.operators.scoring import materialize
 from pairjudge.sources import tables as S
 
 # --- screening (rephrasing set) ---------------------------------------------------------------
@@ -176,6 +176,15 @@ def balanced_ab_shuffle(spark, sf):
     return shuffled(spark, sf).select("item_id", "dimension", "gold_source", "target_is_a", "gold_choice", "response_order")
 
 
+@register("ratings_screen_report", with_fx("""
+SELECT dimension, count(*) AS rows_all, count(*) FILTER (WHERE missing_avg) AS missing, count(*) FILTER (WHERE gold_source = 'Tie') AS ties,
+  count(*) FILTER (WHERE gold_source <> 'Tie') AS used, count(*) FILTER (WHERE gold_source <> 'Tie' AND diff_abs >= 1) AS clear_margin
+FROM gold GROUP BY dimension""", "fx_ratings", extra=[("gold", GOLD_SQL)]))
+def ratings_screen_report(spark, sf):
+    """Two-source funnel per dimension: rows, missing means, ties, used, clear margin."""
+    return SC.ratings_report(gold_table(spark, sf))
+
+
 @register("margin_view", with_fx("SELECT item_id, dimension, gold_source, gold_choice, diff_abs FROM sh WHERE diff_abs >= 1",
                                  "fx_ratings", extra=[("gold", GOLD_SQL), ("sh", SHUFFLE_SQL)]))
 def margin_view(spark, sf):
@@ -201,13 +210,11 @@ FROM (SELECT *, row_number() OVER (ORDER BY md5(concat('42:', item_id)), item_id
 
 
 def randomized(spark, sf):
-    """Balanced order on the eligible set. The eligible set comes out of text-heavy narrow
-    screening; it is checkpointed (shared checkpoint folder) so the two passes of the exact rank
-    read it back instead of screening every text twice."""
-    checkpoint_dir(spark)
+    """Balanced order on the eligible set. That set comes out of text-heavy narrow screening: its ids
+    alone are written to the shared scratch folder for the order, the texts stay where they are."""
     items = SC.eligible(screened(spark, sf)).select("item_id", "lang", "normal_answer", "empathy_answer",
-                                                    "increment_raw", "increment_score", "gold").checkpoint()
-    return A.balanced_ab_random(items, SEED)
+                                                    "increment_raw", "increment_score", "gold")
+    return A.balanced_ab_random(items, SEED, ids=materialize(items.select("item_id"), "eligible-ids"))
 
 
 @register("balanced_ab_random", with_fx("SELECT item_id, target_is_a, gold_choice, response_order FROM rnd",
