@@ -47,9 +47,23 @@ def test_pending_union_done_is_wanted(spark):
 
 
 def test_variant_guard_blanks_whole_run(spark):
-    g = R.variant_guard(_stored(spark), ["item_id", "judge_model"], "prompt_variant", "guided", ["value"])
-    vals = {(r["item_id"], r["judge_model"], r["seq"]): r["value"] for r in g.collect()}
-    assert vals[("1", "j", 3)] is None and vals[("2", "k", 5)] is None
+    rows = [("r1", "1", "text", "v1", "A"), ("r1", "2", "text", "v3", "B"),      # a generated row of another variant
+            ("r2", "1", "", "v1", "A"), ("r2", "2", "text", "v3", "B"),           # another variant, but nothing generated there
+            ("r3", "1", "", "v3", "A"), ("r3", "2", None, None, "B"),             # nothing generated at all
+            (None, "1", "text", "v3", "A")]
+    df = spark.createDataFrame(rows, "run string, item_id string, generated_empathy_answer string, generation_prompt_variant string, pred_choice string")
+    g = R.variant_guard(df, ["run"], "generated_empathy_answer", "generation_prompt_variant", "v3")
+    got = {(r["run"], r["item_id"]): (r["generated_empathy_answer"], r["pred_choice"]) for r in g.collect()}
+    assert got == {("r1", "1"): ("", ""), ("r1", "2"): ("", ""), ("r2", "1"): ("", "A"), ("r2", "2"): ("text", "B"),
+                   ("r3", "1"): ("", ""), ("r3", "2"): (None, ""), (None, "1"): ("text", "A")}
+
+
+def test_run_scope_seed_and_shot(spark):
+    rows = [("j", "", "42", "zero-shot"), ("j", None, None, "zero-shot"), ("j", "paper_minimal", "42.0", "zero-shot"),
+            ("j", "", "43", "zero-shot"), ("j", "", "42", "few-shot"), ("k", "", "42", "zero-shot"), ("j", "", "x", "zero-shot")]
+    df = spark.createDataFrame(rows, "judge string, variant string, seed string, shot string")
+    run = R.run_predicate("judge", "j", "variant", "paper_minimal", "seed", 42, "shot", "zero-shot")
+    assert sorted(str(r["seed"]) for r in df.where(run).collect()) == ["42", "42.0", "None", "x"]
 
 
 def test_named_filters_single_pass(spark):
