@@ -12,7 +12,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from pairjudge.plans import QUERIES  # noqa: E402
 from pairjudge.session import get_spark  # noqa: E402
 
 # Queries that write scratch data while being built (their plan is a read-back scan).
@@ -39,10 +39,10 @@ def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = get_spark("local[8]")
     rows = []
-    for k in sorted(E.queries()):
+    for k in sorted(QUERIES):
         if k in SIDE_EFFECTS:
             continue
-        plan = E.queries()[k](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        plan = QUERIES[k](spark, sf)._jdf.queryExecution().executedPlan().toString()
         rows.append((k, shape(plan)))
     cols = list(rows[0][1])
     out = ["# Physical plan shapes", "",
