@@ -1,15 +1,20 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences (after . ! ? and white space, and at line feeds). A sentence of more than
-``LONG`` words is also cut after each word whose CRC-32 is a multiple of ``CUT``, so that the same words
-are cut alike wherever they stand. From every sentence on, the run of the fewest sentences, ``SENTENCES``
-at least, that has ``WORDS`` words is hashed (128 bits over lower-cased, space-joined words). Runs are
-joined globally: of equal runs the first by (doc_id, place) stays, and the sentences that any other one
-covers are removed.
-
-Plan: runs are written once; counting one half of their hashes, combined before the shuffle, tells
-which repeat, and only those are compared in full. The first run of a hash is a minimum, combined
-before the shuffle as well, so a passage that a third of all documents share is no hot task.
+A text is cut into sentences (after . ! ? and white space, and at line feeds). Of any ``GAP`` words in a
+row inside a sentence, the one with the smallest CRC-32 is cut after as well; that depends on these words
+alone, so that the same words are cut alike wherever they stand, and no unit has more than ``GAP`` words.
+From every unit on, the run of the fewest units, ``SENTENCES`` at least, that has ``WORDS`` words is hashed
+(128 bits over lower-cased, space-joined words). Runs are joined globally: of equal runs the first by
+(doc_id, place) stays, and the units that any other one covers are removed.
+
+Any stretch of 51 words that stands in two places, with the same line feeds, holds a complete run: one of
+its first GAP words ends a unit in both places, the run from there ends at the first cut after WORDS words,
+GAP - 1 words later at most, and text around the stretch adds cuts inside its first and last GAP - 1 words
+only. Words at both ends of a passage that are part of a unit, or too few for a run, may stay.
+
+Plan: runs are written once, a row for each document; counting one half of their hashes, combined before the
+shuffle, tells which repeat, and only those are compared in full. The first run of a hash is a minimum,
+combined before the shuffle as well, so a passage that a third of all documents share is no hot task.
 
 Defined results: null texts stay null, empty ones empty; a text with too few words for a run stays as
 it is; rows that agree in doc_id and text are one document and keep the same sentences; rows with a
@@ -22,6 +27,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,17 +35,37 @@ from pyspark.sql import types as T
 
 from pairjudge.llm.common import out_batch, slices, strings, written
 
-SENTENCES = 3
+SENTENCES = 2
 WORDS = 15
-LONG = 24
-CUT = 12
+#: Words among which one cut is certain. A run from a cut in the first GAP words of a shared stretch ends at a cut
+#: among the GAP words after its WORDS, before those that text behind the stretch may cut: 3 * GAP <= 54 - WORDS.
+GAP = 13
 
 _END = re.compile(r"""(?<![.!?])[.!?]++["')\]]*+\s+|[。！？]+\s*|\n\s*""")
 _WORD = re.compile(r"\S+\s*")
 
 
+def cuts(words: list[str]) -> list[int]:
+    """Words that hold the smallest CRC-32 (the last of equal ones) of any ``GAP`` words in a row."""
+    if len(words) <= GAP:
+        return []
+    prints = [zlib.crc32(w) for w in " ".join(words).encode("utf-8", "surrogatepass").split(b" ")]
+    out = [at := _smallest(prints, 0, GAP)]
+    for i in range(GAP, len(prints)):
+        if prints[i] <= prints[at]:
+            out.append(at := i)
+        elif at == i - GAP:
+            out.append(at := _smallest(prints, i - GAP + 1, i + 1))
+    return out
+
+
+def _smallest(prints: list[int], start: int, stop: int) -> int:
+    part = prints[start:stop]
+    return stop - 1 - part[::-1].index(min(part))
+
+
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, lower-cased words) of each sentence; together they cover the text."""
+    """(start, end, lower-cased words) of each unit; together they cover the text."""
     out: list[tuple[int, int, list[str]]] = []
     start = 0
     for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
@@ -50,27 +76,24 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
             continue
         if not words:  # and elsewhere of the sentence before
             out[-1] = (out[-1][0], end, out[-1][2])
-        elif len(words) <= LONG:
-            out.append((start, end, words))
         else:
-            held: list[str] = []
-            at = start
-            for m in _WORD.finditer(text, start, end):
-                word = m[0].strip().lower()
-                held += word.split()
-                if zlib.crc32(word.encode("utf-8", "surrogatepass")) % CUT == 0:
-                    out.append((at, m.end(), held))
-                    at, held = m.end(), []
-            if held:
-                out.append((at, end, held))
-            elif at < end and out:
-                out[-1] = (out[-1][0], end, out[-1][2])
+            inner = cuts(words)
+            if inner:
+                stops = [m.end() for m in _WORD.finditer(text, start, end)]
+                at = first = 0
+                for cut in inner:
+                    if cut < len(words) - 1:
+                        out.append((start if not first else at, stops[cut], words[first:cut + 1]))
+                        at, first = stops[cut], cut + 1
+                out.append((start if not first else at, end, words[first:]))
+            else:
+                out.append((start, end, words))
         start = end
     return out or ([(0, len(text), [])] if text else [])
 
 
-def runs(found: list[tuple[int, int, list[str]]]) -> Iterator[tuple[int, int, int]]:
-    """(first sentence, sentences, 128-bit hash) of the run from every sentence on."""
+def runs(found: list[tuple[int, int, list[str]]]) -> Iterator[tuple[int, int, bytes]]:
+    """(first unit, units, 128-bit hash) of the run from every unit on."""
     joined = [" ".join(words).encode("utf-8", "surrogatepass") for _, _, words in found]
     sizes = [len(words) for _, _, words in found]
     stop, words = 0, 0
@@ -80,42 +103,40 @@ def runs(found: list[tuple[int, int, list[str]]]) -> Iterator[tuple[int, int, in
             stop += 1
         if words < WORDS or stop - first < SENTENCES:
             return
-        yield first, stop - first, xxhash.xxh3_128_intdigest(b" ".join(joined[first:stop]))
+        yield first, stop - first, xxhash.xxh3_128_digest(b" ".join(joined[first:stop]))
         words -= sizes[first]
 
 
 RUNS = T.StructType([
-    T.StructField("high", T.LongType()), T.StructField("low", T.LongType()), T.StructField("doc_id", T.LongType()),
-    T.StructField("version", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("many", T.IntegerType())])
-
-
-def _signed(x: int, bits: int) -> int:
-    return x - (1 << bits) if x >> (bits - 1) else x
+    T.StructField("doc_id", T.LongType()), T.StructField("version", T.IntegerType()), T.StructField("high", T.ArrayType(T.LongType())),
+    T.StructField("low", T.ArrayType(T.LongType())), T.StructField("many", T.ArrayType(T.IntegerType()))])
 
 
 def document_runs(documents: DataFrame) -> DataFrame:
-    """Every run of every document; ``version`` tells texts of the same doc_id apart."""
+    """Halves of the hash and units of the run from every unit on, of every document; ``version`` tells
+    texts of the same doc_id apart."""
 
     def task(batches):
         for batch in slices(batches):
             cols: dict[str, list] = {f.name: [] for f in RUNS}
-            for doc, version, text in zip(strings(batch.column("doc_id")), strings(batch.column("version")), strings(batch.column("text"))):
-                for first, many, digest in runs(sentences(text or "")):
-                    cols["high"].append(_signed(digest >> 64, 64))
-                    cols["low"].append(_signed(digest & ((1 << 64) - 1), 64))
-                    cols["doc_id"].append(doc)
-                    cols["version"].append(version)
-                    cols["first"].append(first)
-                    cols["many"].append(many)
+            cols["doc_id"], cols["version"] = strings(batch.column("doc_id")), strings(batch.column("version"))
+            for text in strings(batch.column("text")):
+                found = list(runs(sentences(text or "")))
+                halves = np.frombuffer(b"".join(digest for _, _, digest in found), dtype=">i8").astype(np.int64)
+                cols["high"].append(halves[::2])
+                cols["low"].append(halves[1::2])
+                cols["many"].append([many for _, many, _ in found])
             yield out_batch(RUNS, cols)
 
     return documents.mapInArrow(task, RUNS)
 
 
 def repeats(documents: DataFrame) -> DataFrame:
-    """doc_id, version, ranges: [first, last + 1) sentences of the runs that are not the first of theirs."""
-    held = written(document_runs(documents), "runs")
-    often = held.groupBy("high").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("high")
+    """doc_id, version, ranges: [first, last + 1) units of the runs that are not the first of theirs."""
+    found = written(document_runs(documents), "runs")
+    often = written(found.select(F.explode("high").alias("high")).groupBy("high").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("high"), "often")
+    held = (found.select("doc_id", "version", F.posexplode(F.arrays_zip("high", "low", "many")).alias("first", "run"))
+            .select("run.high", "run.low", "doc_id", "version", "first", "run.many"))
     repeated = written(held.join(often, "high"), "repeated-runs")
     place = F.struct("doc_id", "version", "first")
     firsts = repeated.groupBy("high", "low").agg(F.min(place).alias("kept"))
@@ -129,7 +150,7 @@ CLEAN = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text
 
 
 def without(text: str, ranges: list[tuple[int, int]]) -> tuple[str, int, int]:
-    """The text without the sentences in ``ranges``; sentences there were, sentences removed."""
+    """The text without the units in ``ranges``; units there were, units removed."""
     found = sentences(text)
     gone = bytearray(len(found))
     for first, stop in ranges:

@@ -59,3 +59,35 @@ def test_repeated_rows_are_one_document(docs):
 
 def test_empty_table(docs):
     assert R.remove_repeats(docs([])).count() == 0
+
+
+def test_every_shared_stretch_of_51_words_holds_a_run(docs):
+    rng = random.Random(51)
+    word = lambda: rng.choice("abcdefghij") + rng.choice("klmnop") + str(rng.randint(0, 200))
+
+    def say(n, full_stops):
+        return " ".join(word() + (rng.choice(".!?") if rng.random() < full_stops else "") for _ in range(n))
+
+    rows, planted = [], []
+    for i in range(300):
+        passage = say(51, rng.choice([0, 0, 0.04, 0.1]))
+        planted.append(passage.split())
+        rows += [(2 * i + j, " ".join([say(rng.randint(1, 40), 0.05), passage, say(rng.randint(1, 40), 0.05)])) for j in (0, 1)]
+    # Plain search: both texts hold the passage as a window of words.
+    for (_, a), (_, b), passage in zip(rows[::2], rows[1::2], planted):
+        windows = [{tuple(w[i:i + 51]) for i in range(len(w) - 50)} for w in (a.split(), b.split())]
+        assert tuple(passage) in windows[0] & windows[1]
+    found = {r.doc_id: r for r in R.remove_repeats(docs(rows)).collect()}
+    assert all(found[2 * i].n_removed == 0 and found[2 * i + 1].n_removed > 0 for i in range(300))
+
+
+def test_sentences_inside_running_text_and_lines(docs):
+    rng = random.Random(18)
+    word = lambda: rng.choice("abcdefghij") + rng.choice("klmnop") + str(rng.randint(0, 200))
+    say = lambda n: " ".join(word() for _ in range(n))
+    rows = []
+    for i in range(100):
+        sizes, between = [((18, 18, 18), " "), ((24, 24, 24), " "), ((24, 27), "\n")][i % 3]
+        passage = ". ".join(say(n) for n in sizes)
+        rows += [(2 * i + j, say(10) + between + passage + between + say(10)) for j in (0, 1)]
+    assert all(r.n_removed > 0 for r in R.remove_repeats(docs(rows)).collect() if r.doc_id % 2)
