@@ -47,6 +47,11 @@ def out_batch(schema: T.StructType, columns: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
 
 
+def text_digest(text: Column) -> Column:
+    """128-bit hash that, with the doc_id, tells rows apart that are not copies; null for null."""
+    return F.md5(text.cast("string").cast("binary"))
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut incoming batches so that each holds about ``limit`` bytes of text (one row at least)."""
     import pyarrow.compute as pc

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairjudge.llm.common import PIECE_BYTES, out_batch, slices, strings, written
+from pairjudge.llm.common import PIECE_BYTES, out_batch, slices, strings, text_digest, written
 
 WINDOW = 10
 KGRAM = 5
@@ -208,7 +208,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
 
 FOUND = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("n_words", T.LongType()),
+    T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.StringType()), T.StructField("n_words", T.LongType()),
     T.StructField("ranges", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
 RESULT = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
@@ -242,6 +242,11 @@ def _digest(found: DataFrame) -> DataFrame:
 def contamination(documents: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per document: its words, words inside benchmark windows (``ranges``: first and
     last + 1 word number of each hit stretch, flattened), items found, verdict."""
+    return _digest(_found(documents, benchmark, block_windows))
+
+
+def _found(documents: DataFrame, benchmark: DataFrame, block_windows: int, keyed: bool = False) -> DataFrame:
+    """Hit ranges and items of every document; ``text_hash`` is there if ``keyed``."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     windows = written(benchmark_windows(benchmark.select("item_id", F.col("text").cast("string").alias("text"))), "benchmark-windows")
@@ -263,7 +268,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, block_windows: int
                 yield out_batch(FOUND, cols)
         return task
 
-    hashed = docs.withColumn("text_hash", F.lit(0).cast("long") if blocks == 1 else F.xxhash64("text"))
+    hashed = docs.withColumn("text_hash", text_digest(F.col("text")) if keyed or blocks > 1 else F.lit(""))
     found = None
     for block in range(blocks):
         rows = numbered.where(F.col("block") == block).select("window", "n", "item").collect()  # at most about block_windows
@@ -276,10 +281,14 @@ def contamination(documents: DataFrame, benchmark: DataFrame, block_windows: int
                       F.flatten(F.collect_list("items")).alias("items"), (F.count(F.lit(1)) / blocks).cast("int").alias("copies"))
                  .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
                  .select("doc_id", "text_hash", "n_words", "ranges", "items"))
-    return _digest(found)
+    return found
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents none of whose words lies in a benchmark window; all columns kept."""
-    bad = contamination(documents, benchmark).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    """The documents none of whose words lies in a benchmark window; all columns kept.
+
+    Rows are told apart by doc_id and text: a clean row stays, whatever other rows have its id or none."""
+    found = _found(documents, benchmark, BLOCK_WINDOWS, keyed=True)
+    bad = found.where(F.size("ranges") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__bad")).distinct()
+    this = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__digest").eqNullSafe(F.col("__bad"))
+    return documents.withColumn("__digest", text_digest(F.col("text"))).join(bad, this, "left_anti").drop("__digest")

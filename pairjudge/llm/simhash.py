@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairjudge.llm.common import out_batch, slices, strings, written
+from pairjudge.llm.common import out_batch, slices, strings, text_digest, written
 from pairjudge.llm.components import components
 
 SHINGLE = 4
@@ -68,16 +68,21 @@ PRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp"
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every row."""
+KEYED = T.StructType([*PRINTS.fields, T.StructField("digest", T.StringType())])
+
+
+def fingerprints(documents: DataFrame, shingle: int = SHINGLE, keyed: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long), ``digest`` of the text if ``keyed``, of every row."""
+    schema = KEYED if keyed else PRINTS
 
     def task(batches):
         for batch in slices(batches):
             prints = np.array([fingerprint(t, shingle) for t in strings(batch.column("text"))], dtype=np.uint64)
-            yield out_batch(PRINTS, {"doc_id": strings(batch.column("doc_id")), "fp": prints.view(np.int64).tolist()})
+            cols = {"doc_id": strings(batch.column("doc_id")), "fp": prints.view(np.int64).tolist()}
+            yield out_batch(schema, {**cols, "digest": strings(batch.column("digest"))} if keyed else cols)
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(task, PRINTS)
+    return (rows.withColumn("digest", text_digest(F.col("text"))) if keyed else rows).mapInArrow(task, schema)
 
 
 def references(n: int = PIVOTS) -> np.ndarray:
@@ -206,22 +211,31 @@ def _several(edges: np.ndarray) -> list[tuple[int, int]]:
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of every row."""
     prints = written(fingerprints(documents), "fingerprints")
+    by_print = rooted(prints)
+    named = by_print.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints.join(by_print.join(named, "root"), "fp").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def rooted(prints: DataFrame) -> DataFrame:
+    """fp, first (its smallest doc_id), root (the fingerprint that names its component) of every fingerprint."""
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     linked = components(links(distinct), "a", "b")
-    rooted = (distinct.join(linked, distinct["fp"] == linked["node"], "left")
-              .select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return (distinct.join(linked, distinct["fp"] == linked["node"], "left")
+            .select("fp", "first", F.coalesce("root", "fp").alias("root")))
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """One document of each component: that with the smallest doc_id; all columns kept.
-
-    Rows that share a doc_id are the same document, of which one row stays."""
-    found = written(near_duplicates(documents), "near-duplicates")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    out = documents.join(kept.select(F.col("doc_id").alias("__kept")).distinct(), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    repeated = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id"])
+    """One row of each component: that with the smallest doc_id (null ones last), then the smallest hash of
+    its text; all columns kept.
+
+    Rows are told apart by doc_id and text, so unrelated texts that share an id, or have none, all stay."""
+    prints = written(fingerprints(documents, keyed=True), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "copies")
+    found = prints.join(rooted(prints).select("fp", "root"), "fp").groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("copies"))
+    kept = written(found.groupBy("root").agg(F.min(place).alias("kept")).select(
+        F.col("kept.doc_id").alias("__id"), F.col("kept.digest").alias("__kept"), "kept.copies"), "kept")
+    this = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__digest").eqNullSafe(F.col("__kept"))
+    out = documents.withColumn("__digest", text_digest(F.col("text"))).join(kept.drop("copies"), this, "left_semi")
+    repeated = kept.where("copies > 1")
+    return (out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "__digest"])).drop("__digest")

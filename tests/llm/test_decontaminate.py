@@ -72,3 +72,10 @@ def test_winnowing_guarantee():
     text = " ".join(rng.choice("abcdefgh") for _ in range(400))
     one, two = D.Words(text.encode()), D.Words(b"p q r " + text.encode())
     assert (one.fingerprints() == two.fingerprints()[3:]).all()
+
+
+def test_stage_drops_rows_not_ids(spark, docs):
+    benchmark = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    bad = "zero one two three four five six seven eight nine ten"
+    kept = D.drop_contaminated(docs([(None, bad), (None, "clean text"), (None, None), (4, bad), (4, "clean as well")]), benchmark)
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == [("4", "clean as well"), ("None", "None"), ("None", "clean text")]

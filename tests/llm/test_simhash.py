@@ -106,3 +106,10 @@ def test_stage_keeps_one_of_each_group(docs):
 
 def test_empty_table(docs):
     assert H.near_duplicates(docs([])).count() == 0 and H.keep_one(docs([])).count() == 0
+
+
+def test_stage_keeps_unrelated_texts_that_share_an_id_or_have_none(docs):
+    texts = ["first text about apples and pears", "second text on quite other things", "third one of neither kind at all"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[0]), (7, texts[2]), (7, "the seventh row with one more text"), (None, texts[2])]
+    kept = sorted((str(r.doc_id), r.text) for r in H.keep_one(docs(rows)).collect())
+    assert kept == sorted([("None", texts[0]), ("None", texts[1]), ("7", texts[2]), ("7", rows[4][1])])
