@@ -35,6 +35,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType(),
+          "binary": T.BinaryType(), "array<long>": T.ArrayType(T.LongType())}
+
+
+def struct(fields: str) -> T.StructType:
+    """Schema of ``name type, ...``, without a session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (f.split() for f in fields.split(","))])
+
+
 def strings(column: pa.Array) -> list[str | None]:
     return column.to_pylist()
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pairjudge.llm import decontaminate, html_text, language, packing, pii, repeated_spans, secrets, simhash, topk, training_order
-from pairjudge.llm.common import table
+from pairjudge.llm import decontaminate, fill_middle, html_text, katz, language, merkle, packing, pii, repeated_spans, secrets, simhash, topk, training_order
+from pairjudge.llm.common import ascii_lower, table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -83,8 +83,77 @@ def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    tampered = F.when(chosen, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), {"text": tampered})
+
+
+#: Levels of 16 that the SQL below spells out: up to 16 ** 6 rows of a source, and as many sources.
+_SQL_LEVELS = 6
+_CRC32 = ("xor(4294967295, list_reduce(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: ascii(substr(CAST(doc_id AS VARCHAR), i, 1))::BIGINT), "
+          "lambda c, b: list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295::BIGINT))")
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _fold_sql(tree: str, walk: str) -> str:
+    """Tables tree1.. (nodes by level) and walk1.. (a row per document: place, proof and recomputed digest)."""
+    out = []
+    for k in range(_SQL_LEVELS):
+        out.append(f"""{tree}r{k} AS (SELECT part, i // 16 AS i, any_value(n) AS n, string_agg(g, '' ORDER BY i) AS run FROM {tree}{k} GROUP BY part, i // 16),
+{tree}{k + 1} AS (SELECT part, i, (n + 15) // 16 AS n, CASE WHEN n = 1 THEN run ELSE sha256(run) END AS g FROM {tree}r{k}),
+{walk}{k + 1} AS (SELECT w.* REPLACE (w.i // 16 AS i,
+  CASE WHEN r.n = 1 THEN proof ELSE proof || substr(run, 1, 64 * (w.i % 16)) || substr(run, 64 * (w.i % 16) + 65) END AS proof,
+  CASE WHEN r.n = 1 THEN f ELSE sha256(substr(run, 1, 64 * (w.i % 16)) || f || substr(run, 64 * (w.i % 16) + 65)) END AS f)
+  FROM {walk}{k} AS w JOIN {tree}r{k} AS r ON r.part = w.part AND r.i = w.i // 16)""")
+    return ",\n".join(out)
+
+
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce('1' || source, '0') AS part, {_leaf_sql("text")} AS leaf,
+  {_leaf_sql(f"(CASE WHEN {_CRC32} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END)")} AS f FROM documents),
+w0 AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, '' AS proof FROM d),
+t0 AS (SELECT part, i, leaf AS g, count(*) OVER (PARTITION BY part) AS n FROM w0),
+{_fold_sql("t", "w")},
+s0 AS (SELECT '' AS part, part AS name, g, row_number() OVER (ORDER BY part) - 1 AS i, count(*) OVER () AS n FROM t{_SQL_LEVELS}),
+v0 AS (SELECT doc_id, leaf, f, proof, s0.part, s0.i, s0.g AS subroot FROM w{_SQL_LEVELS} AS w JOIN s0 ON s0.name = w.part),
+{_fold_sql("s", "v")}
+SELECT doc_id, leaf, subroot, s.g AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = s.g AS verified FROM v{_SQL_LEVELS} AS v, s{_SQL_LEVELS} AS s
+"""
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.transform(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\n]*\\n|[^\\n]+') AS u,
+  ('0x' || substr(s, 1, 8))::BIGINT AS h1, ('0x' || substr(s, 9, 8))::BIGINT AS h2, ('0x' || substr(s, 17, 8))::BIGINT AS h3, ('0x' || substr(s, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b FROM u),
+p AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS prefix, coalesce(array_to_string(u[a + 1:b], ''), '') AS middle, coalesce(array_to_string(u[b + 1:n], ''), '') AS suffix,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p
+"""
+
+
+def op13_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
+    "op13_katz": op13_katz,
+    "op12_fill_middle": op12_fill_middle,
+    "op11_merkle": op11_merkle,
     "op6_surrogates": op6_surrogates,
     "op8_repeated_spans": op8_repeated_spans,
     "op4_language": op4_language,
@@ -97,6 +166,8 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
 }
 ORACLE = {
+    "op11_merkle": OP11_SQL,
+    "op12_fill_middle": OP12_SQL,
     "op10_topk": OP10_SQL,
     "op9_decontamination": OP9_SQL,
 }
