@@ -6,7 +6,9 @@ import math
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +58,27 @@ def out_batch(schema: T.StructType, columns: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """An array as bytes of equal weight together, so that zstd meets the empty high ones in a row."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(data: bytes, dtype) -> np.ndarray:
+    dtype = np.dtype(dtype)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(dtype.itemsize, -1).T).view(dtype).ravel()
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys by their differences."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
+
+
 def text_digest(text: Column) -> Column:
     """128-bit hash that, with the doc_id, tells rows apart that are not copies; null for null."""
     return F.md5(text.cast("string").cast("binary"))
