@@ -46,6 +46,24 @@ def struct(fields: str) -> T.StructType:
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (f.split() for f in fields.split(","))])
 
 
+class Scratch:
+    """Tables in a scratch folder of their own, removed at the end of the ``with`` block that what is kept is written in."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.path = spark, f"{checkpoint_dir(spark).rstrip('/')}/llm/{tag}-{uuid.uuid4().hex[:12]}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def strings(column: pa.Array) -> list[str | None]:
     return column.to_pylist()
 

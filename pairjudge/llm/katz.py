@@ -17,7 +17,7 @@ a partition sees any n-gram once a block at most, however frequent it is, and ad
 Of equal n-grams the first block that trains on it owns it; owners' sums of counts, discounted counts and shorter
 probabilities, added up per history in a second partitioned table, give the weights. The last pass evaluates the recursion for the
 distinct n-grams of each block, then every token. Counts, their spectrum and the weights are written tables partitioned by a hash of
-the n-gram; nothing but ``CUT`` + 3 numbers an order comes to the driver, and nothing is broadcast.
+the n-gram in a scratch folder that is removed when the scores are written; nothing but ``CUT`` + 3 numbers an order comes to the driver, and nothing is broadcast.
 
 N-grams are told apart by 64 bits of hash and the number of their partition, which grows with the corpus.
 
@@ -29,23 +29,23 @@ other columns may have any names.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pairjudge.llm.common import out_batch, slices, struct, written
+from pairjudge.llm.common import Scratch, out_batch, pack, pack_keys, slices, struct, unpack, unpack_keys, written
 
 ORDER = 2
 CUT = 5
 #: Bytes of text in a block, and tokens of the corpus for each partition of a table.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 PART_TOKENS = 2_000_000
 END = b"\n"  # no word holds white space
 _START = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
@@ -55,27 +55,6 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-# Packed arrays: bytes of equal weight together, so that zstd meets the empty high ones in a row.
-
-def pack(values: np.ndarray) -> bytes:
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def unpack(data: bytes, dtype) -> np.ndarray:
-    dtype = np.dtype(dtype)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
-    return np.ascontiguousarray(planes.reshape(dtype.itemsize, -1).T).view(dtype).ravel()
-
-
-def pack_keys(keys: np.ndarray) -> bytes:
-    return pack(np.diff(keys, prepend=np.uint64(0)))
-
-
-def unpack_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
-
-
 def mixed(history: np.ndarray, word: np.ndarray, salt: int) -> np.ndarray:
     """64-bit hash of a history's and a word's hashes."""
     x = history * np.uint64(salt) + word
@@ -86,55 +65,57 @@ def mixed(history: np.ndarray, word: np.ndarray, salt: int) -> np.ndarray:
 
 # Blocks
 
-BLOCKS = struct("block long, n_tokens long, doc_ids binary, null_ids binary, held binary, lengths binary, tokens binary, high binary, low binary")
+BLOCKS = struct("block long, n_tokens long, doc_ids binary, null_ids binary, held binary, lengths binary, tokens binary, words binary")
 
 
 def blocks(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Documents gathered to blocks: local token numbers, the most frequent ones smallest, and two hashes of every token."""
+    """Documents gathered to blocks: local token numbers, those of the most frequent words in fewer bytes, and the words."""
 
     def task(batches):
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32
-
-        class Local(dict):
-            def __missing__(self, word):
-                self[word] = len(self)
-                return len(self) - 1
-
-        local, tokens, docs, size = Local(), array("I"), [], 0
-
-        def block():
-            ids = np.frombuffer(tokens, dtype=np.uint32)
-            order = np.argsort(-np.bincount(ids, minlength=len(local)), kind="stable")
-            rank = np.empty(len(local), dtype=np.uint32)
-            rank[order] = np.arange(len(local), dtype=np.uint32)
-            prints = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, local)), dtype=">u8").astype(np.uint64).reshape(-1, 2)[order]
-            doc_ids, held, lengths = zip(*docs)
-            return out_batch(BLOCKS, {
-                "block": [number], "n_tokens": [len(ids)],
-                "doc_ids": [pack(np.array([d or 0 for d in doc_ids], dtype=np.int64))],
-                "null_ids": [pack(np.array([d is None for d in doc_ids]))], "held": [pack(np.array(held))],
-                "lengths": [pack(np.array(lengths, dtype=np.int64))], "tokens": [pack(rank[ids])],
-                "high": [pack(prints[:, 0])], "low": [pack(prints[:, 1])]})
-
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in slices(batches):
-            for doc, held, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held", "text"))):
-                words = (text or b"").lower().split()
-                words.append(END)
-                tokens.extend(map(local.__getitem__, words))
-                docs.append((doc, held, len(words)))
-                size += len(text or b"")
-                if size >= block_bytes:
-                    yield block()
-                    number += 1
-                    local, tokens, docs, size = Local(), array("I"), [], 0
-        if docs:
-            yield block()
-
-    # bytes.lower and bytes.split know A-Z and the white space of the token pattern, nothing else.
+            held.append(batch)
+            size += batch.column("text").nbytes
+            if size >= block_bytes:
+                yield _gathered(number, held)
+                number, held, size = number + 1, [], 0
+        if held:
+            yield _gathered(number, held)
+
     return (documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held"),
-                             F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(task, BLOCKS))
+                             F.col("text").cast("string").alias("text")).mapInArrow(task, BLOCKS))
+
+
+def _gathered(number: int, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(batches).combine_chunks()
+    texts = pc.fill_null(table["text"], "").combine_chunks()
+    # The ASCII functions know A-Z and the white space of the token pattern, nothing else.
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = split.flatten()
+    some = pc.greater(pc.binary_length(words), 0)  # white space at an end gives an empty word
+    ends = np.cumsum(some.to_numpy(zero_copy_only=False))[np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)) - 1]
+    coded = words.filter(some).dictionary_encode()
+    n_words, n_docs = len(coded), len(ends)
+    at = np.ones(n_words + n_docs, dtype=bool)
+    at[ends + np.arange(n_docs)] = False  # the ends
+    ids = np.full(len(at), len(coded.dictionary), dtype=np.uint32)
+    ids[at] = coded.indices.to_numpy(zero_copy_only=False)
+    words = pa.concat_arrays([coded.dictionary, pa.array([END.decode()])])
+    rank = np.empty(len(words), dtype=np.int64)
+    rank[np.argsort(-np.bincount(ids, minlength=len(words)), kind="stable")] = np.arange(len(words))
+    order = pc.sort_indices(words).to_numpy()  # the words of as many bytes by their letters, so that they pack well
+    order = order[np.argsort(np.searchsorted([1 << 8, 1 << 16, 1 << 24], rank[order], "right"), kind="stable")]
+    number_of = np.empty(len(words), dtype=np.uint32)
+    number_of[order] = np.arange(len(words), dtype=np.uint32)
+    listed = b" ".join(words.take(pa.array(order)).cast(pa.binary()).to_pylist())
+    doc_ids = table["doc_id"]
+    return out_batch(BLOCKS, {
+        "block": [number], "n_tokens": [len(ids)],
+        "doc_ids": [pack(pc.fill_null(doc_ids, 0).to_numpy())], "null_ids": [pack(pc.is_null(doc_ids).to_numpy())],
+        "held": [pack(table["held"].to_numpy())], "lengths": [pack(np.diff(ends, prepend=0).astype(np.int64) + 1)],
+        "tokens": [pack(number_of[ids])], "words": [zstandard.ZstdCompressor(level=3).compress(listed)]})
 
 
 class Grams:
@@ -146,32 +127,42 @@ class Grams:
 
     def dealt(self, parts: int, histories: bool) -> tuple[np.ndarray, np.ndarray]:
         """N-grams (with the start, for ``histories``) in the order they are asked for, and where each partition's begin."""
-        n = self.n + histories
-        part = self.low[:n] % np.uint64(parts)
-        order = np.lexsort((self.high[:n], part))
-        return order, np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+        n, bits = self.n + histories, np.uint64(int(parts).bit_length())
+        key = (self.low[:n] % np.uint64(parts)) << (np.uint64(64) - bits) | self.high[:n] >> bits
+        order = np.argsort(key)
+        key = key[order]
+        if (key[1:] == key[:-1]).any():  # the same order on every machine
+            order = np.lexsort((self.high[:n], self.low[:n] % np.uint64(parts)))
+        return order, np.searchsorted(key >> (np.uint64(64) - bits), np.arange(parts + 1, dtype=np.uint64))
 
 
 class Block:
     def __init__(self, row: dict, order: int):
         self.row = row
         self.lengths, self.held = unpack(row["lengths"], np.int64), unpack(row["held"], np.bool_)
-        tokens = unpack(row["tokens"], np.uint32).astype(np.int64)
+        tokens = unpack(row["tokens"], np.uint32).astype(np.int32)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.train = np.repeat(~self.held, self.lengths)
-        high, low = (np.append(unpack(row[c], np.uint64), s) for c, s in zip(("high", "low"), _START))
+        prints = b"".join(map(xxhash.xxh3_128_digest, zstandard.ZstdDecompressor().decompress(row["words"]).split(b" ")))
+        high, low = (np.append(h, s) for h, s in zip(np.frombuffer(prints, dtype=">u8").astype(np.uint64).reshape(-1, 2).T, _START))
         words = Grams(tokens, high, low, None, None)
         self.grams = [words]
         for _ in range(1, order):
             short = self.grams[-1]
-            history = np.empty_like(tokens)
+            history = np.empty(len(tokens), dtype=np.int64)
             history[1:] = short.at[:-1]
             history[self.starts] = short.n
-            codes, first, at = np.unique(history * (words.n + 1) + tokens, return_index=True, return_inverse=True)
+            history *= words.n + 1
+            history += tokens
+            codes, at = np.unique(history, return_inverse=True)
+            del history
+            at = at.astype(np.int32)
+            shorter = np.empty(len(codes), dtype=np.int32)
+            shorter[at] = short.at
             begun, last = np.divmod(codes, words.n + 1)
             hashes = [np.append(mixed(h[begun], w[last], salt), mixed(h[-1:], w[-1:], salt)) for h, w, salt in (
                 (short.high, words.high, 0x9E3779B97F4A7C15), (short.low, words.low, 0xD1B54A32D192ED03))]
-            self.grams.append(Grams(at, *hashes, begun, short.at[first]))
+            self.grams.append(Grams(at, *hashes, begun.astype(np.int32), shorter))
 
 
 # Partitioned tables: every block sends each partition one row of sorted keys and values, and gets as many answers back.
@@ -361,17 +352,22 @@ SCORES = struct("doc_id long, held_out boolean, n_tokens long, n_known long, tra
 
 def score(documents: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    held = written(blocks(documents, block_bytes), "katz-blocks")
+    with Scratch(documents.sparkSession, "katz") as scratch:
+        return written(_scored(documents, order, block_bytes, scratch), "katz-scores")
+
+
+def _scored(documents: DataFrame, order: int, block_bytes: int, scratch: Scratch) -> DataFrame:
+    held = scratch.written(blocks(documents, block_bytes), "blocks")
     n_tokens = held.agg(F.sum("n_tokens")).first()[0] or 0
     parts = 1 + n_tokens // PART_TOKENS
-    table = written(counts(held, order, parts), "katz-counts")
+    table = scratch.written(counts(held, order, parts), "counts")
     spectra = (table.where("block = -1").select("kind", F.posexplode("spectrum")).groupBy("kind", "pos").agg(F.sum("col").alias("n"))
                .groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("pos", "n"))).alias("s")).collect())  # a row per order
     model = Model(order, parts, {r["kind"]: [x["n"] for x in r["s"]] for r in spectra})
     columns = ["block", "kind", "part", "a", "b"]
     answers = table.where("block >= 0").select(F.lit("counts").alias("step"), *columns)
     for kind in range(2, order + 1):
-        found = written(weights(held, answers, model, kind), "katz-weights")
+        found = scratch.written(weights(held, answers, model, kind), f"weights-{kind}")
         answers = answers.unionByName(found.select(F.lit("weights").alias("step"), *columns))
 
     def emit(block: Block, found: Answers):

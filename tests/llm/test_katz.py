@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from pairjudge.llm import katz
+from pairjudge.llm.common import pack, pack_keys, unpack, unpack_keys
 
 
 def tokens(text):
@@ -119,5 +120,5 @@ def test_nothing_to_learn_and_empty_table(spark, docs):
 def test_packing_of_arrays():
     import numpy as np
     keys = np.array([0, 5, 2 ** 63, 2 ** 64 - 1], dtype=np.uint64)
-    assert (katz.unpack_keys(katz.pack_keys(keys)) == keys).all() and len(katz.unpack_keys(katz.pack_keys(keys[:0]))) == 0
-    assert (katz.unpack(katz.pack(keys), np.uint64) == keys).all()
+    assert (unpack_keys(pack_keys(keys)) == keys).all() and len(unpack_keys(pack_keys(keys[:0]))) == 0
+    assert (unpack(pack(keys), np.uint64) == keys).all()
