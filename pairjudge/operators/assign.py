@@ -30,7 +30,8 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     """Join on ``keys`` with NULL equal to NULL; the right side's key columns are dropped."""
     renamed = right.withColumnsRenamed({k: f"_nsj_{k}" for k in keys})
     same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_nsj_{k}"]) for k in keys])
-    return left.join(renamed, same, how).drop(*[f"_nsj_{k}" for k in keys])
+    joined = left.join(renamed, same, how)
+    return joined if how in ("left_anti", "left_semi") else joined.drop(*[f"_nsj_{k}" for k in keys])
 
 
 def among_smallest(df: DataFrame, hash_col: str, id_col: str, quota: Callable[[Column], Column],

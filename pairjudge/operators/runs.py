@@ -56,8 +56,8 @@ def upsert_run(stored: DataFrame, run: Column, view: DataFrame) -> DataFrame:
 
 
 def pending(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """Wanted work units without a valid result (anti join)."""
-    return wanted.join(done.select(*keys).distinct(), keys, "left_anti")
+    """Wanted work units without a valid result (anti join; a NULL key equals a NULL key)."""
+    return join_null_safe(wanted, done.select(*keys).distinct(), keys, "left_anti")
 
 
 # Output columns of a result row, in two sets.
@@ -102,9 +102,12 @@ def generation_pending(df: DataFrame, generated_col: str) -> DataFrame:
     return df.where(strip_text(F.col(generated_col)) == "")
 
 
-def explanation_pending(df: DataFrame, pred_source_col: str, explanation_col: str, lost: str = "Original") -> DataFrame:
-    """Rows whose verdict preferred ``lost`` and that have no explanation yet."""
-    return df.where((F.col(pred_source_col) == lost) & (strip_text(F.col(explanation_col)) == ""))
+def explanation_pending(df: DataFrame, pred_source_col: str, explanation_col: str, lost: str = "Original",
+                        error_col: str | None = None) -> DataFrame:
+    """Rows whose verdict preferred ``lost`` and that have no explanation yet; a stored error of the explanation call
+    (``error_col``) settles a row as well."""
+    open_ = (F.col(pred_source_col) == lost) & (strip_text(F.col(explanation_col)) == "")
+    return df.where(open_ if error_col is None else open_ & (strip_text(F.col(error_col)) == ""))
 
 
 def first_rows(df: DataFrame, n: int, order: list[str], keys: list[str] | None = None) -> DataFrame:

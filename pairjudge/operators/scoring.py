@@ -20,6 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairjudge.operators.assign import join_null_safe
+from pairjudge.operators.ledger import RunLedger, by_task
+from pairjudge.sources import files
+
 MAX_ATTEMPTS = 2
 RETRY_PAUSE_S = 1.0
 SCORE_SCHEMA = "raw_response string, error int, error_message string, attempts int, prompt_md5 string"
@@ -134,49 +138,40 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at ``path``, or None if nothing has been written there yet. A storage failure is raised."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder) or not any(not s.getPath().getName().startswith(("_", ".")) for s in files.listStatus(folder)):
-        return None
-    return spark.read.parquet(path)
+    """The table at ``path``, or None if no task has written to it yet. A storage failure is raised."""
+    return spark.read.parquet(path) if files.has_data(spark, path) else None
 
 
-def score_in_waves(units: DataFrame, id_col: str, wave_size: int, failure_budget: int,
-                   score: Callable[[DataFrame], DataFrame], store_path: str) -> DataFrame:
+def score_in_waves(units: DataFrame, id_col: str | list[str], wave_size: int, failure_budget: int,
+                   score: Callable[[DataFrame], DataFrame], store_path: str, attempts: int = 1) -> DataFrame:
     """Score in waves of ``wave_size`` units, each written to its own partition of ``store_path``; stop
     launching waves once the failures of the waves run here exceed ``failure_budget`` (a global "first
     failure" has no meaning across partitions). Returns one stats row per wave (scored, failed,
     skipped).
 
-    A unit's wave follows from the hash of its id, so a second run on the same store keeps the waves
-    that are there, neither repeating them nor counting their failures again, and goes on with the
-    rest. One job per wave, reading that wave's partition only."""
-    from pairjudge.operators.assign import exact_rank
+    Waves and attempts are kept by unit key in a ledger beside the store (:mod:`pairjudge.operators.ledger`), so a
+    later call goes on whatever its units are: stored units are neither repeated nor counted again, new ones get new
+    waves, skipped and half-written waves are completed. A unit whose row is an error is scored again, in a
+    new wave, until it has had ``attempts`` attempts. One job per wave, reading that wave's units only."""
     spark = units.sparkSession
-    ranked = exact_rank(units.withColumn("_wv_h", F.md5(F.col(id_col).cast("string"))), "_wv_h", [id_col],
-                        out="_wv_rank", total_col="_wv_n")
+    ledger = RunLedger(spark, store_path, [id_col] if isinstance(id_col, str) else list(id_col))
     waves_path = _scratch(spark, "waves")
-    (ranked.withColumn("wave", F.floor((F.col("_wv_rank") - 1) / wave_size).cast("int")).drop("_wv_h", "_wv_rank", "_wv_n")
-     .write.partitionBy("wave").parquet(waves_path))
+    ledger.claim(units.drop("wave", "wave_attempt"), wave_size, attempts).write.partitionBy("wave").parquet(waves_path)
     waves = stored(spark, waves_path)
-    numbers = [] if waves is None else sorted(r["wave"] for r in waves.select("wave").distinct().collect())
-    before = stored(spark, store_path)
-    seen = {} if before is None else {r["wave"]: r for r in before.groupBy("wave").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("error").alias("f")).collect()}  # a row per wave
+    numbers = set() if waves is None else {r["wave"] for r in waves.select("wave").distinct().collect()}
+    before = ledger.results()
+    counts = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("error"), F.lit(0)).alias("f")]
+    seen = {} if before is None else {r["wave"]: (r["n"], r["f"]) for r in before.groupBy("wave").agg(*counts).collect()}  # a row per wave
     failures, stats = 0, []
-    for w in numbers:
-        if w in seen:
-            stats.append((w, int(seen[w]["n"]), int(seen[w]["f"] or 0), False))
-            continue
-        if failures > failure_budget:
-            stats.append((w, 0, 0, True))
-            continue
-        part = f"{store_path.rstrip('/')}/wave={w}"
-        score(spark.read.parquet(f"{waves_path}/wave={w}").withColumn("wave", F.lit(w))).drop("wave").write.parquet(part)
-        r = spark.read.parquet(part).agg(F.count(F.lit(1)).alias("n"), F.sum("error").alias("f")).first()
-        failures += int(r["f"] or 0)
-        stats.append((w, int(r["n"]), int(r["f"] or 0), False))
+    for w in sorted(numbers | set(seen)):
+        held, failed = seen.get(w, (0, 0))
+        skipped = w in numbers and failures > failure_budget
+        if w in numbers and not skipped:
+            ledger.save(score(spark.read.parquet(f"{waves_path}/wave={w}").withColumn("wave", F.lit(w))).drop("wave"), w)
+            r = spark.read.parquet(f"{ledger.store}/wave={w}").agg(*counts).first()
+            failures += int(r["f"] - failed)
+            held, failed = r["n"], r["f"]
+        stats.append((w, int(held), int(failed), skipped))
     return spark.createDataFrame(stats, "wave int, scored long, failed long, skipped boolean")
 
 
@@ -187,16 +182,17 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 def incremental_run(units: DataFrame, keys: list[str], n: int, score: Callable[[DataFrame], DataFrame],
                     store_path: str, done_filter=None) -> DataFrame:
-    """Score the next ``n`` units (by key order) that have no good stored result, append them and
-    return the rows written, read back. Re-running resumes exactly where the store ends; a unit whose
-    stored rows are all errors is pending again. ``done_filter`` says which stored rows are good
-    (unless given: those without an error)."""
-    spark = units.sparkSession
-    before = stored(spark, store_path)
+    """Score the next ``n`` units (by key order) that have no good stored result, add them to the store as its next
+    ``round`` and return that round, read back. Re-running resumes exactly where the store ends; a unit whose
+    stored rows are all errors is pending again; replies of a round that was cut short count as far as its tasks
+    were done. Keys may be NULL. ``done_filter`` says which stored rows are good (unless given: those without an error)."""
+    spark, store = units.sparkSession, store_path.rstrip("/")
+    before = stored(spark, store)
     todo = units
     if before is not None:
         good = before.where(F.col("error") == 0 if done_filter is None else done_filter)
-        todo = units.join(good.select(*keys).distinct(), keys, "left_anti")
-    out = materialize(score(todo.orderBy(*keys).limit(n)), "increment")
-    out.write.mode("append").parquet(store_path)
-    return out
+        todo = join_null_safe(units, good.select(*keys).distinct(), keys, "left_anti")
+    rounds = [int(x[6:]) for x in files.names(spark, store) if x.startswith("round=")]
+    path = f"{store}/round={max([-1, *rounds]) + 1}"
+    by_task(score(todo.orderBy(*keys).limit(n)), path)
+    return spark.read.parquet(path)
