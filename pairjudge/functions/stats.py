@@ -115,6 +115,19 @@ def kappa_from_cells(n11, n10, n01, n00) -> Column:
     return F.when(n > 0, (po - pe) / F.nullif(1 - pe, F.lit(0.0)))
 
 
+def kappa_se(n11, n10, n01, n00) -> Column:
+    """Large-sample standard error of Cohen's kappa (Fleiss, Cohen and Everitt) from the 2x2 cells; NULL when undefined."""
+    n = _d(n11) + _d(n10) + _d(n01) + _d(n00)
+    p11, p10, p01, p00 = (_d(c) / n for c in (n11, n10, n01, n00))
+    a, b = p11 + p10, p11 + p01
+    pe = a * b + (1 - a) * (1 - b)
+    k = kappa_from_cells(n11, n10, n01, n00)
+    same = p11 * F.pow(1 - (a + b) * (1 - k), 2) + p00 * F.pow(1 - (2 - a - b) * (1 - k), 2)
+    other = F.pow(1 - k, 2) * (p10 * F.pow(b + 1 - a, 2) + p01 * F.pow(1 - b + a, 2))
+    var = same + other - F.pow(k - pe * (1 - k), 2)
+    return F.sqrt(F.greatest(var, F.lit(0.0)) / n) / F.nullif(1 - pe, F.lit(0.0))
+
+
 def kappa_strength(k) -> Column:
     k = _c(k)
     out = F.when(k.isNull() | F.isnan(k), F.lit("undefined"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairjudge.functions import stats as ST
+from pairjudge.operators.assign import join_null_safe
 
 
 def cells(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
@@ -45,20 +46,19 @@ def cohen_kappa(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
 
 
 def cohen_kappa_labels(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
-    """Kappa for any label set: joint counts by (a, b) plus marginals, all from one groupBy."""
-    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*keys, a, b).agg(
-        F.count(F.lit(1)).alias("c"))
-    n = F.sum("c")
-    agree = F.sum(F.when(F.col(a) == F.col(b), F.col("c")).otherwise(0))
-    marg = pairs.groupBy(*keys).agg(n.alias("n"), agree.alias("agree"),
-                                    F.collect_list(F.struct(a, b, "c")).alias("cells"))
-    # Marginals from the cell list of each group (at most labels x labels entries).
-    x = marg.select(
-        *keys, "n", "agree",
-        F.expr(f"""aggregate(array_distinct(transform(cells, x -> cast(x.`{a}` as string))), 0D,
-                 (acc, l) -> acc + (aggregate(filter(cells, x -> cast(x.`{a}` as string) = l), 0L, (s, x) -> s + x.c)
-                 * aggregate(filter(cells, x -> cast(x.`{b}` as string) = l), 0L, (s, x) -> s + x.c)) / double(n) / double(n))""").alias("pe"))
-    po = F.col("agree") / F.col("n").cast("double")
+    """Kappa for any label set, from the sparse contingency table: one row per (a, b) that occurs, its two margins
+    aggregated and joined by label, so no group is gathered in one row, however many labels it has."""
+    label = [F.col(a).cast("string").alias("_a"), F.col(b).cast("string").alias("_b")]
+    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*keys, *label).agg(F.count(F.lit(1)).alias("c"))
+    whole = cells.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(F.when(F.col("_a") == F.col("_b"), F.col("c")).otherwise(0)).alias("agree"))
+    of_a = cells.groupBy(*keys, F.col("_a").alias("_label")).agg(F.sum("c").alias("_ra"))
+    of_b = cells.groupBy(*keys, F.col("_b").alias("_label")).agg(F.sum("c").alias("_rb"))
+    both = join_null_safe(of_a, of_b, [*keys, "_label"])  # a label that only one rater gives adds nothing
+    chance = both.groupBy(*keys).agg(F.sum(F.col("_ra").cast("double") * F.col("_rb")).alias("_both"))
+    n = F.col("n").cast("double")
+    x = join_null_safe(whole, chance, keys, "left") if keys else whole.crossJoin(chance)  # a row each
+    x = x.withColumn("pe", F.coalesce("_both", F.lit(0.0)) / n / n)
+    po = F.col("agree") / n
     k = (po - F.col("pe")) / F.nullif(1 - F.col("pe"), F.lit(0.0))
     return x.select(*keys, "n", po.alias("pct_agree"), k.alias("kappa"), ST.kappa_strength(k).alias("strength"))
 

@@ -18,8 +18,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairjudge.functions.text import hash_coin
 
@@ -127,6 +128,23 @@ def balanced_ab_hash(items: DataFrame, seed: int, id_col: str = "item_id",
                                               *_order_cols(F.col("_ab_a"), target, other))
 
 
+def nth_position(spark: SparkSession, seed: int, n: int, nth: int, digits: int = BUCKET_DIGITS, most: int = 10_000) -> tuple[str, int]:
+    """(hash, i) of the ``nth`` smallest of the positions 0 .. n - 1 by the 48-bit md5('{seed}:position:{i}') and i.
+
+    The positions are generated, dealt over tasks and counted by the leading hex digits of their hashes, ``digits`` at a time
+    (16**digits counts at most), until the hashes that are left to sort are ``most`` at most."""
+    rows = spark.range(n).select(F.substring(F.md5(F.concat(F.lit(f"{seed}:position:"), F.col("id").cast("string"))), 1, 12).alias("h"), "id")
+    prefix, left = "", n
+    while left > most and len(prefix) < 12:
+        digit = F.substring("h", len(prefix) + 1, digits).alias("d")
+        for r in sorted(rows.where(F.col("h").startswith(prefix)).groupBy(digit).agg(F.count(F.lit(1)).alias("n")).collect()):
+            if nth <= r["n"]:
+                break
+            nth -= r["n"]
+        prefix, left = prefix + r["d"], r["n"]
+    return tuple(sorted(rows.where(F.col("h").startswith(prefix)).collect())[nth - 1])
+
+
 def balanced_ab_shuffle(items: DataFrame, seed: int, id_col: str = "item_id",
                         target_col: str | None = None, target: str = "ChatGPT",
                         other: str = "Physician", keys: list[str] | None = None) -> DataFrame:
@@ -136,15 +154,38 @@ def balanced_ab_shuffle(items: DataFrame, seed: int, id_col: str = "item_id",
 
     ``target_col`` (e.g. ``gold_source``) names, per row, which source is the gold one; the
     other source is then the remaining label of (target, other).
+
+    The items are counted by hash bucket at once (a job; 65,536 counts a key at most come to the driver: ``keys`` must
+    have few distinct values, and ``items`` should be cheap to read twice). These give the offsets of the ranks, and n; the threshold over
+    the positions depends on n alone (:func:`nth_position`), so the plan returned ranks the ids once and compares.
     """
+    keys, spark = list(keys or []), items.sparkSession
     rows_id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    h = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), rows_id)), 1, 12)
-    r = exact_rank(items.withColumn("_sh_h", h), "_sh_h", [id_col], out="_sh_pos", keys=keys)
-    r = r.withColumn("_sh_i", F.col("_sh_pos") - 1).withColumn(
-        "_sh_ph", F.substring(F.md5(F.concat(F.lit(f"{seed}:position:"), F.col("_sh_i").cast("string"))), 1, 12))
-    odd = 1 if seed % 2 == 0 else 0
-    r = r.withColumn("_sh_a", among_smallest(
-        r, "_sh_ph", "_sh_i", lambda n: F.floor(n / 2) + F.when(n % 2 == 1, odd).otherwise(0), keys))
+    x = items.withColumn("_sh_h", F.substring(F.md5(F.concat(F.lit(f"{seed}:"), rows_id)), 1, 12))
+    x = x.withColumn("_sh_b", F.substring("_sh_h", 1, BUCKET_DIGITS))
+    counts = x.groupBy(*keys, "_sh_b").agg(F.count(F.lit(1)).alias("n")).collect()
+    totals: dict[tuple, int] = {}
+    offsets = []
+    for r in sorted(counts, key=lambda r: r["_sh_b"]):
+        key = tuple(r[k] for k in keys)
+        offsets.append((*key, r["_sh_b"], totals.get(key, 0)))
+        totals[key] = totals.get(key, 0) + r["n"]
+    schema = T.StructType([*(items.schema[k] for k in keys), T.StructField("_sh_b", T.StringType()), T.StructField("_sh_o", T.LongType())])
+    cuts: dict[int, tuple[str, int]] = {}
+    for n in set(totals.values()):
+        quota = n // 2 + (1 if n % 2 and seed % 2 == 0 else 0)
+        if quota:
+            cuts[n] = nth_position(spark, seed, n, quota)
+    place = F.row_number().over(Window.partitionBy(*keys, "_sh_b").orderBy("_sh_h", id_col)) - 1
+    r = join_null_safe(x, F.broadcast(spark.createDataFrame(offsets, schema)), [*keys, "_sh_b"]).withColumn("_sh_i", place + F.col("_sh_o"))
+    position = F.struct(F.substring(F.md5(F.concat(F.lit(f"{seed}:position:"), F.col("_sh_i").cast("string"))), 1, 12).alias("h"), F.col("_sh_i").alias("i"))
+    is_first = F.lit(False)
+    for key, n in totals.items():
+        if n in cuts:
+            own = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(keys, key)], F.lit(True))
+            cut = F.struct(F.lit(cuts[n][0]).alias("h"), F.lit(cuts[n][1]).cast("long").alias("i"))
+            is_first = F.when(own, position <= cut).otherwise(is_first)
+    r = r.withColumn("_sh_a", is_first)
     is_a = F.col("_sh_a")
     if target_col is None:
         cols = _order_cols(is_a, target, other)

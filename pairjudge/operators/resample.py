@@ -1,20 +1,22 @@
 """Bootstrap intervals without materialising B x n draws in a shuffle.
 
 * :func:`poisson_bootstrap_mean` — any numeric column: each (replicate, row) gets a Poisson(1)
-  weight from a hash, the replicate ``explode`` sits directly under a partial aggregate, so only
-  B x groups partial sums per partition are shuffled.
+  weight from a hash; a task keeps B running sums per group and adds a row's vector of weights at a time, so only
+  B x groups partial sums per task are shuffled.
 * :func:`binomial_bootstrap_rate` — 0/1 outcomes: aggregate to cells (k, n) first; a replicate's
   resampled count of ones is exactly Binomial(n, k/n); an Arrow-batched pandas UDF draws all
   replicates of a cell as one vector. Cost is B x groups, independent of n.
-* :func:`poisson_bootstrap_kappa` — weighted 2x2 cells per replicate, kappa per replicate,
-  undefined replicates dropped.
+* :func:`multinomial_bootstrap_kappa` — kappa of two binary raters from the 2x2 cells, likewise.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,33 +24,93 @@ from pairjudge.functions import stats as ST
 from pairjudge.operators.assign import join_null_safe
 
 
-def _replicates(df: DataFrame, B: int, spread_by: str | None = None) -> DataFrame:
-    """B copies of every row. The n input rows are first hash-spread over the shuffle partitions
-    (a shuffle of n rows, cheap next to B x n work) so a small or single-file input never puts
-    all B x n replicate rows into one task; hashing by id keeps partial sums deterministic."""
-    if spread_by is not None:
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        df = df.repartition(n, spread_by)
-    return df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(B))))
+CI = T.StructType([T.StructField("ci_low", T.DoubleType()), T.StructField("ci_high", T.DoubleType())])
+#: Weights come from the line (a * replicate + b) mod PRIME, a and b from the row's hash: uniform for every row and replicate,
+#: independent across rows, and pairwise independent across the replicates of a row.
+PRIME = (1 << 31) - 1
+#: Smallest values of the line for the Poisson(1) weights 1, 2, ...
+POISSON_STEPS = [int(PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(12)]
+#: Groups whose vectors a task holds before it passes them on, rows added at a time, and parts that a group is merged in.
+HELD_GROUPS, ROWS_AT_A_TIME, MERGE_PARTS = 256, 64, 32
+VECTORS = [T.StructField(n, T.BinaryType()) for n in ("_sw", "_swx")]
+
+
+def row_lines(seed: int, id_col: str) -> list[Column]:
+    """``_la`` and ``_lb`` of a row, from the md5 of seed and id."""
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+
+    def part(start: int) -> Column:
+        return F.conv(F.substring(h, start, 8), 16, 10).cast("long")
+    return [(1 + part(1) % (PRIME - 1)).alias("_la"), (part(9) % PRIME).alias("_lb")]
+
+
+def _weights(a: np.ndarray, b: np.ndarray, B: int) -> np.ndarray:
+    line = (a[:, None] * np.arange(1, B + 1, dtype=np.int64) + b[:, None]) % PRIME
+    return np.searchsorted(POISSON_STEPS, line, side="right")
+
+
+def _vectors(keys: list[str], B: int, add: Callable):
+    """Task that keeps, by group, the B running sums of weights and of weighted values."""
+    def emit(held):
+        columns = [list(c) for c in zip(*held)] or [[] for _ in keys]
+        out = pd.DataFrame(dict(zip(keys, columns)), columns=keys, dtype=object)
+        out["_sw"], out["_swx"] = [v[0].tobytes() for v in held.values()], [v[1].tobytes() for v in held.values()]
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        for pdf in batches:
+            for key, rows in pdf.groupby(keys, dropna=False, sort=False):
+                key = tuple(None if pd.isna(k) else k for k in key)
+                if key not in held and len(held) >= HELD_GROUPS:
+                    yield emit(held)
+                    held = {}
+                sw, swx = held.setdefault(key, (np.zeros(B, dtype=np.int64), np.zeros(B)))
+                add(rows, sw, swx)
+        yield emit(held)
+    return run
 
 
-def poisson_bootstrap_mean(df: DataFrame, keys: list[str], id_col: str, value: str, B: int = 500,
+def poisson_bootstrap_mean(df: DataFrame, keys: list[str], id_col: str, value: str, B: int = 10_000,
                            seed: int = 42, probs=(0.025, 0.975)) -> DataFrame:
+    """Percentile interval of the mean of any numeric column: n, estimate, ci_low, ci_high per group.
+
+    Every row has a Poisson(1) weight in each of B replicates, fixed by the seed and its id. A task adds the row's vector of weights to its
+    B running sums of each group; the sums are merged in two steps, so what is shuffled is B sums per group and task, never rows x replicates.
+    Replicates without weight are left out. Rows without a value take no part; keys may be NULL."""
     if not keys:
         raise ValueError("give at least one grouping key (use a literal column for a single group)")
-    x = df.select(*keys, id_col, F.col(value).cast("double").alias("_v"))
+    x = df.where(F.col(value).isNotNull()).select(*keys, id_col, F.col(value).cast("double").alias("_v"))
     est = x.groupBy(*keys).agg(F.avg("_v").alias("estimate"), F.count(F.lit(1)).alias("n"))
-    r = _replicates(x, B, spread_by=id_col)
-    w = ST.poisson1_weight_hashed(F.lit(seed), F.col("rep"), F.col(id_col))
-    per_rep = r.withColumn("_w", w).groupBy(*keys, "rep").agg(
-        F.sum(F.col("_w") * F.col("_v")).alias("_swx"), F.sum("_w").alias("_sw"))
-    means = per_rep.where(F.col("_sw") > 0).select(*keys, (F.col("_swx") / F.col("_sw")).alias("_m"))
-    ci = means.groupBy(*keys).agg(F.percentile("_m", F.array(*[F.lit(p) for p in probs])).alias("_q"))
-    j = join_null_safe(est, ci, keys)
-    return j.select(*keys, "n", "estimate", F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
+
+    def add_rows(rows, sw, swx):
+        a, b, v = (rows[c].to_numpy() for c in ("_la", "_lb", "_v"))
+        for i in range(0, len(v), ROWS_AT_A_TIME):
+            w = _weights(a[i:i + ROWS_AT_A_TIME], b[i:i + ROWS_AT_A_TIME], B)
+            sw += w.sum(axis=0)
+            swx += v[i:i + ROWS_AT_A_TIME] @ w
+
+    def add_vectors(rows, sw, swx):
+        for w, wx in zip(rows["_sw"], rows["_swx"]):
+            sw += np.frombuffer(w, dtype=np.int64)
+            swx += np.frombuffer(wx)
+
+    fields = [df.schema[k] for k in keys]
+    schema = T.StructType([*fields, *VECTORS])
+    # A few rows are B times the work of their reading: dealt to all tasks by id.
+    dealt = x.select(*keys, "_v", *row_lines(seed, id_col)).repartition("_la", "_lb")
+    sums = dealt.mapInPandas(_vectors(keys, B, add_rows), schema).withColumn("_part", F.spark_partition_id() % MERGE_PARTS)
+    sums = sums.repartition(*keys, "_part").drop("_part").mapInPandas(_vectors(keys, B, add_vectors), schema)
+
+    def interval(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        sw, swx = np.zeros(B, dtype=np.int64), np.zeros(B)
+        add_vectors(pdf, sw, swx)
+        return pd.DataFrame([(*key, *_quantiles(swx[sw > 0] / sw[sw > 0], probs))], columns=[*keys, "ci_low", "ci_high"])
+
+    ci = sums.groupBy(*keys).applyInPandas(interval, T.StructType([*fields, *CI.fields]))
+    return join_null_safe(est, ci, keys).select(*keys, "n", "estimate", "ci_low", "ci_high")
 
 
-CI = T.StructType([T.StructField("ci_low", T.DoubleType()), T.StructField("ci_high", T.DoubleType())])
 
 
 def _generator(seed: int, salt: str) -> np.random.Generator:
@@ -109,23 +171,6 @@ def binomial_bootstrap_rate(df: DataFrame, keys: list[str], flag: str, B: int =
     return r.select(*keys, "k", "n", F.try_divide(F.col("k"), F.col("n")).alias("estimate"), "_q.ci_low", "_q.ci_high")
 
 
-def poisson_bootstrap_kappa(df: DataFrame, keys: list[str], id_col: str, a: str, b: str, B: int = 2000,
-                            seed: int = 42, probs=(0.025, 0.975)) -> DataFrame:
-    x = df.select(*keys, id_col, F.col(a).alias("_a"), F.col(b).alias("_b"))
-    r = _replicates(x, B, spread_by=id_col)
-    r = r.withColumn("_w", ST.poisson1_weight_hashed(F.lit(seed), F.col("rep"), F.col(id_col)))
-
-    def cell(ca, cb):
-        return F.sum(F.when((F.col("_a") == ca) & (F.col("_b") == cb), F.col("_w")).otherwise(0))
-
-    per_rep = r.groupBy(*keys, "rep").agg(cell(1, 1).alias("n11"), cell(1, 0).alias("n10"),
-                                          cell(0, 1).alias("n01"), cell(0, 0).alias("n00"))
-    ks = per_rep.select(*keys, ST.kappa_from_cells("n11", "n10", "n01", "n00").alias("_k")).where(
-        F.col("_k").isNotNull())
-    return ks.groupBy(*keys).agg(F.percentile("_k", F.array(*[F.lit(p) for p in probs])).alias("_q")).select(
-        *keys, F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"))
-
-
 def multinomial_bootstrap_kappa(df: DataFrame, keys: list[str], a: str, b: str, B: int = 2000, seed: int = 42,
                                 probs=(0.025, 0.975)) -> DataFrame:
     """Percentile interval of Cohen's kappa for two binary raters from the 2x2 cells: a resample
@@ -141,4 +186,4 @@ def multinomial_bootstrap_kappa(df: DataFrame, keys: list[str], a: str, b: str,
     counts = ["n11", "n10", "n01", "n00"]
     r = cells.withColumn("_q", interval(_salt(keys), *counts))
     return r.select(*keys, sum(F.col(c) for c in counts).alias("n"), ST.kappa_from_cells(*counts).alias("estimate"),
-                    "_q.ci_low", "_q.ci_high")
+                    ST.kappa_se(*counts).alias("se"), "_q.ci_low", "_q.ci_high")

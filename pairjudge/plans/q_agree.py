@@ -173,15 +173,42 @@ def bootstrap_rate_cells(spark, sf):
     return RS.binomial_bootstrap_rate(long, ["judge", "outcome"], "flag", B=10000, seed=42)
 
 
+def _numeric_sql() -> str:
+    from pairjudge.plans.q_screen import GOLD_SQL
+    weight = " + ".join(f"CAST(u >= {t} AS BIGINT)" for t in RS.POISSON_STEPS)
+    return with_fx(f"""
+SELECT e.dimension, e.n, e.estimate, q.ci_low, q.ci_high
+FROM (SELECT dimension, count(*) AS n, avg(v) AS estimate FROM l GROUP BY dimension) e
+JOIN (SELECT dimension, quantile_cont(swx / sw, 0.025) AS ci_low, quantile_cont(swx / sw, 0.975) AS ci_high
+      FROM (SELECT dimension, rep, sum(w) AS sw, sum(w * v) AS swx
+            FROM (SELECT dimension, rep, v, {weight} AS w FROM (SELECT dimension, rep, v, (a * rep + b) % {RS.PRIME} AS u FROM l, range(1, {BOOT_B + 1}) t(rep)))
+            GROUP BY dimension, rep)
+      WHERE sw > 0 GROUP BY dimension) q ON q.dimension = e.dimension""", "fx_ratings", extra=[("gold", GOLD_SQL), ("l", f"""
+SELECT dimension, chatgpt_avg - physician_avg AS v, 1 + CAST('0x' || substr(md5(concat('42:', item_id)), 1, 8) AS BIGINT) % {RS.PRIME - 1} AS a,
+  CAST('0x' || substr(md5(concat('42:', item_id)), 9, 8) AS BIGINT) % {RS.PRIME} AS b
+FROM gold WHERE chatgpt_avg - physician_avg IS NOT NULL""")])
+
+
+@register("bootstrap_numeric_ci", _numeric_sql())
+def bootstrap_numeric_ci(spark, sf):
+    """Percentile bootstrap (B = 10,000, seed 42) of a numeric column, the evaluators' mean difference between the two sources,
+    per dimension: vectors of hash-fixed Poisson weights added up in the tasks."""
+    from pairjudge.plans.q_screen import gold_table
+    g = gold_table(spark, sf).withColumn("diff", F.col("chatgpt_avg") - F.col("physician_avg"))
+    return RS.poisson_bootstrap_mean(g, ["dimension"], "item_id", "diff", B=BOOT_B, seed=42)
+
+
 @register("kappa_bootstrap_ci", with_fx("""
-SELECT category, n, (po - pe) / (1 - pe) AS estimate, TRUE AS brackets
+SELECT category, n, (po - pe) / (1 - pe) AS estimate, TRUE AS brackets, TRUE AS width_ok
 FROM (SELECT category, count(*) AS n, avg(CASE WHEN rater_a = rater_b THEN 1.0 ELSE 0.0 END) AS po,
         avg(rater_a) * avg(rater_b) + (1 - avg(rater_a)) * (1 - avg(rater_b)) AS pe FROM fx_raters GROUP BY category)""", "fx_raters"))
 def kappa_bootstrap_ci(spark, sf):
     """Kappa with its percentile interval over B = 2,000 resamples per category, from the 2x2 cells:
-    n, kappa, and whether the interval brackets it."""
+    n, kappa, whether the interval brackets it and has the width of the closed form, within a seventh and a point."""
     r = RS.multinomial_bootstrap_kappa(S.fx_raters(spark, sf), ["category"], "rater_a", "rater_b", B=KAPPA_B, seed=42)
-    return _checked(r, F.lit(0.0)).select("category", "n", "estimate", "brackets")
+    closed, width = 2 * 1.96 * F.col("se"), F.col("ci_high") - F.col("ci_low")
+    return r.select("category", "n", "estimate", ((F.col("ci_low") <= F.col("estimate")) & (F.col("estimate") <= F.col("ci_high"))).alias("brackets"),
+                    (F.abs(width - closed) <= closed / 7 + 0.01).alias("width_ok"))
 
 
 # --- length confound ---------------------------------------------------------------------------

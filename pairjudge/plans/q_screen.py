@@ -165,7 +165,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY substr(md5(co
 
 
 def shuffled(spark, sf):
-    nt = gold_table(spark, sf).where(F.col("gold_source") != "Tie")
+    nt = materialize(gold_table(spark, sf).where(F.col("gold_source") != "Tie"), "two-source-gold")  # a short row per item and dimension
     return A.balanced_ab_shuffle(nt, SEED, target_col="gold_source", keys=["dimension"])
 
 
