@@ -224,10 +224,14 @@ def standardize(spark, sf):
 
 
 LOGIT_STEPS = 25
-LENGTH_SQL = with_fx(f"""
+WORD_DELTA, LOG_RATIO = "CAST(gen_wc - orig_wc AS DOUBLE)", "ln((gen_wc + 1) / CAST(orig_wc + 1 AS DOUBLE))"
+
+
+def _length_sql(covariate: str) -> str:
+    return with_fx(f"""
 SELECT m.judge, m.n, m.wins, i.b1 AS beta_per_sd, exp(i.b1) AS or_per_sd, sqrt(i.h00 / i.det) AS se, m.mean_delta
 FROM m JOIN (SELECT * FROM steps WHERE step = {LOGIT_STEPS}) i ON i.judge = m.judge""", "fx_pairs", "fx_verdicts", extra=OUTCOME_CTES + [
-    ("cells", "SELECT judge, CAST(gen_wc - orig_wc AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS n, CAST(sum(qual_gen) AS DOUBLE) AS w FROM ox_outcomes GROUP BY 1, 2"),
+    ("cells", f"SELECT judge, {covariate} AS x, CAST(count(*) AS DOUBLE) AS n, CAST(sum(qual_gen) AS DOUBLE) AS w FROM ox_outcomes GROUP BY 1, 2"),
     ("m", "SELECT judge, CAST(sum(n) AS BIGINT) AS n, CAST(sum(w) AS BIGINT) AS wins, sum(n * x) / sum(n) AS mean_delta, "
           "sqrt(sum(n * x * x) / sum(n) - (sum(n * x) / sum(n)) ** 2) AS sd FROM cells GROUP BY judge"),
     ("z", "SELECT c.judge, (c.x - m.mean_delta) / m.sd AS z, c.n, c.w FROM cells c JOIN m ON m.judge = c.judge"),
@@ -243,7 +247,7 @@ FROM (SELECT step, judge, b0, b1, sum(n * p * (1 - p)) AS h00, sum(n * p * (1 -
       GROUP BY step, judge, b0, b1)""")]).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@register("length_confound", LENGTH_SQL)
+@register("length_confound", _length_sql(WORD_DELTA))
 def length_confound(spark, sf):
     """Logistic regression of quality-win on the standardised word delta per setting: slope, odds
     ratio, standard error and mean delta (the Wald p follows from slope and error)."""
@@ -251,6 +255,13 @@ def length_confound(spark, sf):
     return RG.logit_per_group(o, ["judge"], "qual_gen", "delta").drop("p", "iterations", "error")
 
 
+@register("length_confound_ratio", _length_sql(LOG_RATIO))
+def length_confound_ratio(spark, sf):
+    """The same regression on a continuous covariate, the log ratio of the word counts, by distributed Newton steps."""
+    o = outcomes(spark, sf).withColumn("ratio", F.log((F.col("gen_wc") + 1) / (F.col("orig_wc") + 1)))
+    return RG.logit_distributed(o, ["judge"], "qual_gen", "ratio").drop("p", "iterations", "error")
+
+
 @register("kappa_bootstrap_cells")
 def kappa_bootstrap_cells(spark, sf):
     """Kappa interval (B = 2,000, seed 42) per category over every lineitem-sized rater row, by

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from pairjudge.functions import text as TX
 from pairjudge.plans.common import OUTCOME_CTES, outcomes
 from pairjudge.plans.oracle_fx import with_fx
-from pairjudge.plans.q_runs import IN_RUN, KEYS, LAST_SQL, NEWVIEW, RES_SQL, _new_view, stored
+from pairjudge.plans.q_runs import IN_RUN, KEYS, LAST_SQL, NEWVIEW, RES_SQL, RUN_JUDGE, RUN_VARIANT, _new_view, stored
 from pairjudge.plans.registry import register
 from pairjudge.plans.common import wc
 from pairjudge.sources import io as IO
@@ -101,6 +101,16 @@ RESULT_CONTRACT = [("item_id", "string", None), ("judge", "string", ""), ("dimen
                    ("error", "string", "")]
 
 
+@register("derive_item_id_by_row", "SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS VARCHAR) AS item_id, doc_id, md5(text) AS t_md5 FROM documents")
+def derive_item_id_by_row(spark, sf):
+    """Documents in several CSV files in doc_id order, without an id column for the reader: the row's place in the files is its id."""
+    path = IO.scratch_path(spark, "row-ids")
+    d = S.table(spark, sf, "documents").select("doc_id", "text")
+    IO.write_csv(d.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), path)
+    r = IO.derive_item_id(IO.read_table(spark, path, "doc_id long, text string"), by_row_index=True)
+    return r.select("item_id", "doc_id", F.md5("text").alias("t_md5"))
+
+
 @register("conform_schema", with_fx("""
 SELECT item_id, coalesce(judge, '') AS judge, coalesce(dimension, '') AS dimension,
   coalesce(raw_response, '') AS raw_response, '' AS verdict, CAST(NULL AS DOUBLE) AS score, '' AS error
@@ -129,11 +139,13 @@ def load_labelled_runs(spark, sf):
 SELECT item_id, judge_model, prompt_variant, seq, value FROM res WHERE NOT {IN_RUN}
 UNION ALL SELECT * FROM newview""", "fx_results", extra=[RES_SQL, LAST_SQL, NEWVIEW]))
 def write_results(spark, sf):
-    """Partitioned store: all runs written, then one run's partition replaced by dynamic overwrite."""
+    """Partitioned store: all runs written, then one run's folder replaced by nothing, and that by a freshly scored view."""
     path = IO.scratch_path(spark, "store")
     st = stored(spark, sf).select(*KEYS, "seq", "value")
     IO.write_results(st, path, ["judge_model", "prompt_variant"])
-    IO.write_results(_new_view(spark, sf), path, ["judge_model", "prompt_variant"])
+    run, view = {"judge_model": RUN_JUDGE, "prompt_variant": RUN_VARIANT}, _new_view(spark, sf)
+    IO.replace_run(view.limit(0), path, run)
+    IO.replace_run(view, path, run)
     back = spark.read.parquet(path)
     return back.select(*KEYS, "seq", "value")
 

@@ -16,6 +16,11 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _at(spark, path)
+    return fs.exists(place)
+
+
 def has_data(spark: SparkSession, path: str) -> bool:
     """Whether a folder, or one below it, holds a file that readers see (names with _ or . are hidden)."""
     fs, place = _at(spark, path)

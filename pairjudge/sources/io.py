@@ -8,16 +8,17 @@ folder): see :func:`scratch_path`.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairjudge.session import checkpoint_dir
+from pairjudge.sources import files
 
 # Cell texts read as missing (the evaluated scripts' CSV reader treats these so).
 NA_TOKENS = ["", "NA", "N/A", "null", "NULL", "None", "nan", "NaN", "n/a", "<NA>", "#N/A"]
-REPLACEMENT_CHAR = "\ufffd"
 RUN_NAME_RE = r"GENERATED_BY_(.+?)_JUDGED_BY_(.+?)_seed-(\d+)"
 
 
@@ -90,20 +91,17 @@ def read_salvage(spark: SparkSession, path: str, schema: T.StructType, sep: str
 
 def read_encoding_fallback(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",",
                            fallback: str = "ISO-8859-1", multi_line: bool = True) -> DataFrame:
-    """UTF-8 first; files whose decoded text holds U+FFFD are re-read in the fallback encoding.
+    """UTF-8 for the files whose bytes are valid UTF-8, the fallback encoding for the others.
 
-    The decision is a table of file names that both readings are joined with, so nothing is
-    collected whatever the number of files."""
+    The bytes decide, line by line (no sequence of UTF-8 bytes crosses a line feed), so large files are checked in splits and a
+    valid file may hold any character, U+FFFD too. The decision is a table of file names that both readings are
+    joined with, so nothing is collected whatever the number of files."""
     def read(encoding: str) -> DataFrame:
         return _csv_reader(spark, schema, sep, encoding, multi_line).csv(path).withColumn("_file", F.col("_metadata.file_path"))
 
-    utf = read("UTF-8")
-    str_cols = [f.name for f in utf.schema.fields if isinstance(f.dataType, T.StringType) and f.name != "_file"]
-    has_bad = F.lit(False)
-    for c in str_cols:
-        has_bad = has_bad | F.coalesce(F.instr(F.col(c), REPLACEMENT_CHAR) > 0, F.lit(False))
-    bad = utf.where(has_bad).select("_file").distinct()
-    good, redo = utf.join(bad, "_file", "left_anti"), read(fallback).join(bad, "_file", "left_semi")
+    lines = spark.read.option("lineSep", "\n").text(path)
+    bad = lines.where(~F.is_valid_utf8("value")).select(F.col("_metadata.file_path").alias("_file")).distinct()
+    good, redo = read("UTF-8").join(bad, "_file", "left_anti"), read(fallback).join(bad, "_file", "left_semi")
     return good.unionByName(redo).drop("_file")
 
 
@@ -116,19 +114,45 @@ def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
 
 
 def derive_item_id(df: DataFrame, out: str = "item_id", candidates=("id", "postID", "Unnamed: 0"),
-                   content_cols: list[str] | None = None) -> DataFrame:
+                   content_cols: list[str] | None = None, by_row_index: bool = False) -> DataFrame:
     """Item id from the first present id column (as text); without one, a sha-256 of the content
-    columns (a row index is not stable across Spark partitionings). NULL and text are told apart, and
+    columns, or, ``by_row_index``, the row's place in the files that ``df`` reads (:func:`with_row_index`). NULL and text are told apart, and
     so are (a, NULL, b) and (a, b); rows with the same content share an id, so drop duplicates before
     assigning an order."""
     for c in candidates:
         if c in df.columns:
             return df.withColumn(out, F.col(f"`{c}`").cast("string"))
+    if by_row_index:
+        return with_row_index(df, out).withColumn(out, F.col(out).cast("string"))
     cols = content_cols or [c for c in df.columns if c != out]
     parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0002")) for c in cols]
     return df.withColumn(out, F.sha2(F.concat_ws("\u0001", *parts), 256))
 
 
+def with_row_index(df: DataFrame, out: str = "row_index") -> DataFrame:
+    """Add the gapless index 0, 1, 2, ... of the rows of a file source, in the order of file paths, and of the rows in a file.
+
+    The rows are written once with their file, split and place. Rows are counted per split; the counts are summed up inside a file, the files'
+    inside ranges of paths, and the ranges': no window sees more than the splits of a file, the files of a range, or the ranges."""
+    spark = df.sparkSession
+    file, at = F.col("_metadata.file_path").alias("_ri_file"), F.monotonically_increasing_id().alias("_ri_at")
+    path = scratch_path(spark, "row-index")
+    df.select("*", file, F.col("_metadata.file_block_start").alias("_ri_block"), at).write.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    splits = rows.groupBy("_ri_file", "_ri_block").agg(F.min("_ri_at").alias("_ri_first"), F.count(F.lit(1)).alias("_ri_n"))
+    (splits.groupBy("_ri_file").agg(F.sum("_ri_n").alias("n")).repartitionByRange("_ri_file").sortWithinPartitions("_ri_file")
+     .withColumn("range", F.spark_partition_id()).write.parquet(f"{path}/files"))
+    by_file = spark.read.parquet(f"{path}/files")
+
+    def before(n: str, window):
+        return F.coalesce(F.sum(n).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = by_file.groupBy("range").agg(F.sum("n").alias("n")).select("range", before("n", Window.orderBy("range")).alias("_ri_range"))  # a row per task
+    starts = by_file.join(ranges, "range").select("_ri_file", (F.col("_ri_range") + before("n", Window.partitionBy("range").orderBy("_ri_file"))).alias("_ri_start"))
+    splits = splits.join(starts, "_ri_file").select("_ri_file", "_ri_block", "_ri_first", (
+        F.col("_ri_start") + before("_ri_n", Window.partitionBy("_ri_file").orderBy("_ri_block"))).alias("_ri_start"))
+    return rows.join(splits, ["_ri_file", "_ri_block"]).withColumn(out, F.col("_ri_start") + F.col("_ri_at") - F.col("_ri_first")).select(*df.columns, out)
+
+
 def conform(df: DataFrame, contract: list[tuple[str, str, object]], keep_extra: bool = False) -> DataFrame:
     """One select driven by a contract of (name, type, default): missing columns added with the
     default, text NULL -> default, numbers coerced with try_cast, columns in contract order."""
@@ -160,10 +184,42 @@ def load_labelled_runs(spark: SparkSession, path: str, schema: T.StructType | st
 
 def write_results(df: DataFrame, path: str, partition_cols: list[str], mode: str = "overwrite") -> None:
     """Partitioned result store; with dynamic partition overwrite only the partitions present in
-    ``df`` are replaced (one run), atomically per job through the output committer."""
+    ``df`` are replaced (one run), atomically per job through the output committer. A run that may have become empty
+    is replaced by :func:`replace_run`."""
     df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*partition_cols).parquet(path)
 
 
+def replace_run(df: DataFrame, path: str, run: dict[str, object]) -> None:
+    """Replace one run of a partitioned store, named by its partition columns and values in their order, by the rows of
+    ``df``, be there any or none.
+
+    The rows are written aside first, so that a failed write, or a row of another run, leaves the old run as it is; then the folders
+    change places. Folders aside begin with ``_`` and are not read. A run whose replacement is stopped between the two renames is
+    in ``_old-...``."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    own = reduce(lambda a, b: a & b, [F.col(c).cast("string").eqNullSafe(F.lit(None if v is None else str(v))) for c, v in run.items()])
+    rows = df.where(F.when(own, True).otherwise(F.raise_error(F.lit(f"a row does not belong to the run {run}"))))
+    aside = f"{path}/_new-{uuid.uuid4().hex[:12]}"
+    try:
+        rows.drop(*run).write.parquet(aside)
+    except Exception:
+        files.remove(spark, aside)
+        raise
+    delete_stored_run(spark, path, run, spark.read.schema(rows.drop(*run).schema).parquet(aside).isEmpty() or aside)
+    files.remove(spark, aside)
+
+
+def delete_stored_run(spark: SparkSession, path: str, run: dict[str, object], replacement: str | bool = True) -> None:
+    """Take one run out of a partitioned store; ``replacement``: a folder that takes its place."""
+    path = path.rstrip("/")
+    place, old = f"{path}/{files.partition_folder(spark, run)}", f"{path}/_old-{uuid.uuid4().hex[:12]}"
+    if files.exists(spark, place):
+        files.move(spark, place, old)
+    if isinstance(replacement, str):
+        files.move(spark, replacement, place)
+    files.remove(spark, old)
+
+
 def export_report(tables: dict[str, DataFrame], path: str | None = None) -> DataFrame:
     """JSON-lines export of report tables: one row (section, record) per table row, the record as a
     JSON object; with ``path`` also written as one folder of .json lines per section."""

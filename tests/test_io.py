@@ -94,3 +94,58 @@ def test_streams_of_like_named_stores_have_their_own_checkpoints(spark, monkeypa
     for store in ("/x/one/store", "/x/two/store"):
         U.start_upsert(Stream(), store, ["k"], ["t"])
     assert len(set(places)) == 2
+
+
+def test_utf8_file_with_replacement_character_stays(spark):
+    path = IO.scratch_path(spark, "t-enc-fffd")
+    schema = "doc_id long, text string"
+    df = spark.createDataFrame([(1, "caffè �"), (2, "line one\nè two")], schema)
+    IO.write_csv(df, f"{path}/u8")
+    IO.write_csv(spark.createDataFrame([(3, "é à"), (4, "plain")], schema), f"{path}/l1", encoding="ISO-8859-1")
+    back = {r["doc_id"]: r["text"] for r in IO.read_encoding_fallback(spark, f"{path}/*", schema).collect()}
+    assert back == {1: "caffè �", 2: "line one\nè two", 3: "é à", 4: "plain"}
+
+
+def _store(spark, name):
+    path = IO.scratch_path(spark, name)
+    df = spark.createDataFrame([(i, j, v) for i in range(6) for j, v in (("j 1", "a/b"), ("j2", None), ("j2", "x"))], "i int, judge string, variant string")
+    IO.write_results(df, path, ["judge", "variant"])
+    return path, lambda: sorted((tuple(r) for r in spark.read.parquet(path).select("i", "judge", "variant").collect()), key=str)
+
+
+def test_run_is_replaced_also_by_nothing(spark):
+    path, rows = _store(spark, "t-replace")
+    new = spark.createDataFrame([(9, "j 1", "a/b")], "i int, judge string, variant string")
+    IO.replace_run(new, path, {"judge": "j 1", "variant": "a/b"})
+    assert [r for r in rows() if r[1] == "j 1"] == [(9, "j 1", "a/b")] and len(rows()) == 13
+    IO.replace_run(new.limit(0), path, {"judge": "j 1", "variant": "a/b"})
+    IO.replace_run(new.limit(0), path, {"judge": "j2", "variant": None})
+    assert {r[1:] for r in rows()} == {("j2", "x")} and len(rows()) == 6
+    IO.replace_run(new, path, {"judge": "j 1", "variant": "a/b"})  # a run that was not there
+    assert len(rows()) == 7
+
+
+def test_failed_replacement_leaves_the_old_run(spark):
+    path, rows = _store(spark, "t-replace-failed")
+    before = rows()
+    wrong = spark.createDataFrame([(9, "j 1", "a/b"), (10, "other", "a/b")], "i int, judge string, variant string")
+    with pytest.raises(Exception, match="does not belong"):
+        IO.replace_run(wrong, path, {"judge": "j 1", "variant": "a/b"})
+    assert rows() == before
+    from pairjudge.sources import files
+    assert not [n for n in files.names(spark, path) if n.startswith(("_new", "_old"))]
+
+
+def test_row_index_follows_files_and_splits(spark):
+    path = IO.scratch_path(spark, "t-row-index")
+    spark.range(5000).repartitionByRange(7, "id").sortWithinPartitions("id").selectExpr("id", "repeat('x', 20) AS t").write.parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = IO.with_row_index(spark.read.parquet(path)).collect()
+        assert sorted(r["row_index"] for r in got) == list(range(5000)) and all(r["id"] == r["row_index"] for r in got)
+        text = IO.scratch_path(spark, "t-row-index-csv")
+        IO.write_csv(spark.range(3000).repartitionByRange(3, "id").sortWithinPartitions("id").selectExpr("id", "id % 7 AS t"), text)
+        got = IO.derive_item_id(IO.read_table(spark, text, "v long, t long", multi_line=False), by_row_index=True).collect()
+        assert len(got) == 3000 and all(r["item_id"] == str(r["v"]) for r in got)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
