@@ -102,6 +102,17 @@ def text_digest(text: Column) -> Column:
     return F.md5(text.cast("string").cast("binary"))
 
 
+def packed(documents: DataFrame) -> DataFrame:
+    """``row`` (all columns of a document, as a struct, so that no name of theirs meets another), ``id`` and ``digest`` of its text."""
+    return documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"),
+                            F.col("doc_id").alias("id"), text_digest(F.col("text")).alias("digest"))
+
+
+def unpacked(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """The columns of ``documents`` from ``row``."""
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut incoming batches so that each holds about ``limit`` bytes of text (one row at least)."""
     import pyarrow.compute as pc

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairjudge.llm.common import PIECE_BYTES, out_batch, slices, strings, text_digest, written
+from pairjudge.llm.common import PIECE_BYTES, out_batch, packed, slices, strings, text_digest, unpacked, written
 
 WINDOW = 10
 KGRAM = 5
@@ -196,8 +196,8 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
             cols: dict[str, list] = {"window": [], "n": [], "item": []}
             for item, text in zip(strings(batch.column("item")), strings(batch.column("text"))):
                 buf = normalise(text or "")
-                for _, words in pieces(buf):
-                    n = min(WINDOW, len(words))
+                for first, words in pieces(buf):
+                    n = WINDOW if first else min(WINDOW, len(words))  # only a whole item may be shorter than a window
                     for i in range(len(words) - n + 1 if n else 0):
                         cols["window"].append(words.span(i, n))
                         cols["n"].append(n)
@@ -289,6 +289,6 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Rows are told apart by doc_id and text: a clean row stays, whatever other rows have its id or none."""
     found = _found(documents, benchmark, BLOCK_WINDOWS, keyed=True)
-    bad = found.where(F.size("ranges") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__bad")).distinct()
-    this = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__digest").eqNullSafe(F.col("__bad"))
-    return documents.withColumn("__digest", text_digest(F.col("text"))).join(bad, this, "left_anti").drop("__digest")
+    bad = found.where(F.size("ranges") > 0).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_digest")).distinct()
+    this = F.col("id").eqNullSafe(F.col("bad_id")) & F.col("digest").eqNullSafe(F.col("bad_digest"))
+    return unpacked(packed(documents).join(bad, this, "left_anti"), documents)

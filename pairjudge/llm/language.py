@@ -5,8 +5,8 @@ hashed to ``BUCKETS``; term frequency times inverse document frequency, scaled t
 frequencies are counted over all training documents.
 
 Training: follow-the-regularised-leader with elastic-net penalties (L1 keeps most weights at zero), on a
-bounded sample: of each language the ``PER_LANGUAGE`` training documents with the smallest hashes of
-their ids. The sample is dealt to ``SHARDS`` tasks; each pass starts from the mean state of the one
+bounded sample: of each language the ``PER_LANGUAGE`` training rows with the smallest hashes of
+id and text, equal rows once. The sample is dealt to ``SHARDS`` tasks; each pass starts from the mean state of the one
 before. A fifth of the sample is not trained on: it gives the temperature that divides the
 logits, the one with the least log-loss on a grid.
 
@@ -132,11 +132,11 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def sample(labelled: DataFrame, per_language: int) -> DataFrame:
-    """The ``per_language`` rows of each language with the smallest hashes of their ids."""
-    order = Window.partitionBy("lang").orderBy("__order", "__id")
-    ids = (labelled.select("lang", F.col("doc_id").alias("__id"), F.xxhash64("doc_id").alias("__order")).distinct()
-           .withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= per_language).select("__id", "__order"))
-    return labelled.join(F.broadcast(ids), labelled["doc_id"] == F.col("__id")).select("lang", "text", F.col("__order").alias("order"))
+    """Of each language the ``per_language`` rows with the smallest hashes of id and text; equal rows count once."""
+    rows = labelled.select("lang", "text", F.xxhash64("doc_id", "text").alias("order"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    chosen = rows.select("lang", "order").distinct().withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "order")
+    return rows.join(F.broadcast(chosen), ["lang", "order"]).dropDuplicates(["lang", "order"]).select("lang", "text", "order")
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, passes: int = PASSES) -> Model:
@@ -250,10 +250,12 @@ def keep_identified(documents: DataFrame, model: Model, least: float) -> DataFra
     import pyarrow as pa
 
     shared = documents.sparkSession.sparkContext.broadcast(model)
+    plain = documents.toDF(*(f"c{i}" for i in range(len(documents.columns))))  # names with dots are no names to a Python stage
+    text = f"c{documents.columns.index('text')}"
 
     def task(batches):
-        for batch in slices(batches):
-            found = [shared.value.predict(text) for text in strings(batch.column("text"))]
+        for batch in slices(batches, text):
+            found = [shared.value.predict(t) for t in strings(batch.column(text))]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found]))
 
-    return documents.mapInArrow(task, documents.schema)
+    return plain.mapInArrow(task, plain.schema).toDF(*documents.columns)

@@ -127,9 +127,12 @@ def ratio(token: Column, ratios: Column) -> Column:
 
 def scan(documents: DataFrame, train: DataFrame | None = None, llr: float = LLR) -> DataFrame:
     """Adds ``secrets`` to each row of ``documents``: a struct of assign, access, hex, markov (arrays of
-    start, end, match), base and spans (as written). ``train``: documents to train on, these unless given."""
+    start, end, match), base and spans (as written); a column of that name is replaced, others stay whatever their names. ``train``: documents
+    to train on, these unless given."""
     fitted = model(samples((documents if train is None else train).select("doc_id", "text")))
-    read = documents.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    columns = documents.columns
+    # The row as one struct, so that no column of it meets one of the steps below.
+    read = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
     read = find(read, "__text", {"__assign": ASSIGN, "__access": ACCESS, "__hex": HEX, "__token": f"{ASSIGN}|{TOKEN_RUN}"})
     read = read.withColumns({
         "__assign": F.filter("__assign", lambda s: F.length(F.regexp_replace(s["match"], ASSIGN_PREFIX, "")) >= ASSIGN_VALUE),
@@ -143,14 +146,14 @@ def scan(documents: DataFrame, train: DataFrame | None = None, llr: float = LLR)
     read = read.withColumn("__spans", F.concat("__base", _named(F.col("__markov"), "markov")))
     return read.withColumn("secrets", F.struct(
         *[F.col(f"__{k}").alias(k) for k in KINDS], _written(F.col("__base")).alias("base"), _written(F.col("__spans")).alias("spans"))).select(
-            *[c for c in documents.columns if c != "secrets"], "secrets")
+            *[F.col(f"row.`{c}`").alias(c) for c in columns if c.lower() != "secrets"], "secrets")
 
 
 def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with each secret replaced by ``mark`` (spans that touch or overlap: one mark)
     and n_chars, where there is such a column, counted anew. Rows without secrets stay as they are."""
     columns = documents.columns
-    scanned = scan(documents)
+    scanned = scan(documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("document"), "doc_id", "text"))
     ordered = F.array_sort(F.concat(*[F.transform(F.col(f"secrets.{k}"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
@@ -162,7 +165,9 @@ def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                         F.when(apart | first, F.concat(a["parts"], F.array(kept, F.lit(mark)))).otherwise(a["parts"]).alias("parts"))
 
     whole = F.aggregate(ordered, start, step, lambda a: F.array_join(F.concat(a["parts"], F.array(F.substring(F.col("text"), a["at"] + 1, F.length("text")))), ""))
-    out = scanned.withColumn("text", F.when(F.size(ordered) > 0, whole).otherwise(F.col("text")))
+    some = F.size(ordered) > 0
+    out = scanned.withColumn("text", F.when(some, whole).otherwise(F.col("text")))
+    changed = {"text": F.col("text")}
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size(ordered) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType))
-    return out.select(*columns)
+        changed["n_chars"] = F.when(some, F.length("text")).otherwise(F.col("document.n_chars")).cast(documents.schema["n_chars"].dataType)
+    return out.select(*[changed.get(c, F.col(f"document.`{c}`")).alias(c) for c in columns])

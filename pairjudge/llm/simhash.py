@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairjudge.llm.common import out_batch, slices, strings, text_digest, written
+from pairjudge.llm.common import out_batch, packed, slices, strings, text_digest, unpacked, written
 from pairjudge.llm.components import components
 
 SHINGLE = 4
@@ -234,8 +234,8 @@ def keep_one(documents: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "copies")
     found = prints.join(rooted(prints).select("fp", "root"), "fp").groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("copies"))
     kept = written(found.groupBy("root").agg(F.min(place).alias("kept")).select(
-        F.col("kept.doc_id").alias("__id"), F.col("kept.digest").alias("__kept"), "kept.copies"), "kept")
-    this = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__digest").eqNullSafe(F.col("__kept"))
-    out = documents.withColumn("__digest", text_digest(F.col("text"))).join(kept.drop("copies"), this, "left_semi")
+        F.col("kept.doc_id").alias("kept_id"), F.col("kept.digest").alias("kept_digest"), "kept.copies"), "kept")
+    this = F.col("id").eqNullSafe(F.col("kept_id")) & F.col("digest").eqNullSafe(F.col("kept_digest"))
+    out = packed(documents).join(kept.drop("copies"), this, "left_semi")
     repeated = kept.where("copies > 1")
-    return (out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "__digest"])).drop("__digest")
+    return unpacked(out if repeated.isEmpty() else out.dropDuplicates(["id", "digest"]), documents)

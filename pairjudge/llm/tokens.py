@@ -6,6 +6,7 @@ its space-separated words in turn. Words repeat; each task keeps the ids of the
 
 from __future__ import annotations
 
+import unicodedata
 from array import array
 from functools import lru_cache
 
@@ -36,7 +37,8 @@ class Words(dict):
         if len(self) > REMEMBERED:
             self.clear()
         core = word.rstrip(_MARKS)
-        if len(core) < len(word) and core.isalpha():  # letters, then marks: a token ends between them
+        # Letters, then marks: a token ends between them, unless the letters' normal form ends in a combining mark.
+        if len(core) < len(word) and core.isalpha() and unicodedata.normalize("NFC", core).lower().isalpha():
             ids = self[core] + self[word[len(core):]]
         elif word.isalpha() and (word.isascii() or max(word) < "Ā"):  # one run of letters, the same in any normal form
             spelled = word.lower()

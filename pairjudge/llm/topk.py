@@ -17,7 +17,9 @@ of about ``QUERIES_PER_BLOCK``.
 Defined results: vectors that are null, or hold a null or non-finite component, take no part;
 vectors are compared as if padded with zeros to the same length; equal scores go to the smaller
 vec_id; rows that repeat a vec_id are candidates each, but not for a query of that id; null ids take
-no part; an empty table gives an empty result. Components must stay below 2^20 after scaling.
+no part; an empty table gives an empty result. Products of large components are taken in 64-bit or longer
+integers; a component of more than 2^62 counts as that, a score that a long cannot hold as the nearest long. Columns other than vec_id
+and embedding are not read.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ PIVOTS = 16
 ANNULI = 24
 CELL = 2048
 QUERIES_PER_BLOCK = 4096
+LARGEST = float(1 << 62)
 
 VECTOR = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("vector", T.BinaryType()), T.StructField("norm2", T.DoubleType())])
 KEYED = T.StructType([*VECTOR.fields, T.StructField("pivot", T.IntegerType()), T.StructField("annulus", T.IntegerType())])
@@ -48,7 +51,7 @@ SCORED = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("v
 
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, floor(scale * x) as 32-bit integers in bytes, squared length."""
+    """vec_id, floor(scale * x) as 64-bit integers in bytes, squared length."""
 
     def task(batches):
         for batch in batches:
@@ -59,28 +62,37 @@ def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
                 x = np.asarray(values, dtype=np.float64)
                 if not np.isfinite(x).all():
                     continue
-                x = np.floor(scale * x)
-                if len(x) and np.abs(x).max() >= 1 << 20:
-                    raise ValueError(f"vector {vec_id} has components of 2^20 or more after scaling")
+                with np.errstate(over="ignore"):
+                    x = np.clip(np.floor(scale * x), -LARGEST, LARGEST)
                 cols["vec_id"].append(vec_id)
-                cols["vector"].append(x.astype("<i4").tobytes())
+                cols["vector"].append(x.astype("<i8").tobytes())
                 cols["norm2"].append(float(x @ x))
             yield out_batch(VECTOR, cols)
 
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(task, VECTOR)
 
 
-def matrix(rows: list[bytes], dim: int) -> np.ndarray:
-    out = np.zeros((len(rows), dim))
+def matrix(rows: list[bytes], dim: int, dtype=np.float64) -> np.ndarray:
+    out = np.zeros((len(rows), dim), dtype=dtype)
     if len({len(r) for r in rows}) == 1:
-        part = np.frombuffer(b"".join(rows), dtype="<i4").reshape(len(rows), -1)
+        part = np.frombuffer(b"".join(rows), dtype="<i8").reshape(len(rows), -1)
         out[:, : part.shape[1]] = part
     else:
         for i, r in enumerate(rows):
-            out[i, : len(r) // 4] = np.frombuffer(r, dtype="<i4")
+            out[i, : len(r) // 8] = np.frombuffer(r, dtype="<i8")
     return out
 
 
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of integer rows, exact: in doubles where sums stay below 2^53, else in integers."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
+    if most < 1 << 53:
+        return q.astype(np.float64) @ x.T.astype(np.float64)
+    if most < 1 << 62:
+        return q @ x.T
+    return np.clip(q.astype(object) @ x.T.astype(object), -(1 << 63), (1 << 63) - 1).astype(np.int64)
+
+
 class Geometry:
     """What bounds need: pivots, longest length, width of an annulus, cells of each annulus."""
 
@@ -147,18 +159,20 @@ def meet(queries: DataFrame, cells: DataFrame, geometry, k: int) -> DataFrame:
             ids = right.column("vec_id").to_numpy()
             order = np.argsort(ids, kind="stable")
             ids = ids[order]
-            x = matrix(right.column("vector").to_pylist(), g.dim)[order]
+            x = matrix(right.column("vector").to_pylist(), g.dim, np.int64)[order]
             for start in range(0, left.num_rows, 512):
                 part = left.slice(start, 512)
                 q_ids, floors = part.column("query_id").to_numpy(), part.column("floor").to_numpy()
-                scores = matrix(part.column("query").to_pylist(), g.dim) @ x.T  # exact: sums stay below 2^53
+                scores = products(matrix(part.column("query").to_pylist(), g.dim, np.int64), x)
+                floors = floors - np.abs(floors, where=np.isfinite(floors), out=np.zeros(len(floors))) * 2.0 ** -52  # a large floor is rounded
                 for q, floor, row in zip(q_ids.tolist(), floors.tolist(), scores):
                     at = np.flatnonzero((row >= floor) & (ids != q))
                     if len(at) > k:
                         # ids ascend, so a stable sort gives equal scores to the smaller id
-                        least = -np.partition(-row[at], k - 1)[k - 1]
-                        at = at[row[at] >= least]
-                        at = at[np.argsort(-row[at], kind="stable")[:k]]
+                        worth = ~row[at].astype(np.int64)  # falls as the score rises
+                        least = np.partition(worth, k - 1)[k - 1]
+                        at = at[worth <= least]
+                        at = at[np.argsort(~row[at].astype(np.int64), kind="stable")[:k]]
                     cols["query_id"] += [q] * len(at)
                     cols["vec_id"] += ids[at].tolist()
                     cols["score"] += row[at].astype(np.int64).tolist()
@@ -183,7 +197,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE)
     if total["bytes"] is None:
         return spark.createDataFrame([], T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), *SCORED.fields[1:]]))
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()
-    geometry = Geometry([bytes(r["vector"]) for r in chosen], [r["norm2"] for r in chosen], total["longest2"], total["bytes"] // 4)
+    geometry = Geometry([bytes(r["vector"]) for r in chosen], [r["norm2"] for r in chosen], total["longest2"], total["bytes"] // 8)
 
     index = written(keyed(rows, spark.sparkContext.broadcast(geometry)), "index")
     at = 0
@@ -197,7 +211,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE)
     blocks = max(1, -(-found.count() // QUERIES_PER_BLOCK))
     names = spark.createDataFrame([(p, a, first, many) for (p, a), (first, many, _) in geometry.cells.items()], "pivot int, annulus int, first int, many int")
     cells = (index.join(F.broadcast(names), ["pivot", "annulus"])  # pivots x annuli rows
-             .select((F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("many"))).cast("int").alias("cell"), "vec_id", "vector")
+             .select((F.col("first") + F.pmod(F.xxhash64("vec_id", "vector"), F.col("many"))).cast("int").alias("cell"), "vec_id", "vector")
              .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
 
     def route(begin: bool):

@@ -79,3 +79,11 @@ def test_stage_drops_rows_not_ids(spark, docs):
     bad = "zero one two three four five six seven eight nine ten"
     kept = D.drop_contaminated(docs([(None, bad), (None, "clean text"), (None, None), (4, bad), (4, "clean as well")]), benchmark)
     assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == [("4", "clean as well"), ("None", "None"), ("None", "clean text")]
+
+
+def test_last_piece_of_a_long_item_is_no_short_item(spark, docs):
+    item = " ".join(f"w{i}" for i in range(200_000)) + " ." * (1 << 20)
+    benchmark = spark.createDataFrame([("long", item)], "item_id string, text string")
+    last = " ".join(f"w{i}" for i in range(199_991, 200_000))
+    found = {r.doc_id: r.n_hit for r in D.contamination(docs([(1, f"x {last} y"), (2, f"w199990 {last} y")]), benchmark).collect()}
+    assert found == {1: 0, 2: 10}

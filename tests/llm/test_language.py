@@ -46,3 +46,12 @@ def test_nothing_to_learn_from(docs):
     model = L.fit(L.training_rows(docs([])))
     assert [tuple(r)[2:] for r in L.predict(docs([(1, "some text")]), model).collect()] == [("und", 0.0)]
     assert L.predict(docs([]), model).count() == 0
+
+
+def test_sample_is_bounded_where_rows_share_an_id(spark):
+    rows = [(7, f"text number {i}", ("en", "fr")[i % 2]) for i in range(900)] + [(8, "again and again", "en")] * 300 + [(None, "none", "en")]
+    found = L.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 100).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r["lang"], []).append(r["text"])
+    assert {k: len(v) for k, v in by.items()} == {"en": 100, "fr": 100} and all(len(set(v)) == 100 for v in by.values())

@@ -84,3 +84,16 @@ def test_pieces_and_places(docs):
 
 def test_empty_table(docs):
     assert P.pack(docs([])).count() == 0
+
+
+def test_every_letter_before_a_mark():
+    odd = []
+    for code in range(0x30000):
+        c = chr(code)
+        if c.isalpha() and (code < 0x3400 or not c.isalnum() or code > 0x9FFF and not 0xAC00 <= code < 0xD7A4 or code % 97 == 0):  # every 97th of the Han and Hangul blocks
+            for word in (c + ".", "a" + c + "!?"):
+                if document_ids(word).tolist()[:-1] != PLAIN.encode(word, add_special_tokens=False).ids:
+                    odd.append(word)
+    assert not odd
+    text = "İstanbul'da İ. ve क़."
+    assert document_ids(text).tolist()[:-1] == PLAIN.encode(text, add_special_tokens=False).ids

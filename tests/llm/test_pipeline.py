@@ -30,3 +30,34 @@ def test_queries_are_registered():
     from pairjudge.llm.queries import ORACLE, QUERIES
     assert set(ORACLE) <= set(QUERIES)
     assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in QUERIES} and "pipeline" in QUERIES
+
+
+CLASHING = ["secrets", "__text", "__assign", "__markov", "__r", "__digest", "__id", "__kept", "__bad", "id", "digest", "row", "document", "other_id", "fp", "root", "copies", "kept_id", "bad_id",
+            "bad_digest", "text_hash", "n", "spans", "a.b"]
+
+
+def test_stages_keep_odd_rows_and_clashing_columns(spark):
+    long_text = "a very long text of plain words about nothing at all " * 4000
+    texts = [(1, "the same text on two rows with enough words to be told as a language"), (1, "the same text on two rows with enough words to be told as a language"),
+             (1, "another text with that very id and with other words entirely, about a garden"), (None, "a text without an id about the weather in the north"),
+             (None, "one more text without an id about the harvest in the south"), (2, ""), (3, None), (4, long_text), (5, 'token = "aB3dE5fG7hJ9kL1mN3pQ" stays out of the text')]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    docs = spark.createDataFrame([(i, t, "en", None, None if t is None else len(t), *(f"{c} {k}" for c in CLASHING)) for k, (i, t) in enumerate(texts)], schema)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, docs.limit(0), SF).collect() == [], name
+        out = written(stage(spark, docs, SF), name)
+        assert out.schema == docs.schema, name
+        rows = [r.asDict() for r in out.collect()]
+        for r in rows:
+            k = int(r["a.b"].split()[-1])
+            assert all(r[c] == f"{c} {k}" for c in CLASHING), name
+            assert r["doc_id"] == texts[k][0] and (r["text"] == texts[k][1] or name == "secret_scan" and k == 8)
+        kept = sorted(int(r["a.b"].split()[-1]) for r in rows)
+        if name == "near_duplicates":  # of the equal rows one stays; the empty and the null text are one group
+            assert kept in ([0, 2, 3, 4, 5, 7, 8], [1, 2, 3, 4, 5, 7, 8])
+        elif name != "language_id":
+            assert kept == list(range(9)), name
+        if name == "secret_scan":
+            assert [r["text"] for r in rows if r["doc_id"] == 5] == ["[SECRET] stays out of the text"] or "aB3dE5fG7hJ9kL1mN3pQ" not in [r["text"] for r in rows if r["doc_id"] == 5][0]
+    packed = packing.pack(docs).select("doc_id", "piece").collect()
+    assert len([1 for r in packed if r["piece"] == 0]) == 9

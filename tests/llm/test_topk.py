@@ -43,8 +43,26 @@ def test_fewer_than_k_and_empty(spark):
 
 
 def test_far_annuli_are_left_out():
-    g = K.Geometry([np.array([64, 0], "<i4").tobytes()], [4096.0], 4096.0, 2)
+    g = K.Geometry([np.array([64, 0], "<i8").tobytes()], [4096.0], 4096.0, 2)
     g.cells = {(0, a): (a, 1, 100) for a in range(K.ANNULI)}
     d = g.to_pivots(np.array([[64.0, 0.0]]), np.array([4096.0]), stored=False)[0]
     near = K.needed(g, d, 4096.0, 4000.0, set())
     assert 0 in near and len(near) < K.ANNULI / 2
+
+
+def test_large_components_are_ranked_too(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    rows += [(100, [20_000.0, 1.0, 0.0, -3.0]), (101, [1e6, -1e6, 1e6, 0.5]), (102, [-1e6, 1e6, 1.0, 1.0]), (120, [3e7, 0.0, 2.0, 1.0])]
+    check(spark, rows)
+    huge = spark.createDataFrame([(0, [1e30, 0.0], 0, 0, 0), (1, [1e30, 1.0], 0, 0, 0), (2, [-1e30, 1.0], 0, 0, 0), (3, [0.0, 5.0], 0, 0, 0)], SCHEMA)
+    got = [(r["vec_id"], r["score"]) for r in K.top_k(huge, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(1, 2 ** 63 - 1), (3, 0), (2, -2 ** 63)]
+
+
+def test_products_are_exact():
+    rng = np.random.default_rng(3)
+    for size in (10, 1 << 24, 1 << 29, 1 << 40):
+        q, x = (rng.integers(-size, size, (n, 5)) for n in (4, 7))
+        want = [[max(-2 ** 63, min(2 ** 63 - 1, sum(int(a) * int(b) for a, b in zip(u, v)))) for v in x] for u in q]
+        assert K.products(q, x).tolist() == want
