@@ -1,15 +1,16 @@
 """Training-order materialisation of token-id sequences.
 
 Every document's ids (and the end id) are cut into sequences of ``SEQUENCE`` ids, the last padded, and
-stored as records of a fixed stride (little-endian unsigned 16-bit ids). A keyed Feistel network
+stored as records of a fixed stride (little-endian unsigned 16-bit ids, and a line feed). A keyed Feistel network
 permutes [0, 2^b); walking its cycles until the number falls below the number of sequences gives a
 permutation of exactly those, so every sequence has its own slot of the training order, known from its
 number and the key alone. Slots are cut into shards of ``PER_SHARD``; a range partitioning by slot and a
-sort inside partitions put each shard's records one after another: the record of a slot is in shard
-slot // PER_SHARD at (slot % PER_SHARD) * stride.
+sort inside partitions put each shard's records one after another into one file, that Spark's text writer commits: the record of a slot is in
+the file of shard slot // PER_SHARD at byte (slot % PER_SHARD) * stride.
 
-A reader that stopped goes on from its next slot; a writer that stopped writes the shards that are
-not there yet.
+A reader that stopped seeks to its next slot; a writer that stopped writes the shards that are
+not there yet. The numbers of the sequences are written beside the shards before the first of them, so a writer that goes
+on with other cores or splits gives every sequence the slot it had.
 
 Defined results: a null or empty text is one sequence with the end id alone; repeated rows get a
 sequence each; an empty table gives none.
@@ -29,6 +30,7 @@ from pyspark.sql import types as T
 
 from pairjudge.llm.common import out_batch, slices, strings, written
 from pairjudge.llm.tokens import END, VOCABULARY, document_ids
+from pairjudge.sources import files
 
 SEQUENCE = 512
 PER_SHARD = 4096
@@ -101,10 +103,13 @@ def records(documents: DataFrame, sequence: int = SEQUENCE, vocabulary: str = VO
     return rows.mapInArrow(task, RECORDS)
 
 
-def numbered(documents: DataFrame, sequence: int = SEQUENCE, vocabulary: str = VOCABULARY) -> tuple[DataFrame, int]:
-    """The written records with ``number`` 0, 1, 2, ..., and how many there are."""
-    spark = documents.sparkSession
-    held = written(records(documents, sequence, vocabulary), "records")
+def stride(sequence: int = SEQUENCE) -> int:
+    return 2 * sequence + 1
+
+
+def numbered(held: DataFrame) -> tuple[DataFrame, int]:
+    """Written records with ``number`` 0, 1, 2, ..., and how many there are."""
+    spark = held.sparkSession
     starts, n = [], 0
     for r in held.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # a row per task
         starts.append((r["part"], n))
@@ -116,7 +121,12 @@ def numbered(documents: DataFrame, sequence: int = SEQUENCE, vocabulary: str = V
 def training_order(documents: DataFrame, key: int = KEY, sequence: int = SEQUENCE, per_shard: int = PER_SHARD,
                    vocabulary: str = VOCABULARY) -> DataFrame:
     """slot, shard, offset (bytes), doc_id, piece, n_ids, crc32, record: in slot order, range by range."""
-    held, n = numbered(documents, sequence, vocabulary)
+    return in_order(written(records(documents, sequence, vocabulary), "records"), key, sequence, per_shard)
+
+
+def in_order(records: DataFrame, key: int = KEY, sequence: int = SEQUENCE, per_shard: int = PER_SHARD) -> DataFrame:
+    """The training order of written records."""
+    held, n = numbered(records)
 
     @F.pandas_udf("long")
     def slot(number: pd.Series) -> pd.Series:
@@ -124,35 +134,59 @@ def training_order(documents: DataFrame, key: int = KEY, sequence: int = SEQUENC
 
     out = (held.withColumn("slot", slot("number")).drop("number")
            .withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long"))
-           .withColumn("offset", F.col("slot") % per_shard * (2 * sequence))
+           .withColumn("offset", F.col("slot") % per_shard * stride(sequence))
            .select("slot", "shard", "offset", "doc_id", "piece", "n_ids", "crc32", "record"))
     # The slots are a permutation of 0..n-1, so equal ranges of them hold equally many rows.
     shards = max(1, -(-n // per_shard))
     return out.repartitionByRange(shards, "slot").sortWithinPartitions("slot")
 
 
+def materialise(documents: DataFrame, path: str, key: int = KEY, sequence: int = SEQUENCE, per_shard: int = PER_SHARD,
+                vocabulary: str = VOCABULARY) -> int:
+    """Write the shards that ``path`` does not hold yet; how many. A call after one that was stopped goes on with its numbering."""
+    spark, held = documents.sparkSession, f"{path.rstrip('/')}/_records"
+    if "_SUCCESS" not in files.names(spark, held):  # written last, when all tasks are done
+        records(documents, sequence, vocabulary).write.mode("overwrite").parquet(held)
+        if "_SUCCESS" not in files.names(spark, held):
+            files.touch(spark, f"{held}/_SUCCESS")
+    return write_shards(in_order(spark.read.schema(RECORDS).parquet(held), key, sequence, per_shard), path)
+
+
 def write_shards(order: DataFrame, path: str) -> int:
-    """Write the shards that ``path`` does not hold yet, one folder each; how many it wrote.
+    """Write the shards that ``path`` does not hold yet, a folder with one file of records each; how many it wrote.
 
-    A shard's folder appears when the job commits, so a stopped run leaves whole shards or none.
+    A shard's file appears whole when the job commits, so a stopped run leaves whole shards or none.
     """
     spark = order.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    there = {int(s.getPath().getName().split("=")[1]) for s in files.listStatus(folder) if "=" in s.getPath().getName()} if files.exists(folder) else set()
+    there = {int(n.split("=")[1]) for n in files.names(spark, path) if n.startswith("shard=")}
     missing = order.where(~F.col("shard").isin(sorted(there))) if there else order
-    (missing.repartitionByRange("shard").sortWithinPartitions("shard", "slot")
-     .write.mode("append").partitionBy("shard").parquet(path))
-    return missing.select("shard").distinct().count()
+    n = missing.select("shard").distinct().count()
+    if n:  # the bytes of a record are written as they are, and the line feed
+        (missing.repartitionByRange("shard").sortWithinPartitions("shard", "slot").select("shard", F.col("record").cast("string").alias("value"))
+         .write.mode("append").option("lineSep", "\n").option("maxRecordsPerFile", 0).partitionBy("shard").text(path))
+    return n
 
 
-def read_from(spark, path: str, slot: int, per_shard: int = PER_SHARD) -> Iterator[np.ndarray]:
-    """Ids of the sequences from ``slot`` on, shard after shard: what a resumed training run reads."""
-    shard = slot // per_shard
+def read_from(spark, path: str, slot: int, per_shard: int = PER_SHARD, sequence: int = SEQUENCE, at_once: int = 1024) -> Iterator[np.ndarray]:
+    """Ids of the sequences from ``slot`` on, shard after shard: what a resumed training run reads. Seeks to the slot's
+    place in its shard's file and reads on, ``at_once`` records at a time."""
+    jvm, width = spark._jvm, stride(sequence)
     while True:
-        rows = spark.read.parquet(path).where((F.col("shard") == shard) & (F.col("slot") >= slot)).orderBy("slot").select("record").collect()
-        if not rows:
+        shard = f"{path.rstrip('/')}/shard={slot // per_shard}"
+        parts = [n for n in files.names(spark, shard) if not n.startswith(("_", "."))]
+        if not parts:
             return
-        for r in rows:  # a shard at most
-            yield np.frombuffer(r[0], dtype="<u2")
-        shard += 1
+        place = jvm.org.apache.hadoop.fs.Path(f"{shard}/{parts[0]}")
+        fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        size, at = fs.getFileStatus(place).getLen(), slot % per_shard * width
+        stream = fs.open(place)
+        try:
+            while at < size:
+                stream.seek(at)
+                data = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(at_once * width, size - at)))
+                for i in range(0, len(data), width):
+                    yield np.frombuffer(data[i:i + 2 * sequence], dtype="<u2")
+                at += len(data)
+        finally:
+            stream.close()
+        slot += per_shard - slot % per_shard

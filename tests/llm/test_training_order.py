@@ -1,3 +1,4 @@
+import glob
 import zlib
 
 import numpy as np
@@ -23,7 +24,7 @@ def test_round_trip(spark, docs, tmp_path):
     assert [r.slot for r in found] == list(range(len(found)))
     texts = {}
     for r in found:
-        assert r.shard == r.slot // 64 and r.offset == r.slot % 64 * 64 and len(r.record) == 64 and r.crc32 == zlib.crc32(bytes(r.record))
+        assert r.shard == r.slot // 64 and r.offset == r.slot % 64 * 65 and len(r.record) == 64 and r.crc32 == zlib.crc32(bytes(r.record))
         texts.setdefault((r.doc_id, r.piece), []).append(np.frombuffer(r.record, "<u2")[: r.n_ids].tolist())
     for doc, text in ROWS:
         ids = document_ids(text).tolist()
@@ -39,8 +40,29 @@ def test_shards_resume(spark, docs, tmp_path):
     assert O.write_shards(order.where("shard <> 1"), path) > 0
     assert O.write_shards(order, path) == 1  # only what was missing
     assert O.write_shards(order, path) == 0
-    assert [r.tobytes() for r in O.read_from(spark, path, 70, per_shard=64)] == records[70:]
+    assert [r.tobytes() for r in O.read_from(spark, path, 70, per_shard=64, sequence=32)] == records[70:]
 
 
 def test_empty_table(docs):
     assert O.training_order(docs([])).count() == 0
+
+
+def test_shards_are_files_of_fixed_stride_whoever_writes_them(spark, docs, tmp_path):
+    path = str(tmp_path / "raw")
+    rows = ROWS + [(600, "\n\r\n some lines\n" * 30)]
+    first = docs(rows).repartition(5)
+    records = O.records(first, sequence=32)
+    records.write.parquet(path + "/_records")  # a writer that was stopped after its numbering and some shards
+    order = O.in_order(spark.read.schema(O.RECORDS).parquet(path + "/_records"), sequence=32, per_shard=64)
+    want = [bytes(r.record) for r in order.collect()]
+    shards = -(-len(want) // 64)
+    assert O.write_shards(order.where("shard in (0, 2)"), path) == 2
+    assert O.materialise(docs(rows).coalesce(1), path, sequence=32, per_shard=64) == shards - 2  # other splits, other cores
+    for slot in (0, 1, 63, 64, 130, len(want) - 1):
+        name, = glob.glob(f"{path}/shard={slot // 64}/part-*")
+        with open(name, "rb") as f:
+            f.seek(slot % 64 * 65)
+            assert f.read(64) == want[slot] and f.read(1) == b"\n"
+        got = [r.tobytes() for r in O.read_from(spark, path, slot, per_shard=64, sequence=32, at_once=7)]
+        assert got == want[slot:]
+    assert O.materialise(docs(rows), path, sequence=32, per_shard=64) == 0
