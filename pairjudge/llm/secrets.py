@@ -3,8 +3,9 @@
 Fixed rules give the base spans: ``assign`` (keyword, separator, value), ``access`` and ``hex``. The
 models add ``markov`` spans: two first-order character models, one of random strings and one of
 ordinary identifiers, are trained from labelled samples, and a token whose log-likelihood ratio
-(random against ordinary) reaches ``LLR`` is a secret. Tokens are runs of ``[A-Za-z0-9+/_=-]`` of
-``TOKEN`` characters or more, at least one of them a digit, that hold no base span.
+(random against ordinary) reaches ``RATE`` for each of its pairs of characters is a secret. Tokens are runs of ``[A-Za-z0-9+/_=-]`` of
+``TOKEN`` characters or more, at least one of them a letter (numbers alone are no secrets); of those that a base span
+takes whole there is no second span, but a token with a base span inside is scored whole and may overlap it.
 
 Labelled samples: of the ``SAMPLE`` documents with the smallest hashes of their ids, the words are
 ordinary identifiers and the digests of the ids, written in hex, base64 and upper-case base32-like
@@ -26,15 +27,15 @@ from pyspark.sql import functions as F
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 ASSIGN_PREFIX = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 ASSIGN_VALUE = 12
-#: A maximal run of token characters that holds a digit.
-TOKEN_RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z+/_=-]*+[0-9][A-Za-z0-9+/_=-]*+"
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-TOKEN = 20
+TOKEN = 12
+#: A maximal run of token characters.
+TOKEN_RUN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{TOKEN},}}+"
 KINDS = ("assign", "access", "hex", "markov")
 
-#: Log-likelihood ratio (nats) from which a token counts as random.
-LLR = 12.0
+#: Log-likelihood ratio (nats) for each pair of neighbouring characters, from which a token counts as random.
+RATE = 0.5
 #: Documents whose words and ids are the labelled samples.
 SAMPLE = 2000
 #: Matches whose positions are summed at a time.
@@ -125,7 +126,7 @@ def ratio(token: Column, ratios: Column) -> Column:
     return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)
 
 
-def scan(documents: DataFrame, train: DataFrame | None = None, llr: float = LLR) -> DataFrame:
+def scan(documents: DataFrame, train: DataFrame | None = None, rate: float = RATE) -> DataFrame:
     """Adds ``secrets`` to each row of ``documents``: a struct of assign, access, hex, markov (arrays of
     start, end, match), base and spans (as written); a column of that name is replaced, others stay whatever their names. ``train``: documents
     to train on, these unless given."""
@@ -137,10 +138,10 @@ def scan(documents: DataFrame, train: DataFrame | None = None, llr: float = LLR)
     read = read.withColumns({
         "__assign": F.filter("__assign", lambda s: F.length(F.regexp_replace(s["match"], ASSIGN_PREFIX, "")) >= ASSIGN_VALUE),
         # Base assignments are matched in the tokens' pass too, so that what they take is no token.
-        "__token": F.filter("__token", lambda s: (F.length(s["match"]) >= TOKEN) & ~s["match"].rlike(f"{ASSIGN}|{ACCESS}|{HEX}"))})
+        "__token": F.filter("__token", lambda s: s["match"].rlike("[A-Za-z]") & ~s["match"].rlike(f"^{ASSIGN}|^(?:{ACCESS}|{HEX})$"))})
     # A scalar subquery of 16,384 numbers, read by the rows that have tokens.
     read = read.withColumn("__r", F.when(F.size("__token") > 0, fitted.select("ratios").scalar()))
-    read = read.withColumn("__markov", F.when(F.size("__token") > 0, F.filter("__token", lambda s: ratio(s["match"], F.col("__r")) >= llr))
+    read = read.withColumn("__markov", F.when(F.size("__token") > 0, F.filter("__token", lambda s: ratio(s["match"], F.col("__r")) >= rate * (F.length(s["match"]) - 1)))
                            .otherwise(F.col("__token")))
     read = read.withColumn("__base", F.concat(*[_named(F.col(f"__{k}"), k) for k in KINDS[:3]]))
     read = read.withColumn("__spans", F.concat("__base", _named(F.col("__markov"), "markov")))
