@@ -9,11 +9,12 @@ length.
 Plan: best-fit decreasing gives the incumbent. While it needs more sequences than the lower bound, bin
 completion looks for a plan with one sequence less: around the largest piece left, it enumerates the
 undominated fillings, least waste first, drops those that would waste more than such a plan can
-afford, and goes back when nothing is left, for up to ``NODES`` fillings tried per target. What it
-finds is the new incumbent.
+afford, and goes back when nothing is left. Fillings are made one by one as they are needed, and nothing ends the search early
+but a budget of ``STEPS`` steps of enumeration for each target. What it
+finds is the new incumbent; ``search`` tells whether the last plan is proven to need as few sequences as any.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed each; an empty
-table packs nothing.
+table packs nothing; a null doc_id stays null; texts are taken whole; only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -31,10 +32,8 @@ from pairjudge.llm.common import dense_rank, out_batch, slices, strings, written
 from pairjudge.llm.tokens import VOCABULARY, document_ids
 
 CAPACITY = 2048
-#: Fillings that the search tries before it keeps its incumbent.
-NODES = 4_000
-#: Fillings of one sequence that are weighed against each other.
-FILLINGS = 64
+#: Steps of enumeration that the search for one sequence less may take before it keeps its incumbent.
+STEPS = 1_000_000
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), largest first
 Plan = list[tuple[Pattern, int]]  # pattern, sequences that follow it
@@ -103,16 +102,26 @@ def sequences(plan: Plan) -> int:
     return sum(many for _, many in plan)
 
 
-def fillings(counts: dict[int, int], room: int, waste: int, limit: int = FILLINGS) -> list[Pattern]:
-    """Undominated fillings of ``room`` that leave ``waste`` or less, least waste first.
+class Budget:
+    """Steps that a search may still take."""
+
+    def __init__(self, steps: int):
+        self.left = steps
+
+    def step(self) -> bool:
+        self.left -= 1
+        return self.left >= 0
+
+
+def fillings(counts: dict[int, int], room: int, least: int, most: int, budget: Budget) -> Iterator[Pattern]:
+    """Undominated fillings of ``room`` that leave ``least`` to ``most``, larger pieces first; made one by one, as they are asked for,
+    and ended early by nothing but the budget.
 
     A filling is dominated if a larger piece that is left could stand in place of one of its own, or
     a single piece that is left has the length of two of its own together.
     """
     sizes = sorted(s for s, c in counts.items() if c and s <= room)
-    total = sum(s * counts[s] for s in sizes)
-    found: list[tuple[int, Pattern]] = []
-    steps = 0
+    below = np.append(0, np.cumsum([s * min(counts[s], room // s) for s in sizes], dtype=np.int64)).tolist()  # all pieces of the sizes under an index
 
     def undominated(chosen: Pattern, left: int) -> bool:
         used = dict(chosen)
@@ -127,42 +136,32 @@ def fillings(counts: dict[int, int], room: int, waste: int, limit: int = FILLING
         held = [s for s, n in chosen for _ in range(min(n, 2))]
         return not any(counts.get(a + b, 0) > used.get(a + b, 0) for i, a in enumerate(held) for b in held[i + 1:])
 
-    def extend(below: int, left: int, chosen: Pattern) -> bool:
-        """Add pieces of the sizes under index ``below``; False when enough has been seen."""
-        nonlocal steps
-        steps += 1
-        if left <= waste and undominated(chosen, left):
-            found.append((left, chosen))
-        if steps > 8 * limit or len(found) >= limit or sum(not w for w, _ in found) >= 4:
-            return False
-        for at in range(min(below, bisect_right(sizes, left)) - 1, -1, -1):
+    stack: list[tuple[int, int, int, Pattern]] = [(len(sizes), 0, room, ())]  # sizes under an index, pieces of the size there, room left, chosen
+    while stack:
+        upto, _, left, chosen = stack.pop()
+        if not budget.step():
+            return
+        if least <= left <= most and undominated(chosen, left):
+            yield chosen
+        more = []
+        for at in range(min(upto, bisect_right(sizes, left)) - 1, -1, -1):
+            if left - below[at + 1] > most:  # what is smaller cannot fill it
+                break
             s = sizes[at]
-            for n in range(min(counts[s], left // s), 0, -1):
-                if not extend(at, left - n * s, (*chosen, (s, n))):
-                    return False
-        return True
-
-    if room - total <= waste:
-        extend(len(sizes), room, ())
-    return [p for _, p in sorted(found, key=lambda x: (x[0], tuple((-s, -n) for s, n in x[1])))]
+            more += [(at, n, left - n * s, (*chosen, (s, n))) for n in range(min(counts[s], left // s), 0, -1)]
+        stack += reversed(more)
 
 
-def tighter_first(counts: dict[int, int], room: int, spare: int) -> Iterator[Pattern]:
+def tighter_first(counts: dict[int, int], room: int, spare: int, budget: Budget) -> Iterator[Pattern]:
     """Fillings that leave up to ``spare``, in steps of what they leave; later steps are only made if asked for."""
-    tried: set[Pattern] = set()
-    waste = 0
-    while True:
-        for filling in fillings(counts, room, min(waste, spare)):
-            if filling not in tried:
-                tried.add(filling)
-                yield filling
-        if waste >= min(spare, room):
-            return
-        waste = 4 * waste + 1
+    least = most = 0
+    while least <= min(spare, room):
+        yield from fillings(counts, room, least, min(most, spare), budget)
+        least, most = most + 1, 4 * most + 1
 
 
-def completion(counts: dict[int, int], capacity: int, target: int, nodes: int = NODES) -> Plan | None:
-    """A plan of ``target`` sequences or fewer, or None if none was found within ``nodes`` fillings."""
+def completion(counts: dict[int, int], capacity: int, target: int, budget: Budget) -> Plan | None:
+    """A plan of ``target`` sequences or fewer, or None: there is none, if the budget has anything left, else none was found."""
     affordable = target * capacity - sum(s * c for s, c in counts.items())
     if affordable < 0:
         return None
@@ -170,21 +169,24 @@ def completion(counts: dict[int, int], capacity: int, target: int, nodes: int =
     def options(counts: dict[int, int], spare: int) -> Iterator[tuple[Pattern, int, int]]:
         largest = max(counts)
         rest = counts | {largest: counts[largest] - 1}
-        for filling in tighter_first(rest, capacity - largest, spare):
+        for filling in tighter_first(rest, capacity - largest, spare, budget):
             need = dict(filling)
             need[largest] = need.get(largest, 0) + 1
             left = capacity - sum(s * n for s, n in need.items())
             many = min(counts[s] // n for s, n in need.items())
             if left:
                 many = min(many, spare // left)
+            pattern = tuple(sorted(need.items(), reverse=True))
             if many:
-                yield tuple(sorted(need.items(), reverse=True)), many, left * many
+                yield pattern, many, left * many
+            if many > 1:  # and once alone, so that every way of going on is there
+                yield pattern, 1, left
 
     plan: Plan = []
     stack = [(dict(counts), affordable, options(dict(counts), affordable))] if counts else []
     if not stack:
         return plan
-    while stack and nodes:
+    while stack and budget.left > 0:
         left, spare, more = stack[-1]
         choice = next(more, None)
         if choice is None:
@@ -192,7 +194,6 @@ def completion(counts: dict[int, int], capacity: int, target: int, nodes: int =
             if plan:
                 plan.pop()
             continue
-        nodes -= 1
         pattern, many, lost = choice
         after = dict(left)
         for s, n in pattern:
@@ -206,13 +207,23 @@ def completion(counts: dict[int, int], capacity: int, target: int, nodes: int =
     return None
 
 
-def make_plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
+def make_plan(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> Plan:
     """Patterns and how many sequences follow each."""
+    return search(counts, capacity, steps)[0]
+
+
+def search(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> tuple[Plan, bool]:
+    """The plan, and whether it is proven that no plan needs fewer sequences: it meets the lower bound, or the search for one sequence
+    less came to its end within the budget."""
     counts = {s: c for s, c in counts.items() if c}
     least, plan = lower_bound(counts, capacity) if counts else 0, best_fit(counts, capacity)
-    while sequences(plan) > least and (better := completion(counts, capacity, sequences(plan) - 1, nodes)) is not None:
+    while sequences(plan) > least:
+        budget = Budget(steps)
+        better = completion(counts, capacity, sequences(plan) - 1, budget)
+        if better is None:
+            return plan, budget.left > 0
         plan = better
-    return plan
+    return plan, True
 
 
 def layout(plan: Plan) -> np.ndarray:
@@ -258,10 +269,10 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOC
 def pack(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per piece, with its sequence and its place there."""
     spark = documents.sparkSession
-    cut = written(pieces(documents, capacity, vocabulary), "pieces")
+    cut = written(pieces(documents, capacity, vocabulary).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     places = spark.sparkContext.broadcast(layout(make_plan(counts, capacity)))  # bounded by capacity alone
-    ranked = dense_rank(cut, ["doc_id", "piece", "start", "ids_crc32"], ["length"], "rank")
+    ranked = dense_rank(cut, ["doc_id", "piece", "start", "ids_crc32", "row"], ["length"], "rank")  # equal rows are dealt to buckets too
 
     def task(batches):
         rows = places.value

@@ -60,6 +60,32 @@ def test_search_betters_best_fit():
     assert P.sequences(P.make_plan(counts, 10)) == P.lower_bound(counts, 10) <= P.sequences(P.best_fit(counts, 10))
 
 
+def triplets(n, seed, capacity=1000):
+    rng = random.Random(seed)
+    items = []
+    while len(items) < 3 * n:
+        a, b = rng.randint(capacity // 4 + 1, capacity // 2 - 1), rng.randint(capacity // 4 + 1, capacity // 2 - 1)
+        if capacity // 4 < capacity - a - b < capacity // 2:
+            items += [a, b, capacity - a - b]
+    return Counter(items)
+
+
+def test_exact_triplets():
+    for n in (5, 10, 20, 40, 60, 120):
+        plan, proven = P.search(triplets(n, n), 1000)
+        assert n <= P.sequences(plan) <= n + 1 <= P.sequences(P.best_fit(triplets(n, n), 1000)) and proven == (P.sequences(plan) == n)
+
+
+def test_proof_without_the_bound():
+    # Three pieces of 4 and three of 3 need three sequences of 8 ... the volume bound says three as well; pieces of 5 never share.
+    plan, proven = P.search({5: 3, 4: 1}, 8)
+    assert proven and P.sequences(plan) == 4
+    plan, proven = P.search({4: 3, 3: 4}, 10)  # volume 24, bound 3; {4, 3, 3} twice leaves 4
+    assert proven and P.sequences(plan) == 3
+    assert P.search({}, 10) == ([], True)
+    assert P.search(dict(triplets(200, 1)), 1000, steps=10)[1] is False
+
+
 def test_pieces_and_places(docs):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "delta"]) for _ in range(rng.randint(0, 1500)))) for i in range(120)]
