@@ -6,9 +6,10 @@ leaves: two ratios per path. They are fused (geometric mean, weighted by the pat
 outside links), laid out over the leaves in page order, smoothed with a Gaussian window, and the
 leaves over ``THRESHOLD`` standard deviations are content nodes.
 
-Content nodes choose the container: the ``article`` or ``main`` elements that hold some; without such
-elements, the smallest element that holds ``SHARE`` of their score. Every block of a chosen container
-is returned, but for those inside menus, headers, footers, sidebars, notices, adverts, forms,
+Content nodes choose the container. ``article`` and ``main`` elements are a hint: those that hold some are taken if they hold at least as much
+text of content nodes as there is outside; else it is the smallest element that holds ``SHARE`` of the score outside, without
+such elements in it. Every block of a chosen container
+is returned, but for lists of links, told by their ratios, and those inside menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments, known by element name, role or class. So a short heading or
 last line of the article stays although its own path has a small ratio.
 
@@ -17,7 +18,8 @@ blocks are joined by a line feed.
 
 Defined results: a null or empty page has the empty text; a page without content nodes too, unless it
 has a single ``article`` or ``main``; unclosed elements, comments and scripts end with the page;
-repeated rows are extracted each. Work is linear in the page, which is never cut.
+repeated rows are extracted each. Work is linear in the page, which is never cut; only page_id, url and html are read, so other columns may
+have any names.
 """
 
 from __future__ import annotations
@@ -187,31 +189,51 @@ def main_text(page: str | None) -> str:
     hide(elements)
     shown = [leaf for leaf in everything if not leaf.element.hidden]
     found = [leaf for leaf in shown if leaf.text.strip()]
-    if any(leaf.element.container for leaf in found):
-        found = [leaf for leaf in found if leaf.element.container]
     if not found:
         return ""
     score = scores(found)
     content = score > THRESHOLD * score.std()
     holders = [leaf.element.container for leaf in found]
-    if any(holders):
-        chosen = {c for c, ok in zip(holders, content) if ok} or ({holders[0]} if len(set(holders)) == 1 else set())
+    inside, outside = (sum(len(leaf.text) for leaf, h, ok in zip(found, holders, content) if ok and bool(h) == held) for held in (True, False))
+    if any(holders) and inside >= outside:  # elements are a hint: taken if most content nodes are in them
+        found, holders = zip(*((leaf, h) for leaf, h in zip(found, holders) if h))
+        score = scores(found)
+        content = score > THRESHOLD * score.std()
+        chosen, barred = {c for c, ok in zip(holders, content) if ok} or ({holders[0]} if len(set(holders)) == 1 else set()), set()
     elif content.any():
-        chosen = {_smallest([leaf.element for leaf in found], np.where(content, score, 0.0))}
+        weights = np.where(content & np.array([h is None for h in holders]), score, 0.0)
+        chosen, barred = {_smallest([leaf.element for leaf in found], weights)}, {h for h in holders if h}
     else:
         return ""
     within: set[Element] = set()
     for e in elements:
-        if e in chosen or e.parent in within:
+        if e in chosen or e.parent in within and e not in barred:
             within.add(e)
+    lists = _link_lists([(leaf, ok) for leaf, ok in zip(found, content) if leaf.element in within])
     blocks: dict[int, list[str]] = {}
     for leaf in shown:
-        if leaf.element in within:
+        if leaf.element in within and leaf.block not in lists:
             blocks.setdefault(leaf.block, []).append(leaf.text)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(line for line in lines if line)
 
 
+def _link_lists(found: list[tuple[Leaf, bool]]) -> set[int]:
+    """Blocks of linked text whose path has several such leaves, little else, and a ratio under the threshold: lists of links
+    and tags, wherever they stand."""
+    linked, length, several, content = Counter(), Counter(), Counter(), set()
+    for leaf, ok in found:
+        n = len(leaf.text.strip())
+        length[leaf.block] += n
+        linked[leaf.block] += n if leaf.linked else 0
+        if leaf.linked:
+            several[leaf.element.path] += 1
+        if ok and not leaf.linked:
+            content.add(leaf.block)
+    return {leaf.block for leaf, ok in found if leaf.linked and several[leaf.element.path] > 2 and leaf.block not in content
+            and 2 * linked[leaf.block] > length[leaf.block]}
+
+
 def _smallest(elements: list[Element], weights: np.ndarray) -> Element:
     """The deepest element that is above leaves with ``SHARE`` of the weight."""
     held: dict[Element, float] = {}

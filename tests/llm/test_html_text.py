@@ -46,3 +46,25 @@ def test_rows(spark):
     found = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int"))
     assert [(r.page_id, r.n_chars > 0) for r in found.collect()] == [(1, True), (1, True), (None, False), (2, False)]
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+BODY = "".join(f"<p>Paragraph {i}, with some text of its own; it goes on, and on, for a while. And then it ends.</p>" for i in range(8))
+LINES = "\n".join(f"Paragraph {i}, with some text of its own; it goes on, and on, for a while. And then it ends." for i in range(8))
+
+
+def test_body_in_a_div_beside_a_teaser():
+    assert main_text(f"<body><div class='story'><h1>Title</h1>{BODY}</div><article><p>Read this, too.</p></article></body>") == "Title\n" + LINES
+    assert main_text(f"<body><div class='story'>{BODY}<article><p>Read this, too.</p></article></div></body>") == LINES
+
+
+def test_lists_of_links_inside_an_article():
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Some page {i}</a></li>" for i in range(6)) + "</ul><p><a href=t1>tag one</a> <a href=t2>tag two</a> <a href=t3>tag three</a></p>"
+    assert main_text(f"<article><h1>Title</h1>{BODY}{links}</article>") == "Title\n" + LINES
+    kept = "<p>A sentence with <a href=x>a link</a>, and one with <a href=y>another</a> or <a href=z>a third</a>, stays whole.</p>"
+    assert main_text(f"<article>{BODY}{kept}</article>") == LINES + "\nA sentence with a link, and one with another or a third, stays whole."
+
+
+def test_container_tags_renamed_to_div(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    same = [main_text(p.html.replace("<article>", "<div>").replace("</article>", "</div>").replace("<main", "<div").replace("</main", "</div")) == main_text(p.html) for p in pages]
+    assert sum(same) >= 0.9 * len(same), (sum(same), len(same))
