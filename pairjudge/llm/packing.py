@@ -20,8 +20,10 @@ table packs nothing; a null doc_id stays null; texts are taken whole; only doc_i
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -113,50 +115,53 @@ class Budget:
         return self.left >= 0
 
 
-def fillings(counts: dict[int, int], room: int, least: int, most: int, budget: Budget) -> Iterator[Pattern]:
-    """Undominated fillings of ``room`` that leave ``least`` to ``most``, larger pieces first; made one by one, as they are asked for,
-    and ended early by nothing but the budget.
+def fillings(counts: dict[int, int], largest: int, room: int, least: int, most: int, budget: Budget) -> Iterator[Pattern]:
+    """Undominated fillings of ``room`` beside one ``largest`` piece that leave ``least`` to ``most``, larger pieces first; made one by one,
+    as they are asked for, and ended early by nothing but the budget. ``counts`` must be the same whenever one is asked for.
 
     A filling is dominated if a larger piece that is left could stand in place of one of its own, or
     a single piece that is left has the length of two of its own together.
     """
-    sizes = sorted(s for s, c in counts.items() if c and s <= room)
-    below = np.append(0, np.cumsum([s * min(counts[s], room // s) for s in sizes], dtype=np.int64)).tolist()  # all pieces of the sizes under an index
+    def held(s: int) -> int:
+        return counts.get(s, 0) - (s == largest)
+
+    sizes = array("i", sorted(s for s in counts if s <= room and held(s)))
+    below = array("q", accumulate((s * min(held(s), room // s) for s in sizes), initial=0))  # all pieces of the sizes under an index
 
     def undominated(chosen: Pattern, left: int) -> bool:
         used = dict(chosen)
         for s in used if left else ():
             at = bisect_right(sizes, s)  # larger pieces that would still fit
             while at < len(sizes) and sizes[at] <= s + left:
-                if counts[sizes[at]] > used.get(sizes[at], 0):
+                if held(sizes[at]) > used.get(sizes[at], 0):
                     return False
                 at += 1
-        if any(counts[s] > used.get(s, 0) for s in sizes[:bisect_right(sizes, left)]):
+        if any(held(s) > used.get(s, 0) for s in sizes[:bisect_right(sizes, left)]):
             return False
-        held = [s for s, n in chosen for _ in range(min(n, 2))]
-        return not any(counts.get(a + b, 0) > used.get(a + b, 0) for i, a in enumerate(held) for b in held[i + 1:])
+        pair = [s for s, n in chosen for _ in range(min(n, 2))]
+        return not any(held(a + b) > used.get(a + b, 0) for i, a in enumerate(pair) for b in pair[i + 1:])
 
-    stack: list[tuple[int, int, int, Pattern]] = [(len(sizes), 0, room, ())]  # sizes under an index, pieces of the size there, room left, chosen
-    while stack:
-        upto, _, left, chosen = stack.pop()
+    def extend(upto: int, left: int, chosen: Pattern) -> Iterator[Pattern]:
+        """Add pieces of the sizes under the index ``upto``."""
         if not budget.step():
             return
         if least <= left <= most and undominated(chosen, left):
             yield chosen
-        more = []
         for at in range(min(upto, bisect_right(sizes, left)) - 1, -1, -1):
-            if left - below[at + 1] > most:  # what is smaller cannot fill it
-                break
+            if left - below[at + 1] > most or budget.left <= 0:  # what is smaller cannot fill it
+                return
             s = sizes[at]
-            more += [(at, n, left - n * s, (*chosen, (s, n))) for n in range(min(counts[s], left // s), 0, -1)]
-        stack += reversed(more)
+            for n in range(min(held(s), left // s), 0, -1):
+                yield from extend(at, left - n * s, (*chosen, (s, n)))
 
+    return extend(len(sizes), room, ())
 
-def tighter_first(counts: dict[int, int], room: int, spare: int, budget: Budget) -> Iterator[Pattern]:
+
+def tighter_first(counts: dict[int, int], largest: int, room: int, spare: int, budget: Budget) -> Iterator[Pattern]:
     """Fillings that leave up to ``spare``, in steps of what they leave; later steps are only made if asked for."""
     least = most = 0
     while least <= min(spare, room):
-        yield from fillings(counts, room, least, min(most, spare), budget)
+        yield from fillings(counts, largest, room, least, min(most, spare), budget)
         least, most = most + 1, 4 * most + 1
 
 
@@ -166,45 +171,45 @@ def completion(counts: dict[int, int], capacity: int, target: int, budget: Budge
     if affordable < 0:
         return None
 
-    def options(counts: dict[int, int], spare: int) -> Iterator[tuple[Pattern, int, int]]:
-        largest = max(counts)
-        rest = counts | {largest: counts[largest] - 1}
-        for filling in tighter_first(rest, capacity - largest, spare, budget):
+    left = dict(counts)  # what the plan so far leaves; every step back restores it
+
+    def options(spare: int) -> Iterator[tuple[Pattern, int, int]]:
+        largest = max(left)
+        for filling in tighter_first(left, largest, capacity - largest, spare, budget):
             need = dict(filling)
             need[largest] = need.get(largest, 0) + 1
-            left = capacity - sum(s * n for s, n in need.items())
-            many = min(counts[s] // n for s, n in need.items())
-            if left:
-                many = min(many, spare // left)
+            wasted = capacity - sum(s * n for s, n in need.items())
+            many = min(left[s] // n for s, n in need.items())
+            if wasted:
+                many = min(many, spare // wasted)
             pattern = tuple(sorted(need.items(), reverse=True))
             if many:
-                yield pattern, many, left * many
+                yield pattern, many, wasted * many
             if many > 1:  # and once alone, so that every way of going on is there
-                yield pattern, 1, left
+                yield pattern, 1, wasted
 
     plan: Plan = []
-    stack = [(dict(counts), affordable, options(dict(counts), affordable))] if counts else []
-    if not stack:
-        return plan
+    stack = [(affordable, options(affordable))] if left else []
     while stack and budget.left > 0:
-        left, spare, more = stack[-1]
+        spare, more = stack[-1]
         choice = next(more, None)
         if choice is None:
             stack.pop()
             if plan:
-                plan.pop()
+                pattern, many = plan.pop()
+                for s, n in pattern:
+                    left[s] = left.get(s, 0) + n * many
             continue
         pattern, many, lost = choice
-        after = dict(left)
         for s, n in pattern:
-            after[s] -= n * many
-            if not after[s]:
-                del after[s]
+            left[s] -= n * many
+            if not left[s]:
+                del left[s]
         plan.append((pattern, many))
-        if not after:
+        if not left:
             return plan
-        stack.append((after, spare - lost, options(after, spare - lost)))
-    return None
+        stack.append((spare - lost, options(spare - lost)))
+    return None if counts else plan
 
 
 def make_plan(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> Plan:
