@@ -6,18 +6,19 @@ products are the smallest Euclidean distances, so bounds from the triangle inequ
 
 Index: each vector is keyed by its nearest pivot and its distance to it; a pivot's vectors are cut
 into annuli of equal width, and an annulus with many vectors into cells of about ``CELL`` by a hash
-of the id, so that no key, however often its vector is repeated, makes a large cell.
+of the row's number, so that no row, however often it is repeated, makes a large cell. Rows hold
+their integers in as few bytes as their largest takes.
 
 Search: a query first looks into the cells of annuli nearest to its own distance, until they hold
 k others; the k-th score there is a bound. Then it expands over the remaining annuli of all pivots,
-and stops at those whose triangle-inequality bound cannot reach that score. Cells and blocks of
-queries meet by their key; each meeting returns k rows per query at most. Queries are dealt to blocks
-of about ``QUERIES_PER_BLOCK``.
+and stops at those whose triangle-inequality bound cannot reach that score. Queries are dealt to blocks
+of about ``QUERIES_PER_BLOCK``. A cell goes only to the blocks that hold a query routed to it; each
+meeting of a cell and a block returns k rows per query at most.
 
 Defined results: vectors that are null, or hold a null or non-finite component, take no part;
 vectors are compared as if padded with zeros to the same length; equal scores go to the smaller
-vec_id; rows that repeat a vec_id are candidates each, but not for a query of that id; null ids take
-no part; an empty table gives an empty result. Products of large components are taken in 64-bit or longer
+vec_id; rows that repeat a vec_id are candidates each, but not for a query of that id, and queries each;
+null ids take no part; an empty table gives an empty result. Products of large components are taken in 64-bit or longer
 integers; a component of more than 2^62 counts as that, a score that a long cannot hold as the nearest long. Columns other than vec_id
 and embedding are not read.
 """
@@ -43,15 +44,26 @@ CELL = 2048
 QUERIES_PER_BLOCK = 4096
 LARGEST = float(1 << 62)
 
-VECTOR = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("vector", T.BinaryType()), T.StructField("norm2", T.DoubleType())])
+VECTOR = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("vector", T.BinaryType()), T.StructField("dim", T.IntegerType()),
+                       T.StructField("norm2", T.DoubleType())])
 KEYED = T.StructType([*VECTOR.fields, T.StructField("pivot", T.IntegerType()), T.StructField("annulus", T.IntegerType())])
-ROUTED = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("query", T.BinaryType()),
-                       T.StructField("floor", T.DoubleType()), T.StructField("cell", T.IntegerType())])
-SCORED = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
+#: ``q`` is the row number of a query.
+ROUTED = T.StructType([T.StructField("q", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("query", T.BinaryType()),
+                       T.StructField("floor", T.DoubleType()), T.StructField("cells", T.ArrayType(T.IntegerType()))])
+SCORED = T.StructType([T.StructField("q", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()),
+                       T.StructField("score", T.LongType())])
+RESULT = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), *SCORED.fields[2:]])
+
+
+def packed(x: np.ndarray) -> bytes:
+    """A row of integers in the narrowest type that holds them all, behind a byte that names its width."""
+    most = int(np.abs(x).max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w - 1))
+    return bytes([width]) + x.astype(f"<i{width}").tobytes()
 
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, floor(scale * x) as 64-bit integers in bytes, squared length."""
+    """vec_id, floor(scale * x) as integers in bytes, their number, squared length."""
 
     def task(batches):
         for batch in batches:
@@ -65,7 +77,8 @@ def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
                 with np.errstate(over="ignore"):
                     x = np.clip(np.floor(scale * x), -LARGEST, LARGEST)
                 cols["vec_id"].append(vec_id)
-                cols["vector"].append(x.astype("<i8").tobytes())
+                cols["vector"].append(packed(x.astype(np.int64)))
+                cols["dim"].append(len(x))
                 cols["norm2"].append(float(x @ x))
             yield out_batch(VECTOR, cols)
 
@@ -74,12 +87,14 @@ def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 def matrix(rows: list[bytes], dim: int, dtype=np.float64) -> np.ndarray:
     out = np.zeros((len(rows), dim), dtype=dtype)
-    if len({len(r) for r in rows}) == 1:
-        part = np.frombuffer(b"".join(rows), dtype="<i8").reshape(len(rows), -1)
+    if len({(len(r), r[0]) for r in rows}) == 1:
+        width = rows[0][0]
+        whole = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), -1)[:, 1:]
+        part = np.ascontiguousarray(whole).view(f"<i{width}") if whole.size else whole
         out[:, : part.shape[1]] = part
     else:
         for i, r in enumerate(rows):
-            out[i, : len(r) // 8] = np.frombuffer(r, dtype="<i8")
+            out[i, : (len(r) - 1) // r[0]] = np.frombuffer(r, dtype=f"<i{r[0]}", offset=1)
     return out
 
 
@@ -162,10 +177,10 @@ def meet(queries: DataFrame, cells: DataFrame, geometry, k: int) -> DataFrame:
             x = matrix(right.column("vector").to_pylist(), g.dim, np.int64)[order]
             for start in range(0, left.num_rows, 512):
                 part = left.slice(start, 512)
-                q_ids, floors = part.column("query_id").to_numpy(), part.column("floor").to_numpy()
+                numbers, q_ids, floors = (part.column(c).to_numpy() for c in ("q", "query_id", "floor"))
                 scores = products(matrix(part.column("query").to_pylist(), g.dim, np.int64), x)
                 floors = floors - np.abs(floors, where=np.isfinite(floors), out=np.zeros(len(floors))) * 2.0 ** -52  # a large floor is rounded
-                for q, floor, row in zip(q_ids.tolist(), floors.tolist(), scores):
+                for number, q, floor, row in zip(numbers.tolist(), q_ids.tolist(), floors.tolist(), scores):
                     at = np.flatnonzero((row >= floor) & (ids != q))
                     if len(at) > k:
                         # ids ascend, so a stable sort gives equal scores to the smaller id
@@ -173,6 +188,7 @@ def meet(queries: DataFrame, cells: DataFrame, geometry, k: int) -> DataFrame:
                         least = np.partition(worth, k - 1)[k - 1]
                         at = at[worth <= least]
                         at = at[np.argsort(~row[at].astype(np.int64), kind="stable")[:k]]
+                    cols["q"] += [number] * len(at)
                     cols["query_id"] += [q] * len(at)
                     cols["vec_id"] += ids[at].tolist()
                     cols["score"] += row[at].astype(np.int64).tolist()
@@ -182,7 +198,7 @@ def meet(queries: DataFrame, cells: DataFrame, geometry, k: int) -> DataFrame:
 
 
 def best(scored: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -193,13 +209,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE)
     """
     spark = vectors.sparkSession
     rows = written(integers(vectors, scale), "vectors")
-    total = rows.agg(F.max("norm2").alias("longest2"), F.max(F.length("vector")).alias("bytes")).first()
-    if total["bytes"] is None:
-        return spark.createDataFrame([], T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), *SCORED.fields[1:]]))
+    total = rows.agg(F.max("norm2").alias("longest2"), F.max("dim").alias("dim")).first()
+    if total["dim"] is None:
+        return spark.createDataFrame([], RESULT)
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()
-    geometry = Geometry([bytes(r["vector"]) for r in chosen], [r["norm2"] for r in chosen], total["longest2"], total["bytes"] // 8)
+    geometry = Geometry([bytes(r["vector"]) for r in chosen], [r["norm2"] for r in chosen], total["longest2"], total["dim"])
 
-    index = written(keyed(rows, spark.sparkContext.broadcast(geometry)), "index")
+    index = written(keyed(rows, spark.sparkContext.broadcast(geometry)).withColumn("row", F.monotonically_increasing_id()), "index")
     at = 0
     for r in index.groupBy("pivot", "annulus").agg(F.count(F.lit(1)).alias("n")).orderBy("pivot", "annulus").collect():  # pivots x annuli at most
         many = -(-r["n"] // CELL)
@@ -207,12 +223,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE)
         at += many
     shared = spark.sparkContext.broadcast(geometry)
 
-    found = index.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), F.col("norm2").alias("query2"))
+    found = index.where(is_query).select(F.col("row").alias("q"), F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), F.col("norm2").alias("query2"))
     blocks = max(1, -(-found.count() // QUERIES_PER_BLOCK))
     names = spark.createDataFrame([(p, a, first, many) for (p, a), (first, many, _) in geometry.cells.items()], "pivot int, annulus int, first int, many int")
     cells = (index.join(F.broadcast(names), ["pivot", "annulus"])  # pivots x annuli rows
-             .select((F.col("first") + F.pmod(F.xxhash64("vec_id", "vector"), F.col("many"))).cast("int").alias("cell"), "vec_id", "vector")
-             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+             .select((F.col("first") + F.pmod(F.xxhash64("row"), F.col("many"))).cast("int").alias("cell"), "vec_id", "vector"))
 
     def route(begin: bool):
         def task(batches):
@@ -220,30 +235,27 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE)
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                ids, raw = batch.column("query_id").to_pylist(), batch.column("query").to_pylist()
+                raw = batch.column("query").to_pylist()
                 norm2 = batch.column("query2").to_numpy()
                 d = g.to_pivots(matrix(raw, g.dim), norm2, stored=False)
-                floors = [-np.inf] * len(ids) if begin else [-np.inf if f is None else float(f) for f in batch.column("floor").to_pylist()]
-                cols: dict[str, list] = {f.name: [] for f in ROUTED}
-                for i, q in enumerate(ids):
-                    if begin:
-                        to = first_cells(g, d[i], k)
-                    else:
-                        to = needed(g, d[i], float(norm2[i]), floors[i], set(first_cells(g, d[i], k)))
-                    cols["query_id"] += [q] * len(to)
-                    cols["query"] += [raw[i]] * len(to)
-                    cols["floor"] += [floors[i]] * len(to)
-                    cols["cell"] += to
-                yield out_batch(ROUTED, cols)
+                floors = [-np.inf] * len(raw) if begin else [-np.inf if f is None else float(f) for f in batch.column("floor").to_pylist()]
+                to = []
+                for i, floor in enumerate(floors):
+                    first = first_cells(g, d[i], k)
+                    to.append(first if begin else needed(g, d[i], float(norm2[i]), floor, set(first)))
+                yield out_batch(ROUTED, {"q": batch.column("q"), "query_id": batch.column("query_id"), "query": raw, "floor": floors, "cells": to})
         return task
 
-    def routed(queries: DataFrame, begin: bool) -> DataFrame:
-        return queries.mapInArrow(route(begin), ROUTED).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    def searched(queries: DataFrame, begin: bool) -> DataFrame:
+        """k best of every query in every cell that it is routed to."""
+        routes = written(queries.mapInArrow(route(begin), ROUTED).withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")), "routes")
+        asked = routes.select(F.col("block").alias("to"), F.explode("cells").alias("cell")).distinct()
+        sent = cells.join(asked, "cell").select("cell", F.col("to").alias("block"), "vec_id", "vector")
+        return meet(routes.withColumn("cell", F.explode("cells")).drop("cells"), sent, shared, k)
 
-    near = written(best(meet(routed(found, True), cells, shared, k), k), "near")
-    floor = near.where(F.col("rank") == k).select(F.col("query_id").alias("__q"), F.col("score").cast("double").alias("floor"))
-    rest = routed(found.join(floor, F.col("query_id") == F.col("__q"), "left").drop("__q"), False)
-    far = meet(rest, cells, shared, k)
+    near = written(best(searched(found, True), k), "near")
+    floor = near.where(F.col("rank") == k).select("q", F.col("score").cast("double").alias("floor"))
+    far = searched(found.join(floor, "q", "left"), False)
     return best(far.unionByName(near.select(*SCORED.fieldNames())), k).select("query_id", "rank", "vec_id", "score")
 
 

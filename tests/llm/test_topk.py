@@ -43,7 +43,7 @@ def test_fewer_than_k_and_empty(spark):
 
 
 def test_far_annuli_are_left_out():
-    g = K.Geometry([np.array([64, 0], "<i8").tobytes()], [4096.0], 4096.0, 2)
+    g = K.Geometry([K.packed(np.array([64, 0]))], [4096.0], 4096.0, 2)
     g.cells = {(0, a): (a, 1, 100) for a in range(K.ANNULI)}
     d = g.to_pivots(np.array([[64.0, 0.0]]), np.array([4096.0]), stored=False)[0]
     near = K.needed(g, d, 4096.0, 4000.0, set())
@@ -66,3 +66,32 @@ def test_products_are_exact():
         q, x = (rng.integers(-size, size, (n, 5)) for n in (4, 7))
         want = [[max(-2 ** 63, min(2 ** 63 - 1, sum(int(a) * int(b) for a, b in zip(u, v)))) for v in x] for u in q]
         assert K.products(q, x).tolist() == want
+
+
+def test_widths_and_lengths_meet_in_one_matrix():
+    rows = [[1, -128], [127, 3], [300, 2, 5], [], [-40_000, 1], [1 << 40, -7]]
+    held = [K.packed(np.array(r, dtype=np.int64)) for r in rows]
+    assert [r[0] for r in held] == [2, 1, 2, 1, 4, 8]
+    assert K.matrix(held, 3, np.int64).tolist() == [r + [0] * (3 - len(r)) for r in rows]
+    assert K.matrix(held[1:2] * 3, 3).tolist() == [[127.0, 3.0, 0.0]] * 3 and K.matrix(held[3:4], 2).tolist() == [[0.0, 0.0]]
+
+
+def test_repeated_rows_are_dealt_out_and_are_queries_each(spark, monkeypatch):
+    monkeypatch.setattr(K, "CELL", 16)
+    monkeypatch.setattr(K, "QUERIES_PER_BLOCK", 8)
+    met = []
+    whole = K.meet
+
+    def seen(queries, cells, geometry, k):
+        cells = K.written(cells, "cells")
+        met.append((cells.count(), cells.groupBy("cell", "block").count().agg(F.max("count")).first()[0]))
+        return whole(queries, cells, geometry, k)
+
+    monkeypatch.setattr(K, "meet", seen)
+    rng = random.Random(6)
+    rows = [(i, [float(np.float32(rng.gauss(0, 1))) for _ in range(6)]) for i in range(1, 200) if i % 20] + [(40, [1.0] * 6)] * 100
+    frame = spark.createDataFrame([(i, v, 0, 1, 2) for i, v in rows], SCHEMA)
+    found = [tuple(r) for r in K.top_k(frame, F.col("vec_id") % 20 == 0, 5).select("query_id", "rank", "vec_id", "score").collect()]
+    one = brute([r for r in rows if r[0] != 40] + rows[-1:], lambda i: i % 20 == 0, 5)
+    assert sorted(found) == sorted(one * 100)
+    assert all(largest <= 48 for _, largest in met)
