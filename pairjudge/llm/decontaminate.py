@@ -246,7 +246,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, block_windows: int
 
 
 def _found(documents: DataFrame, benchmark: DataFrame, block_windows: int, keyed: bool = False) -> DataFrame:
-    """Hit ranges and items of every document; ``text_hash`` is there if ``keyed``."""
+    """Hit ranges and items of every document; ``text_hash`` is there if ``keyed``, and copies may then be one row."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     windows = written(benchmark_windows(benchmark.select("item_id", F.col("text").cast("string").alias("text"))), "benchmark-windows")
@@ -273,14 +273,17 @@ def _found(documents: DataFrame, benchmark: DataFrame, block_windows: int, keyed
     for block in range(blocks):
         rows = numbered.where(F.col("block") == block).select("window", "n", "item").collect()  # at most about block_windows
         pairs = spark.sparkContext.broadcast([(bytes(r[0]), r[1], r[2]) for r in rows])
-        part = hashed.mapInArrow(scan(pairs), FOUND)
+        part = hashed.mapInArrow(scan(pairs), FOUND).withColumn("block", F.lit(block))
         found = part if found is None else found.unionByName(part)
-    if blocks > 1:
-        found = (found.groupBy("doc_id", "text_hash")
+    if blocks > 1:  # copies agree in what each block finds: one row of them a block, however many they are
+        one = found.groupBy("doc_id", "text_hash", "block").agg(*[F.first(c).alias(c) for c in ("n_words", "ranges", "items")])
+        found = (one.groupBy("doc_id", "text_hash")  # a row a block
                  .agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"),
-                      F.flatten(F.collect_list("items")).alias("items"), (F.count(F.lit(1)) / blocks).cast("int").alias("copies"))
-                 .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-                 .select("doc_id", "text_hash", "n_words", "ranges", "items"))
+                      F.flatten(F.collect_list("items")).alias("items")))
+        if not keyed:
+            each = hashed.select(F.col("doc_id").alias("each_id"), F.col("text_hash").alias("each_hash"))
+            found = (each.join(found, F.col("each_id").eqNullSafe(F.col("doc_id")) & F.col("each_hash").eqNullSafe(F.col("text_hash")))
+                     .drop("each_id", "each_hash"))
     return found
 
 

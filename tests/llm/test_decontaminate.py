@@ -87,3 +87,10 @@ def test_last_piece_of_a_long_item_is_no_short_item(spark, docs):
     last = " ".join(f"w{i}" for i in range(199_991, 200_000))
     found = {r.doc_id: r.n_hit for r in D.contamination(docs([(1, f"x {last} y"), (2, f"w199990 {last} y")]), benchmark).collect()}
     assert found == {1: 0, 2: 10}
+
+
+def test_copies_are_rows_each_over_several_blocks(spark, docs):
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(6)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    given = [(7, f"{items[0][1]} and {items[5][1]}")] * 50 + [(None, None)] * 20 + [(None, items[3][1])] * 3 + [(8, "clean")]
+    assert rows(D.contamination(docs(given), benchmark, block_windows=4)) == brute(given, items)
