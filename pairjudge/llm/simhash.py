@@ -117,11 +117,7 @@ def square_links(left: np.ndarray, right: np.ndarray, pivots: np.ndarray, max_bi
     lows = np.searchsorted(table_r[:, 0], table_l[:, 0].astype(np.int16) - max_bits, "left")
     highs = np.searchsorted(table_r[:, 0], table_l[:, 0].astype(np.int16) + max_bits, "right")
     for i, x in enumerate(left):
-        near = np.arange(lows[i], highs[i])
-        for c in range(1, len(pivots)):
-            if len(near) < 16:
-                break
-            near = near[np.abs(table_r[near, c] - table_l[i, c]) <= max_bits]
+        near = lows[i] + np.flatnonzero(np.abs(table_r[lows[i]:highs[i]] - table_l[i]).max(axis=1) <= max_bits)
         found = right[near][np.bitwise_count(right[near] ^ x) <= max_bits]
         for y in (found[found > x] if same else found[found != x]).tolist():
             a, b = root(int(x)), root(y)
