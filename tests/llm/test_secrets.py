@@ -1,5 +1,9 @@
+import base64
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 
 from pairjudge.llm import secrets as S
 
@@ -79,3 +83,46 @@ def test_token_with_a_hex_run_inside_is_taken_whole(spark, docs):
     row, = S.scan(docs([(1, f"a {token} b 12345678901234 c")]), train).collect()
     assert [s.match for s in row.secrets.markov] == [token] and len(row.secrets.hex) == 1
     assert S.redact(docs([(1, f"a {token} b")]).union(docs([(k, " ".join(["plain words of text"] * 20)) for k in range(2, 30)]))).where("doc_id = 1").first().text == "a [SECRET] b"
+
+
+def plain_models(rows):
+    """log P(b | a, random) - log P(b | a, ordinary) of every pair of characters, from dictionaries."""
+    letters = [c for c in map(chr, range(128)) if re.match(r"[A-Za-z0-9+/_=-]", c)]
+    ordinary = [w for i, t in rows if i is not None for w in re.split(r"[^A-Za-z0-9+/_=-]+", t or "") if w and not re.search(f"{S.HEX}|{S.ACCESS}", w)]
+    ids = {i for i, _ in rows if i is not None}
+    digests = [hashlib.sha256(str(i).encode()).digest() for i in ids]
+    coded = [base64.b64encode(d).decode() for d in digests]
+    random_ones = [d.hex() for d in digests] + coded + [c.upper().translate(str.maketrans("+/=", "XYZ")) for c in coded]
+    logs = []
+    for strings in (random_ones, ordinary):
+        seen = Counter(p for s in strings for p in zip(s, s[1:]))
+        sums = {a: sum(seen[a, b] + 1 for b in letters) for a in letters}
+        logs.append({(a, b): math.log((seen[a, b] + 1) / sums[a]) for a in letters for b in letters})
+    return {p: logs[0][p] - logs[1][p] for p in logs[0]}
+
+
+def test_markov_spans_match_plain_models(docs):
+    rng = random.Random(12)
+    words = ["garden", "configuration", "internationalisation", "snake_case_identifier", "token", "AbstractFactoryBuilder", "2024-01-02T10:00:00", "123456789012345"]
+    rows = []
+    for i in range(60):
+        parts = [rng.choice(words) for _ in range(30)]
+        parts += ["".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(rng.randint(10, 40))) for _ in range(3)]
+        parts += ["é" + "".join(rng.choice("0123456789abcdef") for _ in range(20)) + "xY", 'secret="abcDEF123456ghi"']
+        rng.shuffle(parts)
+        rows.append((i, " ".join(parts)))
+    rows += [(100, None), (101, ""), (None, "aB3dE5fG7hJ9kL1mN3pQ"), (3, "aB3dE5fG7hJ9kL1mN3pQ"), (3, "aB3dE5fG7hJ9kL1mN3pQ")]
+    ratios = plain_models(rows)
+
+    def spans(text):
+        out = []
+        for m in re.finditer(f"{S.ASSIGN}|{S.TOKEN_RUN}", text or ""):
+            token = m[0]
+            if re.search("[A-Za-z]", token) and not re.search(f"^{S.ASSIGN}|^(?:{S.ACCESS}|{S.HEX})$", token):
+                if sum(ratios[p] for p in zip(token, token[1:])) >= S.RATE * (len(token) - 1):
+                    out.append((m.start(), m.end(), token))
+        return out
+
+    found = sorted((str(r["doc_id"]), [tuple(s) for s in r["secrets"]["markov"]]) for r in S.scan(docs(rows)).collect())
+    assert found == sorted((str(i), spans(t)) for i, t in rows)
+    assert sum(len(s) for _, s in found) > 50
