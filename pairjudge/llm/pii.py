@@ -16,10 +16,10 @@ those that are not valid), so two numbers never share a surrogate. Names and add
 keyed hash; those that collide are found by Spark over all distinct entities and get further syllables,
 round after round, until all differ. A last count checks that there are as many surrogates as entities.
 
-Plan: one pass finds the distinct entities, the collision rounds run on those, a second pass writes
-the texts. The respelled entities, and the names that have titles of several genders, are expected to be few; up to ``BROADCAST`` of each go to the
-tasks as they are. If more were respelled, all names are spelled with one syllable more from the start,
-until they fit; if more names had several genders, all names get neutral endings.
+Plan: one pass finds the entities of every text, the collision rounds run on the distinct ones, a second pass writes
+the texts. Entities that were respelled, and names whose titles differ, are joined back to the texts that mention them
+(by a hash of the text: texts of equal hash share a list, in which each looks up its own entities). How many they are changes no
+surrogate: all names start with ``SYLLABLES``, and only those that collide get more.
 
 Defined results: null texts stay null; overlapping matches go to the first kind in ``KINDS``; repeated rows
 are rewritten each; an empty table gives an empty result.
@@ -40,7 +40,6 @@ from pyspark.sql import types as T
 from pairjudge.llm.common import out_batch, slices, strings, written
 
 KEY = b"pairjudge-surrogates"
-BROADCAST = 100_000
 #: Syllables of a name or of an address's local part, before collisions add any.
 SYLLABLES = 4
 
@@ -260,35 +259,45 @@ def formatted(kind: str, original: str, new: str) -> str:
 
 
 FOUND = T.StructType([T.StructField("kind", T.StringType()), T.StructField("canonical", T.StringType()), T.StructField("detail", T.StringType())])
-SPELLED = T.StructType([*FOUND.fields, T.StructField("extra", T.IntegerType()), T.StructField("new", T.StringType())])
+MENTION = T.StructType([T.StructField("text_hash", T.LongType()), *FOUND.fields])
+SPELLED = T.StructType([T.StructField("kind", T.StringType()), T.StructField("canonical", T.StringType()), T.StructField("own", T.StringType()),
+                        T.StructField("detail", T.StringType()), T.StructField("mixed", T.BooleanType()), T.StructField("extra", T.IntegerType()),
+                        T.StructField("new", T.StringType())])
 REWRITTEN = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_entities", T.LongType()),
                           *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS], T.StructField("spans", T.StringType())])
 
 
-def distinct_entities(documents: DataFrame) -> DataFrame:
+#: Tells entities with the same canonical form apart: the country of a telephone number, nothing for a person, who has one detail only.
+OWN = "CASE WHEN kind = 'person' THEN '' ELSE detail END"
+
+
+def mentions(documents: DataFrame) -> DataFrame:
+    """The entities of every text, once each, with ``text_hash``."""
+
     def task(batches):
         for batch in slices(batches):
-            cols: dict[str, list] = {f.name: [] for f in FOUND}
-            for text in strings(batch.column("text")):
-                for _, _, kind, canonical, detail in entities(text or ""):
+            cols: dict[str, list] = {f.name: [] for f in MENTION}
+            for key, text in zip(strings(batch.column("text_hash")), strings(batch.column("text"))):
+                for kind, canonical, detail in dict.fromkeys(found[2:] for found in entities(text or "")):
+                    cols["text_hash"].append(key)
                     cols["kind"].append(kind)
                     cols["canonical"].append(canonical)
                     cols["detail"].append(detail)
-            yield out_batch(FOUND, cols)
+            yield out_batch(MENTION, cols)
 
-    return documents.select("text").mapInArrow(task, FOUND).distinct()
+    return documents.select(F.xxhash64("text").alias("text_hash"), "text").mapInArrow(task, MENTION)
 
 
 def told(found: DataFrame) -> DataFrame:
-    """Entities, one row each, with the one detail they have: the gender that a name's titles agree on (``several``: they differ)."""
-    genders = F.collect_set(F.when((F.col("kind") != "person") | (F.col("detail") != "n"), F.col("detail")))  # three at most
-    return found.groupBy("kind", "canonical", F.when(F.col("kind") != "person", F.col("detail")).alias("own")).agg(
-        genders.alias("all"), F.count(F.lit(1)).alias("n")).select(
-            "kind", "canonical", F.when(F.size("all") == 1, F.col("all")[0]).when(F.col("kind") == "person", "n").otherwise("").alias("detail"),
-            ((F.col("kind") == "person") & (F.col("n") > 1)).alias("several"))
+    """Entities, one row each, with the one detail they have: the gender that a name's titles agree on (``mixed``: titles differ)."""
+    male, female = F.col("male") & ~F.col("female"), F.col("female") & ~F.col("male")
+    return found.groupBy("kind", "canonical", F.expr(OWN).alias("own")).agg(
+        F.bool_or(F.col("detail") == "m").alias("male"), F.bool_or(F.col("detail") == "f").alias("female"),
+        (F.min("detail") != F.max("detail")).alias("mixed")).select(
+            "kind", "canonical", "own", F.when(F.col("kind") != "person", F.col("own")).when(male, "m").when(female, "f").otherwise("n").alias("detail"), "mixed")
 
 
-def _spell(found: DataFrame, key: bytes, syllables: int) -> DataFrame:
+def _spell(entity: DataFrame, key: bytes, syllables: int) -> DataFrame:
     """Adds ``new``, spelled with ``extra`` syllables more."""
 
     def task(batches):
@@ -297,46 +306,54 @@ def _spell(found: DataFrame, key: bytes, syllables: int) -> DataFrame:
             cols["new"] = [surrogate(k, c, d, key, syllables + e) for k, c, d, e in zip(*(cols[n] for n in ("kind", "canonical", "detail", "extra")))]
             yield out_batch(SPELLED, cols)
 
-    return found.mapInArrow(task, SPELLED)
+    return entity.mapInArrow(task, SPELLED)
 
 
-def respelled(found: DataFrame, key: bytes = KEY, most: int = BROADCAST) -> tuple[int, bool, dict[tuple[str, str, str], int], dict[str, str]]:
-    """Syllables that all names start with, whether all names are neutral, the entities that need more syllables with how many more, and the genders of
-    names with titles of several."""
+def told_apart(found: DataFrame, key: bytes, syllables: int) -> DataFrame:
+    """Entities, one row each, with ``extra``, the syllables more that they need for a surrogate of their own."""
+    state = written(_spell(told(found).withColumn("extra", F.lit(0)), key, syllables), "surrogates")
+    while True:
+        # Of entities with the same surrogate, the smallest keeps it.
+        who = F.struct("canonical", "own")
+        kept = state.groupBy("kind", "new").agg(F.min(who).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        clash = written(state.join(kept, ["kind", "new"]).where(who != F.col("kept")).select(*state.drop("new").columns), "collisions")
+        if clash.isEmpty():
+            return state
+        rest = state.join(clash.select("kind", "canonical", "own"), ["kind", "canonical", "own"], "left_anti")
+        again = _spell(clash.withColumn("extra", F.col("extra") + 1), key, syllables)
+        state = written(rest.select(*state.columns).unionByName(again), "surrogates")
+
+
+def respelled(found: DataFrame, key: bytes = KEY, most: int | None = None) -> tuple[int, int, dict[tuple[str, str, str], int], dict[str, str]]:
+    """For a look at small tables, on the driver: syllables that all names start with, the number of entities, those that need more syllables with how
+    many more, and the genders of names whose titles differ. With ``most``, all names start with so many syllables that no more than that need more.
+
+    ``replace_pii`` does not use it: its names start with ``SYLLABLES``, and nothing of it goes through the driver."""
     syllables = SYLLABLES
-    entity = written(told(found), "told")
-    several = entity.where("several").select("canonical", "detail")
-    neutral = several.count() > most
-    genders = {} if neutral else {r["canonical"]: r["detail"] for r in several.collect()}  # ``most`` rows at most
-    found = entity.select("kind", "canonical", F.when((F.col("kind") == "person") & F.lit(neutral), "n").otherwise(F.col("detail")).alias("detail"))
     while True:
-        state = written(_spell(found.withColumn("extra", F.lit(0)), key, syllables), "surrogates")
-        while True:
-            # Of entities with the same surrogate, the smallest keeps it.
-            who = F.struct("canonical", "detail")
-            kept = state.groupBy("kind", "new").agg(F.min(who).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-            clash = written(state.join(kept, ["kind", "new"]).where(who != F.col("kept")).select("kind", "canonical", "detail", "extra"), "collisions")
-            n = clash.count()
-            if not n or n > most:
-                break
-            rest = state.join(clash.select("kind", "canonical", "detail"), ["kind", "canonical", "detail"], "left_anti")
-            again = _spell(clash.withColumn("extra", F.col("extra") + 1), key, syllables)
-            state = written(rest.unionByName(again), "surrogates")
-        if not n:
-            changed = state.where("extra > 0")
-            if changed.count() <= most:
-                return syllables, neutral, {(r["kind"], r["canonical"], r["detail"]): r["extra"] for r in changed.collect()}, genders  # ``most`` rows at most
+        state = told_apart(found, key, syllables)
+        changed = state.where("extra > 0")
+        if most is None or changed.count() <= most:
+            genders = {r["canonical"]: r["detail"] for r in state.where("mixed").collect()}
+            return syllables, state.count(), {(r["kind"], r["canonical"], r["detail"]): r["extra"] for r in changed.collect()}, genders
         syllables += 1
 
 
-def rewrite(text: str, extra: dict[tuple[str, str, str], int], key: bytes = KEY, syllables: int = SYLLABLES, neutral: bool = False,
-            genders: dict[str, str] | None = None) -> tuple[str, list[tuple[int, int, str]]]:
-    """The text with surrogates, and (start, end, kind) of what was replaced in the original."""
+def exceptions(mentioned: DataFrame, state: DataFrame) -> DataFrame:
+    """By ``text_hash``, the mentions that are not spelled as they stand: of another detail than their title tells, or with syllables more."""
+    changed = written(state.where("extra > 0 OR mixed").select("kind", "canonical", "own", F.col("detail").alias("use"), "extra"), "changed")
+    found = mentioned.withColumn("own", F.expr(OWN)).join(changed, ["kind", "canonical", "own"]).where("extra > 0 OR use != detail")
+    return found.groupBy("text_hash").agg(F.collect_set(F.struct("kind", "canonical", "detail", "use", "extra")).alias("exceptions"))  # those of one text
+
+
+def rewrite(text: str, changed: dict[tuple[str, str, str], tuple[str, int]], key: bytes = KEY,
+            syllables: int = SYLLABLES) -> tuple[str, list[tuple[int, int, str]]]:
+    """The text with surrogates, and (start, end, kind) of what was replaced in the original; ``changed`` has the detail and the syllables more of
+    entities that are not spelled as they stand."""
     parts, at, spans = [], 0, []
     for start, end, kind, canonical, detail in entities(text):
-        if kind == "person":
-            detail = "n" if neutral else (genders or {}).get(canonical, detail)
-        new = surrogate(kind, canonical, detail, key, syllables + extra.get((kind, canonical, detail), 0))
+        detail, extra = changed.get((kind, canonical, detail), (detail, 0))
+        new = surrogate(kind, canonical, detail, key, syllables + extra)
         parts += [text[at:start], formatted(kind, text[start:end], new)]
         spans.append((start, end, kind))
         at = end
@@ -346,14 +363,16 @@ def rewrite(text: str, extra: dict[tuple[str, str, str], int], key: bytes = KEY,
 def replace_pii(documents: DataFrame, key: bytes = KEY) -> DataFrame:
     """doc_id, text with surrogates, entities by kind and where they were, of every row."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    syllables, neutral, extra, genders = respelled(written(distinct_entities(docs), "entities"), key)
-    shared = documents.sparkSession.sparkContext.broadcast((extra, genders))
+    syllables = SYLLABLES
+    mentioned = written(mentions(docs), "mentions")
+    lists = written(exceptions(mentioned, told_apart(mentioned, key, syllables)), "exceptions")
 
     def task(batches):
         for batch in slices(batches):
             cols: dict[str, list] = {f.name: [] for f in REWRITTEN}
-            for doc, text in zip(strings(batch.column("doc_id")), strings(batch.column("text"))):
-                new, spans = rewrite(text or "", shared.value[0], key, syllables, neutral, shared.value[1])
+            for doc, text, listed in zip(*(strings(batch.column(c)) for c in ("doc_id", "text", "exceptions"))):
+                changed = {(e["kind"], e["canonical"], e["detail"]): (e["use"], e["extra"]) for e in listed or ()}
+                new, spans = rewrite(text or "", changed, key, syllables)
                 kinds = [k for _, _, k in spans]
                 cols["doc_id"].append(doc)
                 cols["text"].append(None if text is None else new)
@@ -363,4 +382,4 @@ def replace_pii(documents: DataFrame, key: bytes = KEY) -> DataFrame:
                 cols["spans"].append(",".join(f"{k}:{a}:{b}" for a, b, k in spans))
             yield out_batch(REWRITTEN, cols)
 
-    return docs.mapInArrow(task, REWRITTEN)
+    return docs.withColumn("text_hash", F.xxhash64("text")).join(lists, "text_hash", "left").drop("text_hash").mapInArrow(task, REWRITTEN)

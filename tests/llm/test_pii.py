@@ -81,3 +81,27 @@ def test_one_surrogate_per_name_whatever_the_title(docs):
     found = {r.doc_id: r.text.split(" ", 1)[1] for r in P.replace_pii(docs(rows)).collect()}
     assert found[1] == found[2] and found[3] == found[4] and found[5] == found[1].upper() and len({found[1], found[3], found[6]}) == 3
     assert found[1].split(" ")[0].lower().endswith(P.ENDINGS["latin"]["f"])
+
+
+def test_no_surrogate_depends_on_how_many_are_respelled(docs, monkeypatch):
+    monkeypatch.setattr(P, "SYLLABLES", 1)
+    monkeypatch.setattr(P.respelled, "__defaults__", (P.KEY, 10))  # a bound that the respelled and the names of several titles pass
+    names = [a + b + c for a in "ABCDEFG" for b in "aeiou" for c in ("nak", "rot", "lif", "sum", "tep", "gov", "dil", "kar")]
+    gender = {n: "m" if i % 3 else "f" for i, n in enumerate(names)}
+    title = {"m": "Mr.", "f": "Mrs."}
+    rows = [(i, ", ".join(f"Dr. {n}" for n in names[i::7])) for i in range(7)] + [(10 + i, f"{title[gender[n]]} {n}") for i, n in enumerate(names)]
+    extra = dict.fromkeys(names, 0)
+    while True:
+        new = {n: P.surrogate("person", n.lower(), gender[n], P.KEY, 1 + extra[n]) for n in names}
+        kept = {}
+        for n in sorted(names, key=str.lower):
+            kept.setdefault(new[n], n)
+        losers = [n for n in names if kept[new[n]] != n]
+        if not losers:
+            break
+        for n in losers:
+            extra[n] += 1
+    assert sum(e > 0 for e in extra.values()) > 10
+    found = {r.doc_id: r.text for r in P.replace_pii(docs(rows + rows)).collect()}
+    assert found == {**{i: ", ".join(f"Dr. {new[n].capitalize()}" for n in names[i::7]) for i in range(7)},
+                     **{10 + i: f"{title[gender[n]]} {new[n].capitalize()}" for i, n in enumerate(names)}}
